@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, syncmer
+from millrace.llm import bpe, chat_format, html_text, mixing, ngram_join, quality_gbt, quality_rules, secrets, syncmer
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +25,53 @@ def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmer.edited_fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_read(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    said: Column = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id", *[F.size(kept(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(said(kept("assign", "access", "hex")), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"),
+    )
+
+
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    got = bpe.round_trip(_read(spark, sf_dir, "documents").select("doc_id", "text"), path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return got.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality_rules.judged(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return got.select("doc_id", *quality_rules.ADDED)
+
+
+def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gbt.classified(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_chat_format": op1_chat_format,
-        "op2_syncmer_fingerprints": op2_syncmer_fingerprints,
-    }
+        f.__name__: f
+        for f in (
+            op1_chat_format, op2_syncmer_fingerprints, op3_ngram_jaccard_join, op4_secret_scan, op6_html_main_text,
+            op7_soft_mixing, op8_byte_bpe, op9_quality_rules, op10_quality_trees,
+        )
+    }
 
 
 OP1_SQL = r"""
@@ -52,5 +95,33 @@ FROM sized GROUP BY conv_id
 """
 
 
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+    FROM words
+), grams AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), shared AS (
+    SELECT g FROM grams GROUP BY g HAVING count(*) > 1
+), few AS (
+    SELECT grams.* FROM grams JOIN shared USING (g)
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM few a JOIN few b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reached AS (
+    SELECT doc_id AS node, doc_id AS root FROM documents
+    UNION
+    SELECT links.b, reached.root FROM reached JOIN links ON links.a = reached.node
+), roots AS (
+    SELECT node, min(root) AS root FROM reached GROUP BY node
+)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, root AS component_id FROM sets JOIN roots ON roots.node = sets.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL}
