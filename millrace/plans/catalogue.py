@@ -1,15 +1,558 @@
-"""Registered queries of the compliance engine."""
+"""Registered queries of the compliance engine over the driver's tables, and their DuckDB statements."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace.functions import text as X
+from millrace.functions import udfs
+from millrace.operators import evaluate as E
+from millrace.operators import ledger as L
+from millrace.operators import snapshot as S
+from millrace.operators import structure as B
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its oracle where SQL can say it."""
+
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+W = r"[\p{L}\p{N}_]"
+#: DuckDB's word bounds are ASCII's, so oracles spell them out.
+BEFORE, AFTER = rf"(^|[^\p{{L}}\p{{N}}_])", rf"($|[^\p{{L}}\p{{N}}_])"
+
+
+@query("""
+SELECT source, sum(n)::BIGINT AS findings, sum(words)::BIGINT AS words, round(10000.0 * sum(n) / sum(words), 6) AS density
+FROM (SELECT source, len(regexp_extract_all(text, '\\b\\d{5,}\\b')) AS n, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS words FROM documents)
+GROUP BY source
+""")
+def finding_density(spark, d):
+    """Findings of a digits matcher per 10,000 words, by source."""
+    docs = read(spark, d, "documents").select("source", F.regexp_count("text", F.lit(r"\b\d{5,}\b")).alias("n"), X.word_count(F.col("text")).alias("w"))
+    got = docs.groupBy("source").agg(F.sum("n").cast("long").alias("findings"), F.sum("w").alias("words"))
+    return got.withColumn("density", F.round(X.density(F.col("findings"), F.col("words")), 6))
+
+
+
+
+@query("""
+WITH t AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_’''-]+') AS w, regexp_split_to_array(text, '[^\\p{L}\\p{N}_’''-]+') AS raw FROM documents),
+u AS (SELECT doc_id, unnest(w) AS term FROM t)
+SELECT term, count(*)::BIGINT AS findings, count(DISTINCT doc_id)::BIGINT AS docs FROM u WHERE term IN ('the', 'des', 'und', 'los', 'idiot') GROUP BY term
+""")
+def literal_set_findings(spark, d):
+    """Whole-word terms, counted natively on the matcher's own word boundaries."""
+    words = read(spark, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_’'-]+")).alias("term"))
+    return words.where(F.col("term").isin("the", "des", "und", "los", "idiot")).groupBy("term").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query()
+def matcher_spans(spark, d):
+    """Spans of three matchers, with exact offsets in Python's dialect, by one pass over the documents."""
+    matchers = [
+        ("digits", "regex", {"pattern": r"\b\d{5,}\b"}),
+        ("insult", "literal_set", {"terms": ["idiot", "moron", "clown"], "unless": [r"\bnot\b"], "window": 20}),
+        ("token", "regex", {"pattern": r"(?<=token = \")[0-9a-f]+"}),
+    ]
+    found = udfs.find_spans(read(spark, d, "documents").select("doc_id", "text"), matchers)
+    return found.withColumn("severity", F.when(F.col("rule_uid") == "token", "error").otherwise("warning"))
+
+
+@query()
+def matcher_gate(spark, d):
+    """The density gate over matcher_spans: silent rules stay, budgets are per 10,000 words."""
+    words = read(spark, d, "documents").agg(F.sum(X.word_count(F.col("text"))).alias("w")).first()["w"]
+    rules = spark.createDataFrame([("digits", 5.0), ("insult", 2.0), ("token", 0.5), ("silent", 1.0)], "rule_uid string, budget double")
+    return E.gate(matcher_spans(spark, d), rules, F.lit(words)).withColumn("density", F.round("density", 6))
+
+
+_SENT = """WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?]+(?:[.!?]+[’'']?|$)')) AS raw FROM documents),
+sent AS (SELECT doc_id, regexp_replace(raw, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g') AS s FROM s)"""
+
+
+def _cue_case(alias: str = "s") -> str:
+    parts = []
+    for name, alternatives in X.CUES:
+        body = alternatives.replace("'", "''")
+        parts.append(f"WHEN regexp_matches({alias}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(?:{body})($|[^\\p{{L}}\\p{{N}}_])') THEN '{name}'")
+    return "CASE " + " ".join(parts) + " ELSE 'SHOULD' END"
+
+
+@query(_SENT + f"""
+SELECT m AS modality, CASE m WHEN 'MUST' THEN 'error' WHEN 'MUST_NOT' THEN 'error' WHEN 'MAY' THEN 'info' WHEN 'PREFER' THEN 'suggestion' ELSE 'warning' END AS severity, count(*)::BIGINT AS n
+FROM (SELECT {_cue_case()} AS m FROM sent WHERE s <> '') GROUP BY m
+""")
+def modality_census(spark, d):
+    s = read(spark, d, "documents").select(F.explode(X.sentences(F.col("text"))).alias("s"))
+    s = s.select(X.modality(F.col("s"), F.lit(None).cast("string"))["modality"].alias("modality"))
+    return s.groupBy("modality").agg(F.count("*").alias("n")).select("modality", X.severity(F.col("modality")).alias("severity"), "n")
+
+
+_VERBS = ", ".join(f"'{v}'" for v in X.VERBS)
+
+
+@query(_SENT + f"""
+, t AS (SELECT regexp_replace(s, '^(?i:generally|usually|also|then),?\\s+', '') AS s FROM sent WHERE s <> ''),
+w AS (SELECT s, lower(regexp_extract(s, '[A-Za-z’'']+')) AS first, lower(regexp_extract(s, '(?i)^(?:if|when|where|unless|for|in|after|before|within)(?:[^\\p{{L}}\\p{{N}}_,][^,]{{1,119}}),\\s*([\\p{{L}}\\p{{N}}_]+)', 1)) AS nxt FROM t)
+SELECT cue, count(*)::BIGINT AS n FROM (
+  SELECT CASE WHEN first = '' THEN NULL
+    WHEN regexp_matches(s, '(?i)^(don[’'']t|do not|never|avoid|always|only)($|[^\\p{{L}}\\p{{N}}_])') THEN 'negative'
+    WHEN first IN ({_VERBS}) THEN 'imperative'
+    WHEN nxt IN ({_VERBS}, 'don’t', 'don''t', 'do', 'never', 'always') THEN 'conditional'
+    WHEN regexp_matches(s, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(should|must|need to|needs to|don[’'']t need|do not need|does not form part|is not part)($|[^\\p{{L}}\\p{{N}}_])') THEN 'modal' END AS cue
+  FROM w) WHERE cue IS NOT NULL GROUP BY cue
+""")
+def directive_sentences(spark, d):
+    s = read(spark, d, "documents").select(F.explode(X.sentences(F.col("text"))).alias("s")).select(X.directive_cue(F.col("s")).alias("cue"))
+    return s.where("cue IS NOT NULL").groupBy("cue").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')) AS t FROM documents),
+w AS (SELECT doc_id, t, lower(t) AS low, regexp_extract_all(t, '[A-Za-z][A-Za-z''’\\-]*') AS w FROM t)
+SELECT kind, form, count(*)::BIGINT AS n FROM (
+  SELECT CASE WHEN low IN ('write this','do this','correct','like this','not this','don''t do this','incorrect','example','examples','more information') THEN 'example'
+    WHEN t = '' OR low IN ('last updated','about this page','references','release notes','style manual pages','evidence','contents','on this page','in this section') THEN 'boilerplate'
+    WHEN len(w) < 2 THEN 'section' WHEN regexp_matches(low, '^(don''t |dont |do not |never |avoid )') THEN 'rule' WHEN lower(w[1]) IN ({_VERBS}) THEN 'rule'
+    WHEN regexp_matches(t, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(must|should|shall|needs? to|ought to|may|can|cannot|can''t|is required to)($|[^\\p{{L}}\\p{{N}}_])') THEN 'rule' ELSE 'section' END AS kind,
+    CASE WHEN len(w) < 2 THEN '' WHEN regexp_matches(low, '^(don''t |dont |do not |never |avoid )') THEN 'negative_imperative' WHEN lower(w[1]) IN ({_VERBS}) THEN 'imperative'
+    WHEN regexp_matches(t, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(must|should|shall|needs? to|ought to|may|can|cannot|can''t|is required to)($|[^\\p{{L}}\\p{{N}}_])') THEN 'modal' ELSE '' END AS form
+  FROM w) GROUP BY kind, form
+""")
+def heading_classify(spark, d):
+    t = read(spark, d, "documents").select(X.heading_kind(F.split_part("text", F.lit("\n"), F.lit(1))).alias("k"))
+    return t.groupBy(F.col("k.kind").alias("kind"), F.col("k.form").alias("form")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT doc_id, sha256(trim(t, chr(10) || ' ' || chr(9)) || chr(10)) AS sha256, length(t)::BIGINT AS n FROM (
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(replace(nfc_normalize(text), chr(13) || chr(10), chr(10)), chr(13) || chr(160) || chr(8203) || chr(65279), chr(10) || ' '), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM documents)
+""")
+def normalise_text(spark, d):
+    t = X.normalise_text(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("sha256"), (F.length(t) - 1).cast("long").alias("n"))
+
+
+@query()
+def rule_uids(spark, d):
+    """Content-addressed ids (BLAKE2s), slices and hold-outs of composed titles; no SQL engine has the digest."""
+    docs = read(spark, d, "documents").select("doc_id", udfs.nfc("text").alias("t"), F.array("source", "lang").alias("path"))
+    title = X.normalise_statement(F.split_part("t", F.lit("\n"), F.lit(1)))
+    page = F.concat(F.lit("p/"), F.col("doc_id").cast("string"))
+    return docs.select("doc_id", udfs.uid(page, F.col("path"), title).alias("uid"), udfs.sweep_slice(page).alias("slice"), udfs.held_out(page).alias("held_out"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS page, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INT AS line, (1 + o_orderkey % 4)::INT AS level, o_orderkey::VARCHAR AS title FROM orders),
+a AS (SELECT page, line, level, max(CASE WHEN level = 1 THEN line END) OVER (PARTITION BY page ORDER BY line ROWS UNBOUNDED PRECEDING) AS l1, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER (PARTITION BY page ORDER BY line ROWS UNBOUNDED PRECEDING) AS t1, max(CASE WHEN level = 2 THEN line END) OVER (PARTITION BY page ORDER BY line ROWS UNBOUNDED PRECEDING) AS l2, last_value(CASE WHEN level = 2 THEN title END IGNORE NULLS) OVER (PARTITION BY page ORDER BY line ROWS UNBOUNDED PRECEDING) AS t2, max(CASE WHEN level = 3 THEN line END) OVER (PARTITION BY page ORDER BY line ROWS UNBOUNDED PRECEDING) AS l3, last_value(CASE WHEN level = 3 THEN title END IGNORE NULLS) OVER (PARTITION BY page ORDER BY line ROWS UNBOUNDED PRECEDING) AS t3, max(CASE WHEN level = 4 THEN line END) OVER (PARTITION BY page ORDER BY line ROWS UNBOUNDED PRECEDING) AS l4, last_value(CASE WHEN level = 4 THEN title END IGNORE NULLS) OVER (PARTITION BY page ORDER BY line ROWS UNBOUNDED PRECEDING) AS t4 FROM o)
+SELECT page, line, concat_ws(' > ', CASE WHEN level >= 1 AND l1 IS NOT NULL THEN t1 END, CASE WHEN level >= 2 AND l2 IS NOT NULL AND coalesce(l1, 0) < l2 THEN t2 END, CASE WHEN level >= 3 AND l3 IS NOT NULL AND coalesce(l1, 0) < l3 AND coalesce(l2, 0) < l3 THEN t3 END, CASE WHEN level >= 4 AND l4 IS NOT NULL AND coalesce(l1, 0) < l4 AND coalesce(l2, 0) < l4 AND coalesce(l3, 0) < l4 THEN t4 END) AS path FROM a
+""")
+def heading_paths(spark, d):
+    """Heading trees by windows: a customer's orders as an outline."""
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("page"), "o_orderkey", (1 + F.col("o_orderkey") % 4).cast("int").alias("level"), F.col("o_orderkey").cast("string").alias("title"))
+    from pyspark.sql import Window
+
+    o = o.withColumn("line", F.row_number().over(Window.partitionBy("page").orderBy("o_orderkey")))
+    return B.ancestry(o).select("page", "line", F.array_join("path", " > ").alias("path"))
+
+
+@query("""
+WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block, unnest(string_split(text, chr(10))) AS t FROM documents),
+q AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM p)
+SELECT doc_id, block::INT AS block, s::BIGINT AS start, (s + length(t))::BIGINT AS "end", sha256(t) AS sha256 FROM q WHERE trim(t) <> ''
+""")
+def doc_blocks_offsets(spark, d):
+    """Blocks and offsets, folded inside each row: no shuffle."""
+    b = B.text_blocks_narrow(read(spark, d, "documents"), separator="\n")
+    return b.select("doc_id", "block", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.sha2("text", 256).alias("sha256"))
+
+
+@query("""
+WITH p AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS ord, length(text) AS n FROM documents)
+SELECT lang, doc_id, coalesce(sum(n + 2) OVER (PARTITION BY lang ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p
+""")
+def joined_offsets(spark, d):
+    b = read(spark, d, "documents").select("lang", "doc_id", F.col("text").alias("plain"))
+    return B.joined_offsets(b, "lang", "doc_id").select("lang", "doc_id", F.col("start").cast("long").alias("start"))
+
+
+def _markdown(spark, d) -> DataFrame:
+    """Documents as Markdown pages: lines become headings, items, quotes and paragraphs in turn."""
+    lines = read(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    k = (F.col("page") + F.col("line")) % 7
+    body = F.when(k == 0, F.concat(F.lit("## "), "t")).when(k == 1, F.concat(F.lit("- "), "t")).when(k == 2, F.concat(F.lit("> "), "t")).when(k == 3, F.concat(F.lit("### "), "t")).when(k == 4, F.lit("")).otherwise(F.col("t"))
+    return lines.select("page", "line", body.alias("txt"))
+
+
+_MD = """WITH l AS (SELECT doc_id AS page, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS t FROM documents),
+m AS (SELECT page, line, trim(t) AS t, (page + line) % 7 AS k FROM l)"""
+
+
+@query(_MD + """
+SELECT kind, count(*)::BIGINT AS n, sum(length(plain))::BIGINT AS chars FROM (
+  SELECT CASE k WHEN 1 THEN 'li' ELSE 'para' END AS kind, t AS plain FROM m WHERE (k IN (1, 5, 6) AND t <> '')
+  UNION ALL SELECT 'quote', t FROM m WHERE k = 2 AND t <> '') GROUP BY kind
+""")
+def body_block_census(spark, d):
+    """Kinds of body blocks of Markdown built from the documents."""
+    rows = _markdown(spark, d).where(~F.col("txt").rlike("^#"))
+    rows = rows.withColumn("txt", F.when(F.col("txt").rlike(r"^\s*[-*+|>0-9]") & ~F.col("txt").rlike("^(- |> )"), F.concat(F.lit("x"), "txt")).otherwise(F.col("txt")))
+    b = B.body_blocks(rows).withColumn("plain", F.regexp_replace("plain", r"^x(?=[-*+|>0-9])", ""))
+    return b.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("plain")).cast("long").alias("chars"))
+
+
+@query(_MD + """
+SELECT page, count(*)::BIGINT AS headings, sum(CASE k WHEN 0 THEN 2 ELSE 3 END)::BIGINT AS levels FROM m WHERE k IN (0, 3) AND t <> '' GROUP BY page
+""")
+def heading_scan(spark, d):
+    """ATX headings of Markdown built from the documents."""
+    h = B.headings(_markdown(spark, d)).where("title <> ''")
+    return h.groupBy("page").agg(F.count("*").alias("headings"), F.sum("level").cast("long").alias("levels"))
+
+
+@query()
+def html_to_markdown(spark, d):
+    p = read(spark, d, "pages").select("page_id", udfs.html_to_markdown("html", "url").alias("md"))
+    return p.select("page_id", F.regexp_count("md", F.lit(r"(?m)^#+ ")).cast("long").alias("headings"), F.regexp_count("md", F.lit(r"\]\(")).cast("long").alias("links"), F.length("md").cast("long").alias("n"))
+
+
+@query("""
+SELECT regexp_matches(lower(html), 'this site can''t be reached|err_http2_protocol_error|enable javascript and cookies to continue|checking if the site connection is secure|just a moment\\.\\.\\.|verifying you are human|ddos protection by cloudflare|access denied') AS blocked, count(*)::BIGINT AS pages FROM pages GROUP BY 1
+""")
+def block_page_filter(spark, d):
+    return read(spark, d, "pages").groupBy(X.blocked(F.col("html")).alias("blocked")).agg(F.count("*").alias("pages"))
+
+
+@query("""
+SELECT page_id, coalesce(nullif(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), ''), 'index') || '.md' AS path FROM pages
+""")
+def url_to_path(spark, d):
+    return read(spark, d, "pages").select("page_id", X.url_path(F.col("url")).alias("path"))
+
+
+GLOBS = [("en/**", True, False), ("en/*", True, True), ("*/1*", False, False), ("de/**", True, False), ("fr/?", False, False)]
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(nullif(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), ''), 'index') || '.md' AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('en/**', '^en(?:/.*)?$', true, 0), ('en/*', '^en/[^/]*$', true, 1), ('*/1*', '^[^/]*/1[^/]*$', false, 2), ('de/**', '^de(?:/.*)?$', true, 3), ('fr/?', '^fr/[^/]$', false, 4)) t(g, rx, e, ord)),
+h AS (SELECT page_id, g, e, row_number() OVER (PARTITION BY page_id ORDER BY length(g) - length(replace(g, '/', '')) DESC, length(g) DESC, ord) AS k FROM p JOIN r ON regexp_matches(path, rx))
+SELECT coalesce(g, 'unclassified') AS "glob", coalesce(e, false) AS eligible, regexp_matches(path, '^en/[^/]*$') AS needs_review, count(*)::BIGINT AS pages
+FROM p LEFT JOIN (SELECT * FROM h WHERE k = 1) USING (page_id) GROUP BY 1, 2, 3
+""")
+def eligibility_globs(spark, d):
+    p = S.eligibility(url_to_path(spark, d), GLOBS)
+    return p.groupBy("glob", "eligible", "needs_review").agg(F.count("*").alias("pages"))
+
+
+def _snapshots(spark, d) -> tuple[DataFrame, DataFrame]:
+    o = read(spark, d, "orders")
+    key = F.col("o_orderkey").cast("string")
+    price = F.floor("o_totalprice").cast("long").cast("string")
+    old = o.where("o_orderkey % 10 <> 0").select(key.alias("path"), F.sha2(F.concat_ws("|", "o_orderstatus", price), 256).alias("sha256"), F.col("o_orderpriority").alias("lastmod"))
+    moved = F.when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit("x"), "o_orderstatus")).otherwise(F.col("o_orderstatus"))
+    mod = F.when(F.col("o_orderkey") % 3 == 0, F.lit("later")).otherwise(F.col("o_orderpriority"))
+    new = o.where("o_orderkey % 11 <> 0").select(key.alias("path"), F.sha2(F.concat_ws("|", moved, price), 256).alias("sha256"), mod.alias("lastmod"))
+    return old, new
+
+
+_SNAP = """WITH old AS (SELECT o_orderkey::VARCHAR AS path, sha256(o_orderstatus || '|' || floor(o_totalprice)::BIGINT::VARCHAR) AS sha256, o_orderpriority AS lastmod FROM orders WHERE o_orderkey % 10 <> 0),
+new AS (SELECT o_orderkey::VARCHAR AS path, sha256((CASE WHEN o_orderkey % 5 = 1 THEN 'x' ELSE '' END) || o_orderstatus || '|' || floor(o_totalprice)::BIGINT::VARCHAR) AS sha256, CASE WHEN o_orderkey % 3 = 0 THEN 'later' ELSE o_orderpriority END AS lastmod FROM orders WHERE o_orderkey % 11 <> 0)"""
+_DIFF = _SNAP + """, diff AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.sha256 <> b.sha256 THEN 'altered' ELSE 'unchanged' END AS change,
+ a.sha256 AS from_sha256, b.sha256 AS to_sha256, a.lastmod IS DISTINCT FROM b.lastmod AS lastmod_changed FROM old a FULL OUTER JOIN new b ON a.path = b.path)"""
+
+
+@query(_DIFF + " SELECT * FROM diff WHERE change <> 'unchanged'")
+def snapshot_diff(spark, d):
+    return S.diff(*_snapshots(spark, d)).where("change <> 'unchanged'")
+
+
+@query(_DIFF + """ SELECT count(*) FILTER (WHERE change = 'added')::BIGINT AS added, count(*) FILTER (WHERE change = 'altered')::BIGINT AS altered, count(*) FILTER (WHERE change = 'removed')::BIGINT AS removed,
+ count(*) FILTER (WHERE change = 'unchanged')::BIGINT AS unchanged, 'editorial' AS kind FROM diff""")
+def changeset_summary(spark, d):
+    return S.change_summary(S.diff(*_snapshots(spark, d)))
+
+
+@query(_SNAP + """, cur AS (SELECT path, sha256 AS live, (path::BIGINT % 7 <> 0) AS ok FROM new WHERE path::BIGINT % 2 = 0),
+fresh AS (SELECT cur.path, CASE WHEN old.sha256 IS NULL THEN 'added' WHEN old.sha256 <> live THEN 'altered' ELSE 'same' END AS now FROM cur LEFT JOIN old USING (path) WHERE ok),
+prior AS (SELECT path, 'altered' AS state FROM old WHERE path::BIGINT % 4 = 1 OR path::BIGINT % 6 = 0)
+SELECT coalesce(prior.path, fresh.path) AS path, coalesce(now, state) AS state FROM prior FULL OUTER JOIN fresh ON prior.path = fresh.path WHERE coalesce(now, state) <> 'same'
+""")
+def drift_merge(spark, d):
+    old, new = _snapshots(spark, d)
+    n = F.col("path").cast("long")
+    current = new.where(n % 2 == 0).select("path", F.col("sha256").alias("live_sha256"), (n % 7 != 0).alias("ok"))
+    prior = old.where((n % 4 == 1) | (n % 6 == 0)).select("path", F.lit("altered").alias("state"))
+    return S.drift(prior, current, old.select("path", "sha256"))
+
+
+@query(_SNAP + " SELECT coalesce(a.path, b.path) AS path, coalesce(b.sha256, a.sha256) AS sha256 FROM old a FULL OUTER JOIN (SELECT * FROM new WHERE path::BIGINT % 2 = 0) b ON a.path = b.path")
+def carry_forward(spark, d):
+    old, new = _snapshots(spark, d)
+    return S.carried(old, new.where(F.col("path").cast("long") % 2 == 0))
+
+
+@query(_SNAP + """ SELECT new.path, CASE WHEN old.path IS NULL THEN 'new' WHEN new.lastmod IS DISTINCT FROM old.lastmod THEN 'lastmod' WHEN ('0x' || substr(sha256(new.path), 1, 4))::INT % 7 = 3 THEN 'sweep' END AS reason
+ FROM new LEFT JOIN old USING (path) WHERE old.path IS NULL OR new.lastmod IS DISTINCT FROM old.lastmod OR ('0x' || substr(sha256(new.path), 1, 4))::INT % 7 = 3""")
+def select_for_fetch(spark, d):
+    old, new = _snapshots(spark, d)
+    part = F.conv(F.left(F.sha2("path", 256), F.lit(4)), 16, 10).cast("int") % 7
+    return S.select_for_fetch(new.select("path", "lastmod"), old, part, 3).select("path", "reason")
+
+
+@query("""
+WITH s AS (SELECT user_id::VARCHAR AS path, CAST(ts AS DATE)::VARCHAR AS snapshot_id, sha256(string_agg(event_type, ',' ORDER BY event_type)) AS sha256 FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS ts, event_type FROM events) GROUP BY 1, 2),
+c AS (SELECT *, lag(sha256) OVER (PARTITION BY path ORDER BY snapshot_id) AS b FROM s)
+SELECT path, snapshot_id, CASE WHEN b IS NULL THEN 'added' WHEN b <> sha256 THEN 'altered' ELSE 'unchanged' END AS change FROM c
+""")
+def snapshot_chain(spark, d):
+    s = read(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("path"), F.to_date("ts").cast("string").alias("snapshot_id")).agg(F.sha2(F.array_join(F.sort_array(F.collect_set("event_type")), ","), 256).alias("sha256"))
+    return S.chain(s).select("path", "snapshot_id", "change")
+
+
+@query("""
+WITH b AS (SELECT item_id AS a, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 2)) AS t FROM benchmark),
+c AS (SELECT doc_id AS b, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 2)) AS t FROM documents),
+x AS (SELECT a, len(t) AS na, unnest(t) AS w FROM b WHERE len(t) >= 4), y AS (SELECT b, len(t) AS nb, unnest(t) AS w FROM c WHERE len(t) >= 4)
+SELECT a, b, count(*)::BIGINT AS "both", (na + nb - count(*))::BIGINT AS either FROM x JOIN y USING (w) GROUP BY a, b, na, nb HAVING count(*) >= 0.25 * (na + nb - count(*))
+""")
+def cross_page_duplicates(spark, d):
+    """Benchmark items against documents by Jaccard over their words."""
+    a = read(spark, d, "benchmark").select(F.col("item_id").alias("a"), X.tokens_long(F.col("text")).alias("tokens"))
+    b = read(spark, d, "documents").select(F.col("doc_id").alias("b"), X.tokens_long(F.col("text")).alias("tokens"))
+    return E.similar(a, b, 0.25)
+
+
+@query("""
+WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id) AS gap FROM events)
+SELECT user_id AS page, count(*)::BIGINT AS n_ops, sum(CASE WHEN gap BETWEEN 0 AND 600000000 THEN gap ELSE 0 END)::BIGINT AS micros FROM g GROUP BY user_id
+""")
+def annotation_pace(spark, d):
+    return E.pace(read(spark, d, "events"), "user_id", "ts", "event_id")
+
+
+@query("""
+SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1
+""")
+def op_replay_latest(spark, d):
+    e = read(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    return L.last_op(e.union(e.where("event_id % 3 = 0")), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+def _work(spark, d) -> DataFrame:
+    e = read(spark, d, "events")
+    t = F.col("event_type")
+    kinds = F.when(F.col("event_id") % 17 == 0, "undo").when(F.col("event_id") % 5 == 0, "hasty").when(F.col("event_id") % 5 == 1, "example").when(F.col("event_id") % 5 == 2, "attention").otherwise("decision")
+    return e.select("ts", F.col("ts").alias("at"), F.concat(F.lit("r."), (F.col("user_id") % 23).cast("string")).alias("by"), kinds.alias("kind"), (F.col("value") > 50).alias("good"), t.alias("verdict"), (F.col("event_id") % 300).alias("uid"))
+
+
+@query("""
+WITH w AS (SELECT 'R' || (user_id % 23)::VARCHAR AS who, CASE WHEN event_id % 17 = 0 THEN 'undo' WHEN event_id % 5 = 0 THEN 'hasty' WHEN event_id % 5 = 1 THEN 'example' WHEN event_id % 5 = 2 THEN 'attention' ELSE 'decision' END AS kind, coalesce(value > 50, false) AS good FROM events WHERE ts >= TIMESTAMP '2024-01-08'),
+a AS (SELECT who, count(*) FILTER (WHERE kind IN ('decision', 'hasty')) AS decisions, count(*) FILTER (WHERE kind = 'hasty') AS hasty, count(*) FILTER (WHERE kind = 'example') AS examples,
+ count(*) FILTER (WHERE kind = 'attention' AND good) AS checks_passed, count(*) FILTER (WHERE kind = 'attention' AND NOT good) AS checks_failed FROM w WHERE kind <> 'undo' GROUP BY who),
+s AS (SELECT *, (decisions - hasty) * 10 + examples * 5 + checks_passed * 25 - checks_failed * 15 AS score, CASE WHEN checks_passed + checks_failed > 0 THEN round_even(100.0 * checks_passed / (checks_passed + checks_failed), 0)::BIGINT END AS accuracy FROM a)
+SELECT *, row_number() OVER (ORDER BY score DESC, who) AS rank FROM s
+""")
+def leaderboard(spark, d):
+    return L.leaderboard(_work(spark, d), F.lit("2024-01-08").cast("timestamp_ntz"))
+
+
+@query("""
+WITH l AS (SELECT event_id % 300 AS uid, 'R' || (user_id % 23)::VARCHAR AS who, max_by(event_type, ROW(ts, event_type)) AS v FROM events GROUP BY 1, 2),
+r AS (SELECT uid, count(*) AS n, count(DISTINCT v) AS d FROM l GROUP BY uid HAVING count(*) > 1)
+SELECT count(*)::BIGINT AS double_reviewed, count(*) FILTER (WHERE d = 1)::BIGINT AS agreed, CASE WHEN count(*) > 0 THEN round_even(100.0 * count(*) FILTER (WHERE d = 1) / count(*), 0)::BIGINT END AS rate FROM r
+""")
+def agreement(spark, d):
+    return L.agreement(_work(spark, d))
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS s FROM events),
+h AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, epoch_us(min(ts))::BIGINT AS started, count(*)::BIGINT AS n FROM h GROUP BY user_id, k
+""")
+def sessions_10m(spark, d):
+    e = read(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    return e.groupBy("user_id", F.session_window("t", "10 minutes").alias("w")).agg(F.min("t").alias("m"), F.count("*").alias("n")).select("user_id", F.unix_micros("m").alias("started"), "n")
+
+
+@query("""
+WITH r AS (SELECT quality = 0 AS truth, length(text) - length(replace(text, '|', '')) > 5 OR contains(text, '!!') OR contains(text, '$$$') AS said FROM documents JOIN labels USING (doc_id)),
+a AS (SELECT count(*) FILTER (WHERE truth AND said)::BIGINT AS hits, count(*) FILTER (WHERE truth AND NOT said)::BIGINT AS missed, count(*) FILTER (WHERE NOT truth AND said)::BIGINT AS spurious, count(*) FILTER (WHERE NOT truth AND NOT said)::BIGINT AS neither FROM r)
+SELECT *, hits / nullif(hits + spurious, 0) AS precision, hits / nullif(hits + missed, 0) AS recall FROM a
+""")
+def confusion_metrics(spark, d):
+    r = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
+    t = F.col("text")
+    return E.confusion(r, F.col("quality") == 0, (F.length(t) - F.length(F.replace(t, F.lit("|"))) > 5) | t.contains("!!") | t.contains("$$$"))
+
+
+_SPANS = "SELECT l_orderkey AS k, l_linenumber AS i, (l_partkey % 50)::INT AS s, (l_partkey % 50 + 1 + l_quantity::INT % 20)::INT AS e FROM lineitem"
+
+
+@query(f"""
+WITH s AS ({_SPANS})
+SELECT a.k, least(a.i, b.i) AS a, greatest(a.i, b.i) AS b, (least(a.e, b.e) - greatest(a.s, b.s))::INT AS overlap FROM s a JOIN s b ON a.k = b.k AND a.i < b.i AND a.s < b.e AND b.s < a.e
+""")
+def interval_overlap(spark, d):
+    q = F.col("l_quantity").cast("int") % 20
+    s = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), (F.col("l_partkey") % 50).cast("int").alias("start"), (F.col("l_partkey") % 50 + 1 + q).cast("int").alias("end"))
+    return E.overlaps(s, "k", "i")
+
+
+@query("""
+SELECT array_to_string([r_name, n_name, c.c_custkey::VARCHAR], '/') AS child, array_to_string([r_name, n_name], '/') AS parent FROM customer c JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT array_to_string([r_name, n_name, c.c_custkey::VARCHAR], '/'), r_name FROM customer c JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+""")
+def prefix_nesting(spark, d):
+    n = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five regions
+    places = n.select(F.array("r_name", "n_name").alias("path")).union(read(spark, d, "region").select(F.array("r_name")))
+    c = read(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.array("r_name", "n_name", F.col("c_custkey").cast("string")).alias("path"))
+    return E.nested(c, places).select(F.array_join("child", "/").alias("child"), F.array_join("parent", "/").alias("parent"))
+
+
+@query("""
+SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS enclosing FROM events
+""")
+def asof_enclosing(spark, d):
+    return E.enclosing(read(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", "event_id").select("event_id", "enclosing")
+
+
+def _ledger(spark, d) -> tuple[DataFrame, DataFrame]:
+    c = read(spark, d, "customer")
+    key = F.col("c_custkey")
+    name = lambda salt: F.concat(F.lit(salt), key.cast("string"))
+    old = c.where(key % 9 != 0).select(F.when(key % 4 == 0, name("o")).otherwise(name("u")).alias("uid"), F.col("c_mktsegment").alias("page"), F.concat(F.lit("h"), (key % 40).cast("string")).alias("parent"), F.concat(F.lit("Use "), F.when(key % 8 == 0, name("x")).otherwise(F.col("c_name"))).alias("statement"), F.col("c_name").alias("body"), F.when(key % 31 == 0, "orphaned").otherwise("accepted").alias("status"))
+    new = c.where(key % 10 != 0).select(F.when(key % 4 == 0, name("n")).otherwise(name("u")).alias("uid"), F.col("c_mktsegment").alias("page"), F.concat(F.lit("h"), (key % 40).cast("string")).alias("parent"), F.concat(F.lit("Use "), "c_name").alias("statement"), F.when(key % 6 == 0, F.lit("new body")).otherwise(F.col("c_name")).alias("body"), key.cast("int").alias("line"), (key % 3 != 0).alias("positional"), F.when(key % 44 == 0, name("o")).alias("supersedes"))
+    return new, old
+
+
+@query("""
+WITH old AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN 'o' ELSE 'u' END || c_custkey AS uid, c_name AS body FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 31 <> 0),
+new AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN 'n' ELSE 'u' END || c_custkey AS uid, CASE WHEN c_custkey % 6 = 0 THEN 'new body' ELSE c_name END AS body, CASE WHEN c_custkey % 44 = 0 THEN 'o' || c_custkey END AS supersedes FROM customer WHERE c_custkey % 10 <> 0)
+SELECT new.uid, CASE WHEN old.uid IS NOT NULL AND old.body = new.body THEN 'unchanged' WHEN old.uid IS NOT NULL THEN 'body_altered' WHEN s.uid IS NOT NULL THEN 'reworded' ELSE 'open' END AS outcome
+FROM new LEFT JOIN old USING (uid) LEFT JOIN old s ON s.uid = new.supersedes
+""")
+def reconcile_stages(spark, d):
+    return L.exact_matches(*_ledger(spark, d))
+
+
+@query()
+def reconcile_full(spark, d):
+    """The whole cascade, in parallel over the groups that can meet; tests compare it with a plain loop."""
+    return L.reconcile(*_ledger(spark, d))
+
+
+@query()
+def greedy_match(spark, d):
+    """One-to-one pairs of suppliers and parts of a nation by falling score."""
+    s = read(spark, d, "supplier").select((F.col("s_nationkey") % 25).alias("k"), F.col("s_suppkey").alias("i"), "s_acctbal")
+    p = read(spark, d, "part").select((F.col("p_partkey") % 25).cast("int").alias("k"), F.col("p_partkey").alias("j"), "p_retailprice")
+    pairs = s.join(p, "k").withColumn("score", (3 - F.floor(F.abs(F.col("s_acctbal") - F.col("p_retailprice")) / 500)).cast("double"))
+    return E.greedy(pairs, "k")
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT line, count(DISTINCT doc_id)::BIGINT AS owners FROM l WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT doc_id) >= 2
+""")
+def shared_examples(spark, d):
+    lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= 20)
+    return E.shared(lines, "line", "doc_id")
+
+
+@query("SELECT source, count(*)::BIGINT AS unused FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source")
+def anti_unused(spark, d):
+    return read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("unused"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, ['character','token','phrase','sentence','paragraph','block','section','document'][(l_partkey % 8 + 1)::INT] AS a, ['character','token','phrase','sentence','paragraph','block','section','document'][(l_suppkey % 8 + 1)::INT] AS b FROM lineitem)
+SELECT a, b, CASE WHEN list_position(['character','token','phrase','sentence','paragraph','block','section','document'], a) >= list_position(['character','token','phrase','sentence','paragraph','block','section','document'], b) THEN a ELSE b END AS settled, count(*)::BIGINT AS n FROM p GROUP BY 1, 2, 3
+""")
+def settle_tags(spark, d):
+    units = F.array(*map(F.lit, E.UNITS))
+    p = read(spark, d, "lineitem").select(F.element_at(units, (F.col("l_partkey") % 8 + 1).cast("int")).alias("a"), F.element_at(units, (F.col("l_suppkey") % 8 + 1).cast("int")).alias("b"))
+    return p.groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b", E.settle_order(F.col("a"), F.col("b"), E.UNITS).alias("settled"), "n")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey::VARCHAR AS uid, o_orderstatus <> 'P' AS detectable, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS vc, o_orderkey % 4 AS c, o_orderkey % 5 AS v, CASE WHEN o_orderkey % 7 = 0 THEN 'artifact' ELSE 'sentence' END AS unit FROM orders),
+x AS (SELECT 'detectable needs a violation condition' AS contract FROM r WHERE detectable AND vc = '' UNION ALL SELECT 'detectable needs both kinds of examples' FROM r WHERE detectable AND (c < 1 OR v < 1) UNION ALL SELECT 'an artifact is not detectable' FROM r WHERE unit = 'artifact' AND detectable)
+SELECT contract, count(*)::BIGINT AS n FROM x GROUP BY contract
+""")
+def schema_violations(spark, d):
+    k = F.col("o_orderkey")
+    some = lambda n: F.slice(F.array(*[F.lit("e")] * 5), F.lit(1), (k % n).cast("int"))
+    rules = read(spark, d, "orders").select(k.cast("string").alias("uid"), (F.col("o_orderstatus") != "P").alias("detectable"), F.when(k % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("violation_condition"), some(4).alias("compliant"), some(5).alias("violating"), F.when(k % 7 == 0, "artifact").otherwise("sentence").alias("unit"), F.lit("unambiguous").alias("clarity"), F.lit("").alias("specification"))
+    return L.violations(rules).groupBy("contract").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT l_returnflag, round(sum(((l_partkey - l_suppkey) * 2.0 + l_suppkey * 0.5 + (l_quantity + l_linenumber) * 8.0) / 1000000 * 0.5), 4) AS cost FROM lineitem GROUP BY l_returnflag
+""")
+def usage_cost(spark, d):
+    one = E.cost(F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity"), F.col("l_linenumber"), (2.0, 0.5, 8.0), batch=True)
+    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(one), 4).alias("cost"))
+
+
+@query("SELECT conv_id, role, sha256(string_agg(text, chr(10) ORDER BY turn)) AS sha256, count(*)::BIGINT AS n FROM conversations GROUP BY conv_id, role")
+def polarity_seed(spark, d):
+    got = read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("s"))
+    return got.select("conv_id", "role", F.sha2(F.array_join(F.transform("s", lambda x: x["text"]), "\n"), 256).alias("sha256"), F.size("s").cast("long").alias("n"))
+
+
+@query("SELECT c_custkey FROM customer ORDER BY sha256('7:' || c_custkey::VARCHAR), c_custkey LIMIT 25")
+def sample_hash(spark, d):
+    return E.hash_sample(read(spark, d, "customer").select("c_custkey"), "c_custkey", 25, "7")
+
+
+@query("""
+WITH g AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS h FROM documents JOIN labels USING (doc_id) GROUP BY lang)
+SELECT lang, n::BIGINT AS n, h::BIGINT AS hits, round((h / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((h / n * (1 - h / n) + 1.96 * 1.96 / (4 * n)) / n)) / (1 + 1.96 * 1.96 / n), 9) AS lower_bound FROM g
+""")
+def wilson_lower(spark, d):
+    g = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("hits"))
+    return g.withColumn("lower_bound", F.round(E.wilson(F.col("hits"), F.col("n")), 9))
+
+
+@query("""
+WITH h AS (SELECT doc_id, unnest([regexp_extract(split_part(text, chr(10), 1), '[A-Za-z]+')]) AS w, toxic, quality FROM documents JOIN labels USING (doc_id))
+SELECT lexicon, tagger, count(*)::BIGINT AS n FROM (SELECT quality = 1 AS lexicon, toxic = 1 AS tagger FROM labels) GROUP BY CUBE (lexicon, tagger)
+""")
+def tagger_diff(spark, d):
+    """Two verdicts crossed, with totals."""
+    return read(spark, d, "labels").select((F.col("quality") == 1).alias("lexicon"), (F.col("toxic") == 1).alias("tagger")).cube("lexicon", "tagger").agg(F.count("*").alias("n"))
+
+
+@query("SELECT sha256(string_agg(o_orderkey::VARCHAR || chr(0) || sha256(o_orderstatus) || chr(0), '' ORDER BY o_orderkey::VARCHAR)) AS lock_digest FROM orders WHERE o_orderkey % 20 = 0")
+def lock_digest(spark, d):
+    o = read(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").cast("string").alias("path"), F.sha2("o_orderstatus", 256).alias("sha256"))
+    return S.lock_digest(o)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
