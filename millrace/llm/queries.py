@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat_format, html_text, mixing, ngram_join, quality_gbt, quality_rules, secrets, syncmer
+from millrace.llm import bpe, chat_format, html_text, mixing, ngram_join, quality_gbt, quality_rules, secrets, suffix_dedup, syncmer
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.trim(_read(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
@@ -68,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_chat_format, op2_syncmer_fingerprints, op3_ngram_jaccard_join, op4_secret_scan, op6_html_main_text,
+            op1_chat_format, op2_syncmer_fingerprints, op3_ngram_jaccard_join, op4_secret_scan, op5_suffix_dedup, op6_html_main_text,
             op7_soft_mixing, op8_byte_bpe, op9_quality_rules, op10_quality_trees,
         )
     }
