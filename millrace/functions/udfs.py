@@ -200,6 +200,7 @@ class _Markdown(HTMLParser):
         elif tag == "blockquote":
             self.prefix = "> "
         elif tag == "tr":
+            self._end_row()
             self.row = []
         elif tag == "a":
             href = dict(attrs).get("href") or ""
@@ -233,10 +234,13 @@ class _Markdown(HTMLParser):
             self._flush()
         if tag in ("ul", "ol") and self.lists:
             self.lists.pop()
-        elif tag == "tr" and self.row is not None:
-            row, self.row = self.row, None
-            if row:
-                self.lines.append("| " + " | ".join(row) + " |")
+        elif tag in ("tr", "table"):
+            self._end_row()
+
+    def _end_row(self):
+        row, self.row = self.row, None
+        if row:
+            self.lines.append("| " + " | ".join(row) + " |")
 
     def handle_data(self, data):
         if not self.hidden:

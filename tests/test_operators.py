@@ -146,7 +146,7 @@ def test_globs_and_eligibility(spark):
     for glob, path, want in [("a/**", "a", True), ("a/**", "a/b/c", True), ("a/*", "a/b/c", False), ("**/x", "x", True), ("**/x", "a/b/x", True), ("a?/b", "ac/b", True), ("a.b", "axb", False), ("**", "q/r", True)]:
         assert bool(re.match(S.glob_regex(glob), path)) == want, (glob, path)
     got = S.eligibility(spark.createDataFrame([("a/b",), ("z",)], "path string"), [("a/**", True, False), ("a/b", False, False)]).collect()
-    assert {(r.path, r.glob, r.eligible) for r in got} == {("a/b", "a/b", False), ("z", "unclassified", False)}
+    assert {(r.path, r.glob, r.eligible) for r in got} == {("a/b", "a/**", True), ("z", "unclassified", False)}  # as many slashes, longer
 
 
 def test_change_kinds(spark):
