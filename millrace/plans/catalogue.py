@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.functions import udfs
 from millrace.operators import evaluate as E
+from millrace.operators import golden as G
 from millrace.operators import ledger as L
 from millrace.operators import snapshot as S
 from millrace.operators import structure as B
@@ -550,6 +551,84 @@ def lock_digest(spark, d):
     return S.lock_digest(o)
 
 
+@query("""
+WITH r AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderkey % 4 <> 0 AS detectable, CASE WHEN o_orderkey % 3 = 0 THEN 'none' ELSE 'regex' END AS method, CASE WHEN o_orderkey % 7 = 0 THEN 'artifact' ELSE 'sentence' END AS unit,
+ o_orderkey % 5 AS c, CASE WHEN o_orderkey % 11 = 0 THEN 'unreviewed' ELSE 'unambiguous' END AS clarity FROM orders WHERE o_orderstatus <> 'P')
+SELECT why AS skip_reason, count(*)::BIGINT AS n FROM (SELECT CASE WHEN unit = 'artifact' THEN 'unit is artifact' WHEN NOT detectable OR method = 'none' THEN 'method ' || method || ' cannot run'
+ WHEN c < 1 THEN 'no violation condition, or examples of one kind only' WHEN clarity = 'unreviewed' THEN 'clarity is unreviewed' END AS why FROM r) GROUP BY why
+""")
+def load_reasons(spark, d):
+    """Which rules run, and why the others don't."""
+    k = F.col("o_orderkey")
+    rules = read(spark, d, "orders").select(
+        F.when(F.col("o_orderstatus") == "P", "proposed").when(F.col("o_orderstatus") == "F", "amended").otherwise("accepted").alias("status"), (k % 4 != 0).alias("detectable"),
+        F.when(k % 3 == 0, "none").otherwise("regex").alias("method"), F.when(k % 7 == 0, "artifact").otherwise("sentence").alias("unit"), F.lit("v").alias("violation_condition"),
+        F.slice(F.array(*[F.lit("e")] * 5), F.lit(1), (k % 5).cast("int")).alias("compliant"), F.array(F.lit("e")).alias("violating"), F.when(k % 11 == 0, "unreviewed").otherwise("unambiguous").alias("clarity"),
+    )
+    return L.load_reasons(rules).groupBy("skip_reason").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH o AS (SELECT user_id % 50 AS span_id, CASE WHEN user_id % 50 >= 25 THEN user_id % 50 - 25 END AS up, event_type, event_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts DESC, event_id DESC) AS k FROM events),
+l AS (SELECT * FROM o WHERE k = 1 AND event_type <> 'error')
+SELECT span_id, event_id FROM l WHERE up IS NULL OR up IN (SELECT span_id FROM l WHERE up IS NULL)
+""")
+def span_fold(spark, d):
+    """Span operations folded, with cascading deletes."""
+    s = F.col("user_id") % 50
+    ops = read(spark, d, "events").select(F.col("event_id").alias("op_id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "span_del").otherwise("span").alias("op"), s.alias("span_id"), F.when(s >= 25, s - 25).alias("of"))
+    return G.folded(ops).select("span_id", F.col("op_id").alias("event_id"))
+
+
+@query("""
+WITH m AS (SELECT user_id AS uid, count(*) AS n, arg_max(event_type, ROW(ts::VARCHAR, event_id)) AS last FROM events GROUP BY user_id)
+SELECT c_custkey AS uid, coalesce(n, 0)::BIGINT AS moves, coalesce(last, 'proposed') AS status FROM customer LEFT JOIN m ON uid = c_custkey
+""")
+def review_transitions(spark, d):
+    """Decisions folded into rules: the history grows, the last one is the status."""
+    rules = read(spark, d, "customer").select(F.col("c_custkey").alias("uid"), F.lit("proposed").alias("status"))
+    ops = read(spark, d, "events").select(F.col("user_id").alias("uid"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("op_id"), F.lit("r").alias("by"), F.col("event_type").alias("to"))
+    return L.transitions(rules, ops).select("uid", F.size("history").cast("long").alias("moves"), "status")
+
+
+@query("""
+WITH c AS (SELECT o_custkey % 200 AS page, o_orderkey AS uid FROM orders WHERE o_orderstatus = 'F' OR o_orderkey % 6 = 0)
+SELECT page, count(*)::BIGINT AS errors FROM c WHERE page % 3 <> 0 AND uid % 4 <> 0 AND uid % 5 <> 0 GROUP BY page
+""")
+def sweep_errors(spark, d):
+    """Rules a completed sweep may not drop in silence."""
+    o = read(spark, d, "orders").select((F.col("o_custkey") % 200).alias("page"), F.col("o_orderkey").alias("uid"), F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("proposed").alias("status"), (F.col("o_orderkey") % 6 == 0).alias("paired"))
+    sweeps = o.select("page", F.when(F.col("page") % 3 == 0, "in_progress").otherwise("complete").alias("status")).distinct()
+    return G.sweep_errors(o.where("uid % 5 = 0"), o, o.where("uid % 4 = 0").withColumnRenamed("uid", "seed_uid"), sweeps).groupBy("page").agg(F.count("*").alias("errors"))
+
+
+@query("""
+WITH r AS (SELECT item_id AS uid, text, item_id % 3 <> 0 AS swept, CASE WHEN item_id % 4 = 0 THEN 'MAY' ELSE 'MUST' END AS m, CASE WHEN item_id % 2 = 0 THEN 'presence' ELSE 'absence' END AS dir, CASE WHEN item_id % 5 = 0 THEN ' ' ELSE 'v' END AS vc FROM benchmark)
+SELECT finding, count(*)::BIGINT AS n FROM (SELECT 'not-swept' AS finding FROM r WHERE NOT swept UNION ALL SELECT 'permission' FROM r WHERE m = 'MAY' AND dir = 'presence' UNION ALL SELECT 'no-violation-condition' FROM r WHERE vc = ' ') GROUP BY finding
+""")
+def rule_lint(spark, d):
+    i = F.col("item_id")
+    rules = read(spark, d, "benchmark").select(i.alias("uid"), F.col("text").alias("statement"), (i % 3 != 0).alias("swept"), F.when(i % 4 == 0, "MAY").otherwise("MUST").alias("modality"), F.when(i % 2 == 0, "presence").otherwise("absence").alias("direction"), F.when(i % 5 == 0, " ").otherwise("v").alias("violation_condition"), F.array().cast("array<string>").alias("preconditions"))
+    return G.lint(rules).groupBy("finding").agg(F.count("*").alias("n"))
+
+
+@query()
+def example_checks(spark, d):
+    """Example pairs against matchers: benchmark items as examples of two rules."""
+    ex = read(spark, d, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "the").otherwise("digits").alias("rule_uid"), F.col("text").alias("example"), (F.col("item_id") % 3 == 0).alias("violating"))
+    return G.check_examples([("the", "literal_set", {"terms": ["the"]}), ("digits", "regex", {"pattern": r"\d+"})], ex)
+
+
+@query()
+def anchor_resolution(spark, d):
+    """Spans of the documents' first words, found again after their blocks were renumbered."""
+    blocks = B.text_blocks_narrow(read(spark, d, "documents"), separator="\n").where("block < 4")
+    now = blocks.select(F.col("doc_id").alias("page"), (F.col("block") + 1).cast("string").alias("block_id"), F.array(F.lit("p")).alias("path"), "text")
+    n = F.least(F.length("text"), F.lit(30))
+    spans = blocks.select(F.concat_ws(":", "doc_id", "block").alias("span_id"), F.col("doc_id").alias("page"), F.col("block").cast("string").alias("block_id"), F.array(F.lit("p")).alias("path"), F.lit(0).alias("start"), F.left("text", n).alias("quote"), F.lit("").alias("prefix"), F.lit("").alias("suffix"))
+    return G.resolve(spans, now)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
