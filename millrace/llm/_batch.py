@@ -110,7 +110,10 @@ class Words:
         cuts = np.searchsorted(where, self.first)
         for i, n in enumerate(self.count):
             if n >= width:
-                yield np.unique(found[cuts[i] : cuts[i + 1]])
+                own = np.sort(found[cuts[i] : cuts[i + 1]])
+                first = np.ones(len(own), bool)
+                np.not_equal(own[1:], own[:-1], out=first[1:])
+                yield own[first]
             elif n:
                 own = h[self.first[i] : self.first[i + 1]]
                 with np.errstate(over="ignore"):

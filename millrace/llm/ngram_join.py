@@ -6,12 +6,13 @@ come last, so that passages shared by many documents rarely stand in a prefix.
 
 1. Documents with equal sets collapse into one class, named by its smallest id.
 2. Classes with identical prefix and size collapse into one group; only groups enter the index (token, group, size).
-3. Group pairs: each token sends its members to its smallest group, never to each other; pairs are filtered by size and
-   by the places of the token, and groups that pass are expanded to their members and verified on whole sets.
-4. Verified links give components. Tokens whose members are now all in one component need no more. Where a token still
-   holds several components, one member of each is tried against the next (a round), and what then remains is verified
-   member by member between different components only. So no pair inside a known component is ever made, no candidate
-   is dropped, and the result is the exact components of the link graph.
+3. Group pairs: each token sends its members to its smallest group, never to each other. A pair that links shares not one
+   member of the prefixes but many; how many it must share follows from the two sizes, so pairs are filtered by size,
+   by the places of the token and by the count of shared members before whole sets are looked at. Members of one group
+   are tried against its head. What passes is verified on whole sets, which gives components.
+4. Tokens whose members are now all in one component need no more. Where a token still holds several, members of
+   different components are paired, filtered the same way, and verified. So no pair inside a known component is ever
+   made, no candidate is dropped, and the result is the exact components of the link graph.
 
 Contract: words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; a text with fewer words than a shingle is one shingle;
 null or empty text, or text without words, has an empty set and links with nothing. Rows that share an id share its
@@ -25,17 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _batch
 from millrace.llm._batch import Words
 from millrace.llm._graph import components
-from millrace.llm._spark import cut, written
+from millrace.llm._spark import cut, release, written
 
 WIDTH, T = 5, 75  #: words in a shingle; likeness in percent
-HOT, HOT_KEPT = 64, 1 << 17  #: prefixes that make a shingle frequent; bound of the frequent shingles told to all workers (1 MB)
-ROUNDS = 2  #: linear rounds before the remaining pairs of different components
+HOT, HOT_KEPT = 8, 1 << 20  #: prefixes that make a shingle frequent; bound of the frequent shingles told to all workers (8 MB)
+WHOLE = 1 << 20  #: weight of a token that stands for a whole prefix
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -76,7 +77,7 @@ def _digests(docs: DataFrame) -> DataFrame:
 
 
 def _index(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(token, node, size, place, key): a row for each member of each prefix; key stands for the whole prefix."""
+    """(token, node, size, place): a row for each member of each prefix."""
 
     def run(batches):
         for batch in batches:
@@ -87,9 +88,7 @@ def _index(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             for i, own in _sets(batch):
                 if len(own) and valid[i]:
                     p = _prefix(own, hot)
-                    with np.errstate(over="ignore"):
-                        key = _batch.mix(p).sum(dtype=np.uint64)
-                    parts.append((p, int(ids[i]), len(own), key))
+                    parts.append((p, int(ids[i]), len(own)))
                     held += len(p)
                 if held > 200_000:
                     yield _rows(parts)
@@ -97,7 +96,7 @@ def _index(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             if parts:
                 yield _rows(parts)
 
-    return docs.mapInArrow(run, "token long, node long, size int, place int, key long")
+    return docs.mapInArrow(run, "token long, node long, size int, place int")
 
 
 def _rows(parts: list[tuple]) -> pa.RecordBatch:
@@ -105,7 +104,7 @@ def _rows(parts: list[tuple]) -> pa.RecordBatch:
     spread = lambda k, kind: np.repeat(np.array([x[k] for x in parts], kind), lengths)
     token = np.concatenate([p for p, *_ in parts]).view(np.int64)
     place = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
-    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(spread(1, np.int64)), pa.array(spread(2, np.int32)), pa.array(place), pa.array(spread(3, np.uint64).view(np.int64))], names=["token", "node", "size", "place", "key"])
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(spread(1, np.int64)), pa.array(spread(2, np.int32)), pa.array(place)], names=["token", "node", "size", "place"])
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
@@ -139,8 +138,22 @@ def _bounded(n: Column, i: Column, m: Column, j: Column) -> Column:
     return F.lit(100 + T) * most >= F.lit(T) * (n + m)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of those pairs of nodes whose whole sets link."""
+def _enough(pairs: DataFrame) -> DataFrame:
+    """(a, b) of rows (a, b, n, m, weight), one for each member the two prefixes share, that may still link.
+
+    Up to the end of the prefix that ends first, all common members are known; beyond it one side has less than
+    needed(size) members left. So the overlap is below the shared members plus the larger needed size.
+    """
+    need = lambda c: F.ceil(F.lit(T) * F.col(c) / 100)
+    got = pairs.groupBy("a", "b", "n", "m").agg(F.sum("weight").alias("c"))
+    most = F.col("c") + F.greatest(need("n"), need("m")) - 1
+    return got.where(F.lit(100 + T) * most >= F.lit(T) * (F.col("n") + F.col("m"))).select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) of those pairs of nodes whose whole sets link; only the texts of nodes in pairs are taken apart again."""
+    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = written(_whole(docs.join(nodes, "doc_id", "left_semi")))
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -157,6 +170,7 @@ def _labelled(live: DataFrame, found: DataFrame) -> DataFrame:
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
     known = written(_digests(docs))
     classes = known.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "lo", "hi").agg(F.min("doc_id").alias("node"))
     named = cut(known.join(classes, ["n", "lo", "hi"], "left").select("doc_id", "n", "node"))
@@ -164,53 +178,52 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     same = named.where("node IS NOT NULL AND doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
 
     counts = _tokens(docs).groupBy("token").count().where(F.col("count") > HOT)
-    hot = counts.orderBy(F.col("count").desc(), "token").limit(HOT_KEPT).collect()  # at most HOT_KEPT short rows
-    hot = np.sort(np.array([r["token"] for r in hot], np.int64).view(np.uint64))
+    hot = counts.orderBy(F.col("count").desc(), "token").limit(HOT_KEPT).select("token").toArrow()  # at most HOT_KEPT numbers
+    release(spark)
+    hot = np.sort(hot.column("token").to_numpy().view(np.uint64))
 
     # Tokens of one class's copies only are dropped with the copies.
     index = _index(docs, hot)
     shared = index.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("token")
-    rows = written(index.join(shared, "token").join(nodes, "node", "left_semi").dropDuplicates(["token", "node"]))
-    groups = rows.groupBy("node", "size", "key").agg(F.count("*").alias("c")).groupBy("size", "key").agg(F.min("node").alias("head"), F.count("*").alias("many"))
-    rows = written(rows.join(groups, ["size", "key"]))
+    rows = written(index.join(shared, "token").join(nodes, "node", "left_semi").dropDuplicates(["token", "node", "size"]))
+    # Identical prefixes share all their members, so they are seen in the shared rows alone.
+    full = F.col("size") - F.ceil(F.lit(T) * F.col("size") / 100) + 1
+    keys = rows.groupBy("node", "size").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("token")).alias("k1"), F.bit_xor(F.xxhash64("token", F.lit(1))).alias("k2")).where(F.col("c") == full)
+    groups = keys.groupBy("size", "k1", "k2").agg(F.min("node").alias("head"), F.count("*").alias("many")).where("many > 1")
+    members = cut(keys.join(groups, ["size", "k1", "k2"]).select("node", "size", "head"))
+    rows = written(rows.join(members, ["node", "size"], "left").withColumn("many", F.col("head").isNotNull()).withColumn("head", F.coalesce("head", "node")))
+    release(spark)
     heads = rows.where("node = head")
-    tokens = heads.groupBy("token").agg(F.min_by(F.struct("node", "size", "place"), "node").alias("t"), F.count("*").alias("c")).where("c > 1")
+    tokens = written(heads.groupBy("token").agg(F.min_by(F.struct("node", "size", "place"), "node").alias("t"), F.count("*").alias("c")).where("c > 1"))
+    # What several groups share, for all members; and one row a member for its group as such.
+    crowded = rows.join(tokens.select("token"), "token", "left_semi").select("token", "node", "size", "place", F.lit(1).alias("weight"))
+    grouped = members.select(F.xxhash64("head", "size", F.lit("group")).alias("token"), "node", "size", F.lit(0).alias("place"), F.lit(WHOLE).alias("weight"))
+    live = written(crowded.union(grouped))
+
     met = heads.join(tokens, "token").where("node <> t.node").where(_possible(F.col("size"), F.col("t.size")) & _bounded(F.col("size"), F.col("place"), F.col("t.size"), F.col("t.place")))
-    tried = met.select(F.col("t.node").alias("a"), F.col("node").alias("b"))
-    inside = rows.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    met = met.select(F.col("t.node").alias("a"), F.col("node").alias("b")).distinct()
+    mine = live.select(F.col("node").alias("a"), "token", F.col("size").alias("n"), "weight")
+    theirs = live.select(F.col("node").alias("b"), "token", F.col("size").alias("m"))
+    tried = _enough(met.join(mine, "a").join(theirs, ["b", "token"]))
+    inside = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     tried = cut(tried.union(inside).distinct())
-
-    # Rows that later rounds look at: shared tokens of all members, and one row for a group as such.
-    crowded = rows.join(tokens.select("token"), "token", "left_semi").select("token", "node", "size", "place")
-    grouped = rows.where("many > 1").select(F.xxhash64("size", "key", F.lit("group")).alias("token"), "node", "size", F.lit(0).alias("place")).distinct()
-    live = written(crowded.union(grouped))
-    wanted = tried.select("a").union(tried.select("b")).union(live.select("node")).distinct()
-    sets = written(_whole(docs.join(wanted.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi")))
-    links = cut(_verified(tried, sets))
+    links = cut(_verified(tried, docs))
     found = cut(components(links, "a", "b"))
-
-    for last in [False] * ROUNDS + [True]:
-        rest = written(_labelled(live, found))
-        if rest.isEmpty():
-            break
-        if not last:
-            one = rest.groupBy("token", "root").agg(F.min(F.struct("node", "size", "place")).alias("x"))
-            by_token = Window.partitionBy("token").orderBy("root")
-            chain = one.withColumn("y", F.lag("x").over(by_token)).where("y IS NOT NULL")
-            pairs = chain.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.size").alias("n"), F.col("y.size").alias("m"))
-            pairs = pairs.where(_possible(F.col("n"), F.col("m"))).select("a", "b")
-        else:
-            roots = rest.select("token", "root").distinct()
-            other = roots.select("token", F.col("root").alias("root2"))
-            sides = roots.join(other, "token").where("root < root2")
-            x = rest.select("token", "root", F.col("node").alias("x"), F.col("size").alias("n"), F.col("place").alias("i"))
-            y = rest.select("token", F.col("root").alias("root2"), F.col("node").alias("y"), F.col("size").alias("m"), F.col("place").alias("j"))
-            pairs = x.join(sides, ["token", "root"]).join(y, ["token", "root2"]).where(_possible(F.col("n"), F.col("m")) & _bounded(F.col("n"), F.col("i"), F.col("m"), F.col("j")))
-            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        tried = cut(tried.union(pairs))
-        links = cut(links.union(_verified(pairs, sets)))
-        found = cut(components(links, "a", "b"))
+    release(spark)
+
+    rest = written(_labelled(live, found))
+    if not rest.isEmpty():
+        roots = rest.select("token", "root").distinct()
+        sides = roots.join(roots.select("token", F.col("root").alias("root2")), "token").where("root < root2")
+        x = rest.select("token", "root", "weight", F.col("node").alias("x"), F.col("size").alias("n"), F.col("place").alias("i"))
+        y = rest.select("token", F.col("root").alias("root2"), F.col("node").alias("y"), F.col("size").alias("m"), F.col("place").alias("j"))
+        pairs = x.join(sides, ["token", "root"]).join(y, ["token", "root2"]).where(_possible(F.col("n"), F.col("m")) & _bounded(F.col("n"), F.col("i"), F.col("m"), F.col("j")))
+        ordered = F.col("x") < F.col("y")
+        way = lambda p, q: F.when(ordered, F.col(p)).otherwise(F.col(q))
+        pairs = pairs.select(way("x", "y").alias("a"), way("y", "x").alias("b"), way("n", "m").alias("n"), way("m", "n").alias("m"), "weight")
+        pairs = cut(_enough(pairs).join(tried, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            links = cut(links.union(_verified(pairs, docs)))
 
     whole = cut(components(links.union(same), "a", "b"))
     out = named.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
