@@ -5,9 +5,10 @@ Bayes classifier over hashed words, counted by one aggregate over at most LABELL
 a posterior over them; EVIDENCE words at most speak for a document, so posteriors stay soft where the words disagree.
 
 Rates r >= 0 a document are fitted so that the expected tokens of each domain, sum(r * tokens * posterior), meet its
-target: projected gradient on the squared misses, each scaled by the domain's tokens (with that scaling the curvature
-is at most 1, so steps of 1 are safe), starting from r = 1. A step needs one number per domain from the cluster, and
-a rate follows from a document's posterior and the steps so far, so a pass is one narrow aggregate.
+target: projected gradient on the squared misses, starting from r = 1, in the metric of the domains' Gram matrix over
+the documents with a rate above zero, in which a step meets the targets at once but for the rates it projects back to
+zero. A step needs a few numbers per domain from the cluster, and a rate follows from a document's posterior and the
+steps so far, so a pass is one narrow aggregate and a handful of passes do.
 
 The budget is set so that the domain ``whole`` keeps all its tokens (times SLACK); the others are thinned.
 
@@ -19,8 +20,6 @@ and refuse an input that already has a column of a name they add.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ from millrace.llm._spark import cut
 LABELLED = 12_000  #: bound of the labelled rows learned from
 BUCKETS = 4096
 EVIDENCE, SMOOTH = 60, 0.5
-STEPS, CLOSE, SLACK = 25, 1e-3, 1.02
+STEPS, CLOSE, SLACK = 12, 1e-3, 1.02
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.94, "poor": 0.02, "toxic": 0.04}
 ADDED = ("n_tokens", *[f"p_{d}" for d in DOMAINS])
@@ -100,22 +99,29 @@ def rate(steps: list[list[float]]) -> Column:
 def fit(narrow: DataFrame, targets: dict[str, float] = TARGETS, whole: str = "good") -> tuple[list[list[float]], dict[str, float]]:
     """Steps of the projected gradient over (n_tokens, posteriors), and the target tokens by domain."""
 
-    def totals(r: Column) -> list[float]:
-        return [x or 0.0 for x in narrow.agg(*[F.sum(r * F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS]).first()]
+    pairs = [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
+    p = [F.col(f"p_{d}") for d in DOMAINS]
+
+    def totals(r: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens by domain at these rates, and the Gram matrix over the documents that still have one."""
+        tokens = F.col("n_tokens").cast("double")
+        sums = [F.sum(r * tokens * x) for x in p] + [F.sum(F.when(r > 0, tokens * p[i] * p[j])) for i, j in pairs]
+        got = [x or 0.0 for x in narrow.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
+        gram = np.zeros((len(p), len(p)))
+        for (i, j), x in zip(pairs, got[len(p) :], strict=True):
+            gram[i, j] = gram[j, i] = x
+        return np.array(got[: len(p)]), gram
 
-    mass = totals(F.lit(1.0))
+    now, gram = totals(F.lit(1.0))
     share = sum(targets.values())
-    budget = SLACK * mass[DOMAINS.index(whole)] / (targets[whole] / share)
-    aims = [budget * targets[d] / share for d in DOMAINS]
+    budget = SLACK * now[DOMAINS.index(whole)] / (targets[whole] / share)
+    aims = np.array([budget * targets[d] / share for d in DOMAINS])
     steps: list[list[float]] = []
-    now = mass
-    for _ in range(STEPS):
-        step = [(s - a) / m if m > 0 else 0.0 for s, a, m in zip(now, aims, mass, strict=True)]
-        if all(abs(s - a) <= CLOSE * max(a, 1e-12) for s, a, m in zip(now, aims, mass, strict=True) if m > 0) or not any(math.isfinite(x) and x for x in step):
-            break
-        steps.append(step)
-        now = totals(rate(steps))
-    return steps, dict(zip(DOMAINS, aims, strict=True))
+    while len(steps) < STEPS and (np.abs(now - aims) > CLOSE * np.maximum(aims, 1e-12))[now > 0].any():
+        step = np.linalg.lstsq(gram, np.where(now > 0, now - aims, 0.0), rcond=1e-9)[0]
+        steps.append([float(x) for x in step])
+        now, gram = totals(rate(steps))
+    return steps, dict(zip(DOMAINS, aims.tolist(), strict=True))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, whole: str = "good") -> DataFrame:
