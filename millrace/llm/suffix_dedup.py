@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,24 +124,19 @@ def ranks(s: np.ndarray, span: int = 1) -> np.ndarray:
     key1 = wide[one] * many + rank[one + 1]
     key2 = pair[two] * many + rank[two + 2]
     key02 = pair[rest] * many + rank[rest + 2]
-    sampled = np.sort(rank[sample])
-    by1, by2 = np.argsort(key1, kind="stable"), np.argsort(key2, kind="stable")
-    less1 = np.searchsorted(key1[by1], key0, "left")
-    less2 = np.searchsorted(key2[by2], key02, "left")
-    order0 = np.argsort(key0, kind="stable")
-    fresh = np.ones(len(rest), bool)
-    fresh[1:] = key0[order0][1:] != key0[order0][:-1]
-    class0 = np.empty(len(rest), np.int64)
-    class0[order0] = np.cumsum(fresh) - 1
-    # place each suffix: how many suffixes of the other residues, and classes of its own, come before it
-    before0 = np.searchsorted(key0[order0], key0, "left") + less1 + less2
+    # (queries are asked in sorted order, which keeps the searches near each other)
+    by0, by1, by2 = (np.argsort(k, kind="stable") for k in (key0, key1, key2))
+    sorted0, sorted1, sorted2 = key0[by0], key1[by1], key2[by2]
+    sorted02 = np.sort(key02)
+    # place each suffix: how many suffixes of each residue come before it
     out = np.empty(n, np.int64)
-    out[rest] = before0
-    mine = np.searchsorted(sampled, rank[sample], "left")
-    zero_before = np.empty(len(sample), np.int64)
-    zero_before[: len(one)] = np.searchsorted(key0[order0], key1, "left")
-    zero_before[len(one) :] = np.searchsorted(np.sort(key02), key2, "left")
-    out[sample] = mine + zero_before
+    out[rest[by0]] = np.searchsorted(sorted0, sorted0, "left") + np.searchsorted(sorted1, sorted0, "left")
+    out[rest[by0]] += np.searchsorted(sorted2, key02[by0], "left")
+    counts = np.bincount(rank[sample], minlength=many)
+    before = np.cumsum(counts) - counts
+    out[one[by1]] = np.searchsorted(sorted0, sorted1, "left")
+    out[two[by2]] = np.searchsorted(sorted02, sorted2, "left")
+    out[sample] += before[rank[sample]]
     return out
 
 
@@ -217,6 +213,14 @@ def _contexts(docs: DataFrame) -> DataFrame:
 def _sorted_bucket(table: pa.Table) -> pa.Table:
     """(c1, c2, begin, end, least): by context, stretches of windows and the smallest id in which their strings start."""
     table = table.combine_chunks()
+    anchor = table.column("anchor").to_numpy()
+    _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
+    alone = size[group] == 1  # nothing to order
+    single, table = table.filter(pa.array(alone)), table.filter(pa.array(~alone))
+    lengths = pc.binary_length(single.column("context")).to_numpy().astype(np.int64)
+    whole = pa.table({"c1": single.column("c1"), "c2": single.column("c2"), "begin": np.zeros(len(lengths), np.int64), "end": lengths, "least": single.column("doc_id")})
+    if not table.num_rows:
+        return whole
     texts = table.column("context").to_pylist()
     owner = table.column("doc_id").to_numpy()
     sizes = np.array([len(x) for x in texts], np.int64)
@@ -231,31 +235,36 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(which)) - 1
     row = which[first]
-    return pa.table({"c1": table.column("c1").to_numpy()[row], "c2": table.column("c2").to_numpy()[row], "begin": start[first] - begins[row], "end": start[last] - begins[row] + LENGTH, "least": least[first]})
+    ordered = pa.table({"c1": table.column("c1").to_numpy()[row], "c2": table.column("c2").to_numpy()[row], "begin": start[first] - begins[row], "end": start[last] - begins[row] + LENGTH, "least": least[first]})
+    return pa.concat_tables([whole, ordered])
 
 
 def _trimmed(docs: DataFrame) -> DataFrame:
-    """The result rows, from texts with the list ``cuts`` of (lo, begin, end) found for their id, and whether they are copies."""
+    """The result rows, from texts with the list ``cuts`` of (lo, begin, end) found for their id, and the digests of its copies."""
 
     def run(batches):
         for batch in batches:
             data, at = _batch.buffers(batch.column("text"))
-            cuts, copy = batch.column("cuts").to_pylist(), batch.column("copy").to_pylist()
-            removed, spans, kept, keeps = [], [], [], []
+            copies = batch.column("copies").to_pylist()
+            lists = batch.column("cuts")
+            flat = lists.flatten()
+            own_lo, begin, end = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            many = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+            upto = np.concatenate([[0], np.cumsum(many)])
+            removed, spans, kept = [], [], []
             for i in range(batch.num_rows):
                 body = data[at[i] : at[i + 1]].tobytes()
-                found = []
-                if copy[i] and len(body) >= LENGTH:
-                    found = [(0, len(body))]
-                elif cuts[i]:
-                    own = int.from_bytes(hashlib.blake2b(body, digest_size=16).digest()[:8], "little", signed=True)
-                    found = sorted({(c["begin"], c["end"]) for c in cuts[i] if c["lo"] == own})
-                merged: list[list[int]] = []
-                for a, b in found:
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
+                merged = []
+                own = int.from_bytes(hashlib.blake2b(body, digest_size=16).digest()[:8], "little", signed=True) if copies[i] or many[i] else 0
+                if copies[i] and own in copies[i]:
+                    merged = [(0, len(body))] if len(body) >= LENGTH else []
+                elif many[i]:
+                    mine = np.flatnonzero(own_lo[upto[i] : upto[i + 1]] == own) + upto[i]
+                    mine = mine[np.argsort(begin[mine], kind="stable")]
+                    if len(mine):
+                        reach = np.maximum.accumulate(end[mine])
+                        first = np.flatnonzero(np.append(True, begin[mine][1:] > reach[:-1]))
+                        merged = list(zip(begin[mine][first].tolist(), reach[np.append(first[1:], len(mine)) - 1].tolist(), strict=True))
                 left, place = [], 0
                 for a, b in merged:
                     left.append(body[place:a])
@@ -276,25 +285,31 @@ def trim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     known = _digests(docs)
     owners = known.where("doc_id IS NOT NULL").groupBy("lo", "hi").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
-    copies = cut(known.join(owners, ["lo", "hi"]).where("doc_id > owner").select("doc_id", "lo").distinct())
+    own = known.where("doc_id IS NOT NULL").join(owners, ["lo", "hi"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False)))
+    copies = own.groupBy("doc_id").agg(F.bool_and("copy").alias("whole"), F.collect_set(F.when(F.col("copy"), F.col("lo"))).alias("copies"))
+    copies = cut(copies.where(F.size("copies") > 0))  # an id with several texts may have some that are copies
 
     anchors = _anchors(docs)
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    met = written(anchors.join(shared, "anchor").distinct().join(copies.select("doc_id").distinct(), "doc_id", "left_anti"))
+    shared = written(anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"))
+    release(spark)
+    met = written(anchors.join(shared, "anchor").distinct().join(copies.where("whole").select("doc_id"), "doc_id", "left_anti"))
     release(spark)
     still = met.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    lists = met.join(still, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
+    lists = written(met.join(still, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared")))
+    release(spark)
+    # The contexts are taken from the texts twice: once for where they stand, without their bytes, and once for the
+    # distinct ones. That is cheaper than a table of all contexts, which overlap several times over.
     found = _contexts(docs.join(lists, "doc_id")).withColumn("c1", F.xxhash64("context")).withColumn("c2", F.xxhash64("context", F.lit(1)))
-    found = written(found)
+    places = written(found.select("c1", "c2", "doc_id", "lo", "start"))
     release(spark)
-
     distinct = found.groupBy("anchor", "c1", "c2").agg(F.first("context").alias("context"), F.min("doc_id").alias("doc_id"))
-    buckets = max(1, -(-found.count() // CONTEXTS))
-    dealt = distinct.select(F.pmod(F.xxhash64("anchor", F.lit(7)), F.lit(buckets)).alias("bucket"), "c1", "c2", "context", "doc_id")
-    strings = dealt.groupBy("bucket").applyInArrow(_sorted_bucket, "c1 long, c2 long, begin long, end long, least long")
-    cuts = found.select("c1", "c2", "doc_id", "lo", "start").join(strings, ["c1", "c2"]).where("least < doc_id")
+    buckets = max(1, -(-places.count() // CONTEXTS))
+    dealt = distinct.select(F.pmod(F.xxhash64("anchor", F.lit(7)), F.lit(buckets)).alias("bucket"), "anchor", "c1", "c2", "context", "doc_id")
+    strings = written(dealt.groupBy("bucket").applyInArrow(_sorted_bucket, "c1 long, c2 long, begin long, end long, least long"))
+    release(spark)
+    cuts = places.join(strings, ["c1", "c2"]).where("least < doc_id")
     cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("lo", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end"))).alias("cuts"))
     cuts = written(cuts)
     release(spark)
-    marked = docs.join(cuts, "doc_id", "left").join(copies.groupBy("doc_id").agg(F.lit(True).alias("copy")), "doc_id", "left")
-    return _trimmed(marked.select("doc_id", "text", "cuts", F.coalesce("copy", F.lit(False)).alias("copy")))
+    marked = docs.join(cuts, "doc_id", "left").join(copies.select("doc_id", "copies"), "doc_id", "left")
+    return _trimmed(marked.select("doc_id", "text", "cuts", "copies"))

@@ -244,7 +244,7 @@ def test_suffix_dedup(spark):
     rng = random.Random(6)
     passage = ["".join(rng.choices("abcé ", k=rng.randint(40, 160))) for _ in range(12)]
     rows = [(i, "".join(rng.choice(passage) if rng.random() < 0.5 else "".join(rng.choices("abc ", k=30)) for _ in range(rng.randint(0, 9)))) for i in range(80)]
-    rows += [(100, rows[3][1]), (100, rows[4][1]), (101, "z" * 600), (102, "y" + "z" * 300), (None, rows[5][1]), (103, None), (104, ""), (105, rows[6][1]), (105, rows[6][1])]
+    rows += [(100, rows[3][1]), (100, rows[4][1]), (101, "z" * 600), (102, "y" + "z" * 300), (None, rows[5][1]), (103, None), (104, ""), (105, rows[6][1]), (105, rows[6][1]), (106, rows[7][1]), (106, "own " * 30 + rows[8][1]), (107, "own " * 30 + "z" * 80)]
     rows += [(1000 + i, t) for i, t in list(texts(spark).items())[:60]]
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup.trim(frame(spark, rows)).collect())
     assert got == brute_trim(rows)
