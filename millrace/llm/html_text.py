@@ -3,10 +3,10 @@
 The standard library's parser is fed once and its events build lines: one per block element, with its text, the tags
 met in it and the characters inside links. Each line's text-to-tag ratio is smoothed with a Gaussian over the page's
 lines, two-means clustering of the smoothed ratios gives the threshold, and lines above it are content. The region is
-the container that holds them: the article or main element with most of that content where the page has one, else the
-deepest container that still holds most of it. All lines of the region are text, in page order, but for those under
-chrome: menus, headers, footers, sidebars, notices, adverts, forms and reader comments, known by element, role, or a
-word of class or id. Outside article and main, lines made of links only are chrome too.
+the lowest container that holds every content line, every h1 and every article and main element outside chrome, so
+several articles, a main beside an article, and sections of any size stay together. All lines of the region are text, in
+page order, but for those under chrome: menus, headers, footers, sidebars, notices, adverts, forms and reader comments, known by element, role, or a
+word of class or id. Outside article and main, lines made of links only are chrome too, and no content.
 
 Defined results: null or empty html gives an empty text; unclosed, stray or cut tags never fail; repeated rows stay;
 an empty table gives no rows; extract() passes further columns on and refuses an input with a column ``main_text``.
@@ -35,7 +35,7 @@ CHROME_WORD = re.compile(
     re.I,
 )
 CHROME_ROLE = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split())
-SIGMA, MOST = 1.0, 0.6
+SIGMA = 1.0
 
 
 class Lines(HTMLParser):
@@ -45,15 +45,15 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool, int]] = []  # tag, container, chrome, hidden depth before it
         self.parents, self.kinds = [-1], [""]
-        self.at, self.hidden, self.links = 0, 0, 0
+        self.at, self.hidden, self.links, self.titles = 0, 0, 0, 0
         self.parts: list[str] = []
         self.tags, self.linked = 0, 0
-        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, characters in links, container
+        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, characters in links, container, in an h1
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.at))
+            self.lines.append((text, self.tags, self.linked, self.at, self.titles > 0))
             self.tags = self.linked = 0
         self.parts = []
 
@@ -64,6 +64,7 @@ class Lines(HTMLParser):
                 self.flush()
             self.at, self.hidden = container, hidden
             self.links -= tag == "a"
+            self.titles -= tag == "h1"
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if not self.hidden:
@@ -92,6 +93,7 @@ class Lines(HTMLParser):
         self.stack.append((tag, self.at, chrome, self.hidden))
         self.hidden += chrome
         self.links += tag == "a"
+        self.titles += tag == "h1"
         if tag in CONTAINERS:
             self.parents.append(self.at)
             self.kinds.append(tag)
@@ -153,29 +155,23 @@ def main_text(html: str) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    values = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
+    values = smoothed([len(text) / max(1, tags) for text, tags, *_ in lines])
     cut = threshold(values)
-    parents, kinds = parser.parents, parser.kinds
+    parents = parser.parents
+    stated = [k in ("article", "main") for k in parser.kinds]  # containers come before those inside them
+    for i, p in enumerate(parents):
+        stated[i] = stated[i] or (p >= 0 and stated[p])
+    mine = [linked < 0.9 * len(text.replace(" ", "")) for text, _, linked, *_ in lines]  # not made of links only
     held = [0] * len(parents)
-    total = 0
-    for (text, _, linked, at), v in zip(lines, values, strict=True):
-        weight = max(0, len(text) - linked) if v >= cut else 0
-        total += weight
-        while at >= 0:
-            held[at] += weight
-            at = parents[at]
-    stated = [i for i, k in enumerate(kinds) if k in ("article", "main") and held[i]]
-    articles = [i for i in stated if kinds[i] == "article"]
-    root = max(articles or stated, key=lambda i: held[i], default=-1)
-    plain = root < 0
-    if plain:
-        root = 0
-        while inner := [i for i, p in enumerate(parents) if p == root and held[i] > MOST * total]:
-            root = inner[0]
+    for (_, _, _, at, title), v, own in zip(lines, values, mine, strict=True):
+        held[at] += own and (v >= cut or title or stated[at])
+    for i in range(len(parents) - 1, 0, -1):
+        held[parents[i]] += held[i]
+    root = max(i for i, n in enumerate(held) if n == held[0]) if held[0] else 0
     inside = [False] * len(parents)
     for i, p in enumerate(parents):
         inside[i] = i == root or (p >= 0 and inside[p])
-    return "\n".join(text for text, _, linked, at in lines if inside[at] and not (plain and linked >= 0.9 * len(text.replace(" ", ""))))
+    return "\n".join(text for (text, _, _, at, _), own in zip(lines, mine, strict=True) if inside[at] and (own or stated[at]))
 
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:

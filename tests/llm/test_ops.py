@@ -289,6 +289,23 @@ def test_main_text(html, want):
     assert html_text.main_text(html or "") == want
 
 
+WORDS = "many plain words of a real sentence stand here and go on"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<body><div id=c><h1>T</h1><div><p>{WORDS}<p>{WORDS}<p>{WORDS}</div><div><p>{WORDS} B</div></div>", f"T\n{WORDS}\n{WORDS}\n{WORDS}\n{WORDS} B"),
+        (f"<main><p>{WORDS}<p>{WORDS}<article class=card><p>teaser of a few words</article></main>", f"{WORDS}\n{WORDS}\nteaser of a few words"),
+        (f"<body><article><p>{WORDS} A<p>{WORDS}</article><article><p>{WORDS} B</article><div class=ad><p>{WORDS}</div>", f"{WORDS} A\n{WORDS}\n{WORDS} B"),
+        (f"<body><h1><span>Title</span></h1><div id=b><p>{WORDS}<p>{WORDS}</div><div><a>one</a></div>", f"Title\n{WORDS}\n{WORDS}"),
+        (f"<body><article><p>{WORDS} A</article><main><p>{WORDS} B<p>{WORDS}</main>", f"{WORDS} A\n{WORDS} B\n{WORDS}"),
+    ],
+)
+def test_main_text_is_whole(html, want):
+    assert html_text.main_text(html) == want
+
+
 def test_html_frame(spark):
     got = html_text.extract(frame(spark, [(1, None), (1, "<p>a"), (2, "<p>b" * 20_000)], "page_id long, html string")).collect()
     assert [len(r.main_text) for r in got] == [0, 1, 39_999]
