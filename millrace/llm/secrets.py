@@ -2,9 +2,12 @@
 
 Candidates are runs of at least WINDOW token characters. For each character class of CLASSES, runs of that class are
 walked with a window whose character counts, and with them the sum of c * log2(c), are kept up to date one step at a
-time; windows at or above the class's entropy that mix the kinds of characters asked for are joined into a span. Spans
-of the allow list (plain words, URLs and paths, dates and versions, masked or filler strings) and spans inside a
-pattern's span are left out. Pattern spans are never suppressed.
+time; windows at or above the class's entropy that hold letters and digits, or at least MIXED letters of either case,
+are joined into a stretch. Pattern spans are never suppressed, and are cut out of a stretch: what is left on either side
+is a span where it has WINDOW characters. A stretch inside another span is left out, one that is wider is a span too.
+
+The allow list: a span that is all words, paths, dates or numbers, where no window mixes cases, and a stretch whose
+every window touches a filler (``example``, ``0000``, ...); one window clear of fillers is enough for the whole stretch.
 
 Defined results: null or empty text has no spans; spans are code points, end exclusive; repeated rows stay; an empty
 table gives no rows; scan() passes further columns on and refuses an input that already has a column ``spans``.
@@ -34,24 +37,32 @@ CLASSES = (
     ("entropy_alnum", re.compile(r"[A-Za-z0-9]{20,}"), 3.6),
     ("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.8),
 )
-ALLOWED = re.compile(
-    r"[A-Za-z]+|[a-z_.-]+|[A-Z_.-]+|[0-9_./-]+|(?:[A-Za-z]+[-_./])+[A-Za-z]+[0-9]{0,4}|https?.*|www\..*|v?[0-9]+(?:\.[0-9]+)+.*|.*(?:example|sample|dummy|placeholder|redacted|xxxx|0000|1234567).*",
-    re.I,
-)
+ALLOWED = re.compile(r"[a-z_.-]+|[0-9_./-]+|(?:[a-z]+[-_./])+[a-z]+[0-9]{0,4}", re.I)
+FILLER = re.compile(r"example|sample|dummy|placeholder|redacted|xxxx|0000|1234567", re.I)
+MIXED = 5
 _TERM = [0.0, *[c * math.log2(c) for c in range(1, WINDOW + 1)]]
 _BITS = math.log2(WINDOW)
 
 
 def windows(run: str, least: float) -> Iterator[tuple[int, int]]:
-    """Maximal stretches of ``run`` covered by windows of at least ``least`` bits a character that hold letters and digits."""
+    """Maximal stretches of ``run`` covered by windows of at least ``least`` bits a character that mix kinds of characters."""
+    for a, b, _, _ in stretches(run, least):
+        yield a, b
+
+
+def stretches(run: str, least: float) -> Iterator[tuple[int, int, bool, bool]]:
+    """The same with two marks: whether a window mixes cases, and whether one touches no filler."""
+    fillers = [m.span() for m in FILLER.finditer(run)]
     counts: dict[str, int] = {}
-    total, digits, letters, begun, ended = 0.0, 0, 0, -1, -1
+    total, digits, letters, upper, begun, ended, near = 0.0, 0, 0, 0, -1, -1, 0
+    mixes = clear = False
     for i, c in enumerate(run):
         n = counts.get(c, 0)
         counts[c] = n + 1
         total += _TERM[n + 1] - _TERM[n]
         digits += c.isdigit()
         letters += c.isalpha()
+        upper += c.isupper()
         if i >= WINDOW:
             gone = run[i - WINDOW]
             n = counts[gone]
@@ -59,16 +70,33 @@ def windows(run: str, least: float) -> Iterator[tuple[int, int]]:
             total -= _TERM[n] - _TERM[n - 1]
             digits -= gone.isdigit()
             letters -= gone.isalpha()
-        if i >= WINDOW - 1 and digits and letters and _BITS - total / WINDOW >= least:
+            upper -= gone.isupper()
+        if i < WINDOW - 1 or _BITS - total / WINDOW < least:
+            continue
+        mixed = upper >= MIXED and letters - upper >= MIXED
+        if mixed or (digits and letters):
             lo = i - WINDOW + 1
             if begun >= 0 and lo > ended:
-                yield begun, ended
+                yield begun, ended, mixes, clear
                 begun = -1
             if begun < 0:
-                begun = lo
+                begun, mixes, clear = lo, False, False
             ended = i + 1
+            mixes = mixes or mixed
+            while near < len(fillers) and fillers[near][0] <= i:
+                near += 1
+            clear = clear or not near or fillers[near - 1][1] <= lo
     if begun >= 0:
-        yield begun, ended
+        yield begun, ended, mixes, clear
+
+
+def _outside(lo: int, hi: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of [lo, hi) outside the spans of ``taken``, which are in order."""
+    for x, y in taken:
+        if x < hi and lo < y:
+            yield lo, x
+            lo = y
+    yield lo, hi
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -76,20 +104,23 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     found = [(*m.span(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     found += [(*m.span(), 1) for m in ACCESS.finditer(text)]
     found += [(*m.span(), 2) for m in HEX.finditer(text)]
-    base = list(found)
+    base = sorted((a, b) for a, b, _ in found)
     for m in RUN.finditer(text):
         run, off = m.group(), m.start()
-        if run.isalpha():
+        if run.isalpha() and run[1:].islower():
             continue
-        taken: list[tuple[int, int]] = [(a, b) for a, b, _ in base]
+        within = [(x, y) for x, y in base if off < y and x < m.end()]
+        taken: list[tuple[int, int]] = []
         for number, (_, shape, least) in enumerate(CLASSES, 3):
             for piece in shape.finditer(run):
-                for a, b in windows(piece.group(), least):
+                for a, b, mixes, clear in stretches(piece.group(), least):
                     lo, hi = off + piece.start() + a, off + piece.start() + b
-                    if any(lo < y and x < hi for x, y in taken) or ALLOWED.fullmatch(text[lo:hi]):
+                    if not clear:
                         continue
-                    taken.append((lo, hi))
-                    found.append((lo, hi, number))
+                    for x, y in _outside(lo, hi, within):
+                        if y - x >= WINDOW and not any(p <= x and y <= q for p, q in taken) and (mixes or not ALLOWED.fullmatch(text[x:y])):
+                            taken.append((x, y))
+                            found.append((x, y, number))
     return sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
 

@@ -204,6 +204,27 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "head",
+    ["AKIA" + "Q7W2" * 4 + "/", "0123456789abcdef01234567-", "", "a/", "Kf0000"],
+)
+def test_secrets_beside_patterns(head):
+    rng = random.Random(11)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"):
+        secret = "".join(rng.choices(alphabet, k=60))
+        said = secrets.masked(text := f"x {head}{secret} y", secrets.spans_of(text), "*")
+        assert not any(secret[i : i + 8] in said for i in range(53)), said
+
+
+def test_secrets_by_window():
+    key = "aZ3kQ9xW7vB1nM5tR8yU2pL6"
+    rest = f"{key}_token=abcdef"
+    assert secrets.masked(rest, secrets.spans_of(rest), "*") == "**"
+    assert [text[a:b] for text in [f"{key}0000{key}"] for a, b, _ in secrets.spans_of(text)] == [f"{key}0000{key}"]
+    for text in ("your_example_key_1234567_here", "sk-xxxxxxxxxxxx1234567abcdef", "some/long/path-of/plain_words/here2024", "getUserAccountInformationByName", "SUPERCALIFRAGILISTICEXPIALIDOCIOUS"):
+        assert secrets.spans_of(text) == []
+
+
 def test_entropy_is_incremental():
     rng = random.Random(8)
     for _ in range(200):
