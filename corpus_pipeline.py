@@ -36,7 +36,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One draw at the fitted rates; good documents keep their tokens, the other domains are thinned."""
+    """One draw at the fitted rates; good documents keep their tokens, the other domains are thinned or repeated."""
     return mixing.thinned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

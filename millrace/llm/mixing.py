@@ -10,7 +10,9 @@ the documents with a rate above zero, in which a step meets the targets at once
 zero. A step needs a few numbers per domain from the cluster, and a rate follows from a document's posterior and the
 steps so far, so a pass is one narrow aggregate and a handful of passes do.
 
-The budget is set so that the domain ``whole`` keeps all its tokens (times SLACK); the others are thinned.
+The budget is set so that the domain ``whole`` keeps all its tokens (times SLACK); the others are thinned or repeated:
+a document at rate r is taken floor(r) times, and once more by one draw on the fraction, so that rates above 1 take effect.
+fit() warns with the domains' misses where its passes run out before the targets are met.
 
 Defined results: null text has no words, no tokens and the prior as posterior; labels that are null are left out,
 repeated ones count once as the smallest; without labels the posterior is uniform; domains without tokens are left out
@@ -20,6 +22,8 @@ and refuse an input that already has a column of a name they add.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,15 +125,17 @@ def fit(narrow: DataFrame, targets: dict[str, float] = TARGETS, whole: str = "go
         step = np.linalg.lstsq(gram, np.where(now > 0, now - aims, 0.0), rcond=1e-9)[0]
         steps.append([float(x) for x in step])
         now, gram = totals(rate(steps))
+    if missed := {d: f"{x / a:.4f}" for d, x, a in zip(DOMAINS, now, aims, strict=True) if x > 0 and abs(x - a) > CLOSE * max(a, 1e-12)}:
+        warnings.warn(f"mixing: after {len(steps)} passes the domains hold this share of their target tokens: {missed}", stacklevel=2)
     return steps, dict(zip(DOMAINS, aims.tolist(), strict=True))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, whole: str = "good") -> DataFrame:
-    """(doc_id, n_tokens, p_good, p_poor, p_toxic, rate, drawn): every document's fitted rate, and whether one draw at that rate takes it."""
+    """(doc_id, n_tokens, p_good, p_poor, p_toxic, rate, copies, drawn): every document's fitted rate, how often one draw takes it, and whether at all."""
     keyed = docs.select("doc_id", "text", draw().alias("u"))
     narrow = cut(posteriors(keyed, train(docs, labels)).select("doc_id", "u", *ADDED))
     steps, _ = fit(narrow, targets, whole)
-    return narrow.withColumn("rate", rate(steps)).withColumn("drawn", F.col("u") < F.col("rate")).drop("u")
+    return narrow.withColumn("rate", rate(steps)).withColumn("copies", copies(F.col("rate"), F.col("u"))).withColumn("drawn", F.col("copies") > 0).drop("u")
 
 
 def draw() -> Column:
@@ -137,9 +143,15 @@ def draw() -> Column:
     return F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 24)) / float(1 << 24)
 
 
+def copies(r: Column, u: Column) -> Column:
+    """How often a document at rate ``r`` is taken with draw ``u``; ``r`` times in the mean."""
+    return F.floor(r) + F.when(u < r - F.floor(r), 1).otherwise(0)
+
+
 def thinned(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, whole: str = "good") -> DataFrame:
-    """The documents that one draw at the fitted rates takes, with their own columns only."""
+    """The documents that one draw at the fitted rates takes, each as often as it is taken, with their own columns only."""
     model = train(docs, labels)
     steps, _ = fit(cut(posteriors(docs.select("text"), model).select(*ADDED)), targets, whole)
     columns = docs.columns
-    return posteriors(docs, model).where(draw() < rate(steps)).select(*columns)
+    taken = posteriors(docs.withColumn("__u", draw()), model).withColumn("__n", copies(rate(steps), F.col("__u"))).where("__n > 0")
+    return taken.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int"))).alias("__copy")).select(*columns)

@@ -354,6 +354,26 @@ def test_mixing(spark):
     assert mixing.thinned(docs.withColumn("drawn", F.lit(1)), labels).columns == [*docs.columns, "drawn"]
 
 
+def test_mixing_repeats_what_is_scarce(spark):
+    rng = random.Random(5)
+    said = {"good": "alpha beta gamma delta", "poor": "click buy now cheap", "toxic": "hate vile awful scum"}
+    kinds = ["good"] * 900 + ["poor"] * 4 + ["toxic"] * 9
+    rows = [(i, " ".join(rng.choices(said[k].split(), k=60))) for i, k in enumerate(kinds)]
+    labels = frame(spark, [(i, int(k != "poor"), int(k == "toxic")) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    out = [r.doc_id for r in mixing.thinned(frame(spark, rows), labels).collect()]
+    many = collections.Counter(kinds[i] for i in out)
+    assert set(out) == set(range(len(rows)))
+    for k, target in mixing.TARGETS.items():
+        assert abs(many[k] / len(out) - target) < 0.006, many
+    got = mixing.mixed(frame(spark, rows), labels).collect()
+    assert sum(r.copies for r in got) == len(out) and all(r.drawn and abs(r.copies - r.rate) < 1 for r in got)
+
+
+def test_mixing_says_what_it_missed(spark):
+    with pytest.warns(UserWarning, match="target tokens"):
+        mixing.mixed(frame(spark, [(1, "a b"), (2, "c d")]), frame(spark, [], "doc_id long, quality int, toxic int"))
+
+
 # ---- byte-level BPE
 
 
