@@ -2,18 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text as X
 from millrace.functions import udfs
 
 
-def places(text: Column, quote: Column) -> Column:
-    """array<int>: 0-based starts of all occurrences of a quote, overlapping ones too."""
-    n, m = F.length(text), F.length(quote)
-    starts = F.when((m > 0) & (n >= m), F.sequence(F.lit(0), n - m)).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda i: F.substring(text, i + 1, m) == quote)
+GRAMS = (32, 8, 1)  #: lengths of the quotes' heads by which a page is searched
+
+
+def places(texts: list[str | None], quotes: set[str]) -> dict[str, list[tuple[int, int]]]:
+    """All occurrences of each quote, overlapping ones too, as (index of the text, 0-based start): one walk over the texts for each length of heads."""
+    found: dict[str, list[tuple[int, int]]] = {q: [] for q in quotes}
+    at_least = {q: next(g for g in GRAMS if len(q) >= g) for q in quotes if q}
+    for g in set(at_least.values()):
+        heads: dict[str, list[str]] = {}
+        for q in at_least:
+            if at_least[q] == g:
+                heads.setdefault(q[:g], []).append(q)
+        for k, text in enumerate(texts):
+            for i in range(len(text or "") - g + 1):
+                for q in heads.get(text[i : i + g], ()):
+                    if text.startswith(q, i):
+                        found[q].append((k, i))
+    return found
+
+
+def _search(spans: pa.Table, blocks: pa.Table) -> pa.Table:
+    """(span_id, block_id, start, how) of one page's spans."""
+    ids, paths, texts = (blocks.column(c).to_pylist() for c in ("block_id", "path", "text"))
+    own: dict = {}
+    for k, i in enumerate(ids):
+        own.setdefault(i, []).append(texts[k])
+    out, open_ = [], []
+    for s in spans.to_pylist():
+        start, quote, block = s["start"], s["quote"], s["block_id"]
+        for text in own.get(block, [None]) if block is not None else [None]:
+            if None not in (text, start, quote) and start >= 0 and text.startswith(quote, start):
+                out.append((s["span_id"], block, start, "exact"))
+            else:
+                open_.append(s)
+    hits = places(texts, {s["quote"] for s in open_ if s["quote"]})
+    known: dict[tuple, tuple] = {}
+    for s in open_:
+        quote, path, prefix, suffix = s["quote"], s["path"], s["prefix"], s["suffix"]
+        key = (quote, None if path is None else tuple(path), prefix, suffix)
+        if key not in known:
+            every = hits.get(quote, [])
+            here = []
+            if prefix is not None and suffix is not None:
+                here = [(k, i) for k, i in every if paths[k] == path and i >= len(prefix) and texts[k].startswith(prefix, i - len(prefix)) and texts[k].startswith(suffix, i + len(quote))]
+            one, how = (here, "context") if len(here) == 1 else (every, "page") if len(every) == 1 else ([], "lost")
+            known[key] = (ids[one[0][0]], one[0][1], how) if one else (None, None, how)
+        out.append((s["span_id"], *known[key]))
+    types = (spans.schema.field("span_id").type, blocks.schema.field("block_id").type, pa.int32(), pa.string())
+    return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["span_id", "block_id", "start", "how"])
 
 
 def resolve(spans: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -21,23 +67,13 @@ def resolve(spans: DataFrame, blocks: DataFrame) -> DataFrame:
 
     A span whose block still holds its quote at its place is 'exact'. Otherwise the quote is looked for under the same
     heading path, with its context, and then on the page; only a single hit counts. 'lost' spans have no place.
+    A page is searched in one task, in time that grows with its length and its hits, not with blocks times spans.
     spans: span_id, page, block_id, path, start, quote, prefix, suffix; blocks: page, block_id, path, text.
     """
-    own = spans.join(blocks.select("page", "block_id", F.col("text").alias("own")), ["page", "block_id"], "left")
-    exact = F.col("own").isNotNull() & (F.substring(F.col("own"), F.col("start") + 1, F.length("quote")) == F.col("quote"))
-    kept = own.where(exact).select("span_id", "block_id", "start", F.lit("exact").alias("how"))
-    open_ = own.where(~F.coalesce(exact, F.lit(False))).select("span_id", "page", "path", "quote", "prefix", "suffix")
-    near = blocks.select("page", "block_id", F.col("path").alias("bpath"), "text")
-    hits = open_.join(near, "page").where(F.col("text").contains(F.col("quote"))).select("*", F.explode(places(F.col("text"), F.col("quote"))).alias("at"))
-    before = F.substring(F.col("text"), F.col("at") - F.length("prefix") + 1, F.length("prefix"))
-    around = (F.col("at") >= F.length("prefix")) & (before == F.col("prefix"))
-    after = F.substring(F.col("text"), F.col("at") + F.length("quote") + 1, F.length("suffix"))
-    hits = hits.withColumn("here", F.col("path").eqNullSafe(F.col("bpath")) & around & (after == F.col("suffix")))
-    by = hits.groupBy("span_id").agg(F.count_if("here").alias("nh"), F.max(F.when(F.col("here"), F.struct("block_id", "at"))).alias("h"), F.count("*").alias("na"), F.max(F.struct("block_id", "at")).alias("a"))
-    found = open_.select("span_id").join(by, "span_id", "left")
-    one = F.when(F.col("nh") == 1, F.struct(F.lit("context").alias("how"), F.col("h").alias("p"))).when(F.col("na") == 1, F.struct(F.lit("page").alias("how"), F.col("a").alias("p")))
-    found = found.withColumn("r", one).select("span_id", "r.p.block_id", F.col("r.p.at").alias("start"), F.coalesce("r.how", F.lit("lost")).alias("how"))
-    return kept.unionByName(found)
+    types = {f.name: f.dataType for f in [*spans.schema, *blocks.schema]}
+    schema = T.StructType([T.StructField("span_id", types["span_id"]), T.StructField("block_id", types["block_id"]), T.StructField("start", T.IntegerType()), T.StructField("how", T.StringType())])
+    wanted = spans.select("span_id", "page", "block_id", "path", "start", "quote", "prefix", "suffix").groupBy("page")
+    return wanted.cogroup(blocks.where("page IS NOT NULL").select("page", "block_id", "path", "text").groupBy("page")).applyInArrow(_search, schema)
 
 
 def folded(ops: DataFrame) -> DataFrame:

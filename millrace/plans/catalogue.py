@@ -621,11 +621,10 @@ def example_checks(spark, d):
 
 @query()
 def anchor_resolution(spark, d):
-    """Spans of the documents' first words, found again after their blocks were renumbered."""
-    blocks = B.text_blocks_narrow(read(spark, d, "documents"), separator="\n").where("block < 4")
+    """A span over each block of the documents, found again after the blocks were renumbered."""
+    blocks = B.text_blocks_narrow(read(spark, d, "documents"), separator="\n")
     now = blocks.select(F.col("doc_id").alias("page"), (F.col("block") + 1).cast("string").alias("block_id"), F.array(F.lit("p")).alias("path"), "text")
-    n = F.least(F.length("text"), F.lit(30))
-    spans = blocks.select(F.concat_ws(":", "doc_id", "block").alias("span_id"), F.col("doc_id").alias("page"), F.col("block").cast("string").alias("block_id"), F.array(F.lit("p")).alias("path"), F.lit(0).alias("start"), F.left("text", n).alias("quote"), F.lit("").alias("prefix"), F.lit("").alias("suffix"))
+    spans = blocks.select(F.concat_ws(":", "doc_id", "block").alias("span_id"), F.col("doc_id").alias("page"), F.col("block").cast("string").alias("block_id"), F.array(F.lit("p")).alias("path"), F.lit(0).alias("start"), F.col("text").alias("quote"), F.lit("").alias("prefix"), F.lit("").alias("suffix"))
     return G.resolve(spans, now)
 
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from millrace.operators import golden as G
+from millrace.plans import catalogue
 
 
 def test_resolve(spark):
@@ -12,6 +13,17 @@ def test_resolve(spark):
     }
 
 
+def test_places():
+    assert G.places(["aaa", None, "é" * 40, "xaa"], {"aa", "é" * 39}) == {"aa": [(0, 0), (0, 1), (3, 1)], "é" * 39: [(2, 0), (2, 1)]}
+
+
+def test_anchor_resolution_sees_whole_documents(spark, tmp_path):
+    lines = [f"{'the same first thirty characters of a line'} {i}" for i in range(9)] + ["again", "again"]
+    spark.createDataFrame([(1, "\n".join(lines), "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.span_id: (r.block_id, r.how) for r in catalogue.queries()["anchor_resolution"](spark, str(tmp_path)).collect()}
+    assert got == {f"1:{i}": (str(i + 1), "context") for i in range(9)} | {"1:9": (None, "lost"), "1:10": ("10", "exact")}
+
+
 def test_folded(spark):
     ops = [("1", "t1", "span", "r", None, "a"), ("2", "t2", "span", "r", None, "b"), ("3", "t1", "span", "c", "r", "x"), ("4", "t1", "span", "d", "q", "x"), ("5", "t1", "span", "q", None, "q"), ("6", "t3", "span_del", "q", None, None)]
     got = G.folded(spark.createDataFrame(ops, "op_id string, at string, op string, span_id string, of string, body string"))
