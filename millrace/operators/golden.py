@@ -95,19 +95,118 @@ def sweep_errors(dropped: DataFrame, candidates: DataFrame, spans: DataFrame, sw
     return kept.join(dropped.select("page", "uid"), ["page", "uid"], "left_anti").select("page", "uid")
 
 
+# What a number is, and words that forbid.
+NUMBER = r"\b\d+\b"
+FORBIDS = r"(?iU)^(?:don['’]t|do not|never|avoid)\b"
+
+
 def lint(rules: DataFrame) -> DataFrame:
-    """(uid, level, finding) by the rule checks. rules: uid, statement, direction, violation_condition, modality, swept, preconditions."""
-    s = F.lower(X.normalise_statement(F.col("statement")))
-    negative = s.rlike(r"(?U)^(don't|do not|never|avoid)\b")
+    """(uid, level, finding) by the checks of a kept rule. rules: uid, status, statement, body, clarity, modality, violation_condition, direction, preconditions.
+
+    A threshold that stands in a condition of an unambiguous rule, but not in the page's words, was chosen. A permission
+    can never be broken: that is said, and nothing else. Then: no condition, no direction, a direction that the wording
+    contradicts, and a condition that repeats the rule.
+    """
+    told = X.normalise_statement(F.col("statement"))
+    numbers = lambda c: F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0))
+    stated = numbers(F.concat_ws(" ", "statement", "body"))
+    chosen = F.size(F.array_except(F.flatten(F.transform("preconditions", numbers)), stated)) > 0
+    permission = F.col("modality").eqNullSafe("MAY")
+    blank = lambda c: F.coalesce(X.strip(F.col(c)), F.lit("")) == ""
+    forbids = F.col("statement").rlike(FORBIDS)
+    instructs = F.coalesce(X.directive_cue(F.col("statement")).isin("imperative", "conditional"), F.lit(False))
+    inverted = ((F.col("direction") == "presence") & instructs & ~forbids) | ((F.col("direction") == "absence") & forbids)
+    found = lambda where, level, name: F.when(where, F.struct(F.lit(level).alias("level"), F.lit(name).alias("finding")))
     checks = F.array_compact(F.array(
-        F.when(~F.col("swept"), F.struct(F.lit("look").alias("level"), F.lit("not-swept").alias("finding"))),
-        F.when((F.col("modality") == "MAY") & (F.col("direction") == "presence"), F.struct(F.lit("check").alias("level"), F.lit("permission").alias("finding"))),
-        F.when(F.coalesce(X.strip(F.col("violation_condition")), F.lit("")) == "", F.struct(F.lit("fix").alias("level"), F.lit("no-violation-condition").alias("finding"))),
-        F.when(negative & (F.col("direction") == "absence"), F.struct(F.lit("fix").alias("level"), F.lit("direction-inverted").alias("finding"))),
-        F.when(F.exists("preconditions", lambda p: F.lower(X.normalise_statement(p)) == s), F.struct(F.lit("check").alias("level"), F.lit("precondition-restates").alias("finding"))),
-        F.when(F.col("statement").rlike(r"\b\d+ (?:words|characters|per cent)\b"), F.struct(F.lit("look").alias("level"), F.lit("chosen-threshold").alias("finding"))),
+        found((F.col("clarity") == "unambiguous") & chosen, "check", "chosen-threshold"), found(permission, "check", "permission-as-rule"),
+        found(~permission & blank("violation_condition"), "fix", "no-violation-condition"), found(~permission & blank("direction"), "fix", "no-direction"),
+        found(~permission & inverted, "check", "direction-looks-inverted"), found(~permission & F.exists("preconditions", lambda p: X.normalise_statement(p) == told), "check", "precondition-restates-rule"),
     ))
-    return rules.select("uid", F.explode(checks).alias("c")).select("uid", "c.*")
+    kept = rules.where(F.col("status").isin("accepted", "amended"))
+    return kept.select("uid", F.explode(checks).alias("c")).select("uid", "c.*")
+
+
+def unswept(rules: DataFrame, sweeps: DataFrame) -> DataFrame:
+    """(page): pages with marked rules that no one has completed; nothing can be measured there."""
+    return rules.select("page").distinct().join(sweeps.where("status = 'complete'").select("page"), "page", "left_anti")
+
+
+def nearest_labels(blocks: DataFrame, key: str = "page", order: str = "ord", labels: tuple[str, ...] = X.POSITIVE_LABELS + X.NEGATIVE_LABELS + X.NEUTRAL_LABELS) -> DataFrame:
+    """Adds label: the last one up to a block, be it a heading or a paragraph; a heading that is none ends its reach."""
+    said = F.lower(X.strip(F.col("plain")))
+    mark = F.when(said.isin(*labels), said).when(F.col("kind") == "heading", "")
+    seen = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return blocks.withColumn("label", F.coalesce(F.last(mark, ignorenulls=True).over(seen), F.lit("")))
+
+
+def example_polarity(examples: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(span_id, level, label): examples whose kind the page's own label contradicts, or that the page shows as neutral.
+
+    examples: span_id, page, block_id, kind; labelled: page, block_id, label.
+    """
+    rows = examples.join(labelled.select("page", "block_id", "label"), ["page", "block_id"])
+    wrong = ((F.col("kind") == "violating") & F.col("label").isin(*X.POSITIVE_LABELS)) | ((F.col("kind") == "compliant") & F.col("label").isin(*X.NEGATIVE_LABELS))
+    level = F.when(wrong, "fix").when((F.col("kind") == "violating") & F.col("label").isin(*X.NEUTRAL_LABELS), "check")
+    return rows.select("span_id", level.alias("level"), "label").where("level IS NOT NULL")
+
+
+def unused_labelled(blocks: DataFrame, spans: DataFrame) -> DataFrame:
+    """(page, path, blocks): example blocks under a label of right or wrong that no span uses. blocks: page, block_id, path, example, label."""
+    own = blocks.where(F.col("example") & F.col("label").isin(*X.POSITIVE_LABELS, *X.NEGATIVE_LABELS))
+    return own.join(spans.select("page", "block_id").distinct(), ["page", "block_id"], "left_anti").groupBy("page", "path").agg(F.count("*").alias("blocks"))
+
+
+def unmarked_directives(sentences: DataFrame, spans: DataFrame, rules: DataFrame) -> DataFrame:
+    """(page, block_id, start, text, owner): instructions that nothing accounts for, with the marked heading rule they stand under, if any.
+
+    sentences: page, block_id, path, start, end, text (instructions outside examples); spans: page, block_id, start, end;
+    rules: page, uid, path, statement, specification, preconditions, heading (whether the rule is its heading).
+    """
+    s, t = sentences.alias("s"), spans.alias("t")
+    over = (F.col("s.page") == F.col("t.page")) & (F.col("s.block_id") == F.col("t.block_id")) & (F.col("t.start") < F.col("s.end")) & (F.col("s.start") < F.col("t.end"))
+    loose = s.join(t, over, "left_anti")
+    words = F.concat_ws(" ", X.normalise_statement(F.col("specification")), F.transform("preconditions", X.normalise_statement), X.normalise_statement(F.col("statement")))
+    told = rules.groupBy("page").agg(F.array_join(F.collect_list(words), " ").alias("told"))
+    loose = loose.join(told, "page", "left")
+    loose = loose.where(~F.coalesce(F.contains("told", F.rtrim(X.normalise_statement(F.col("text")), F.lit("."))), F.lit(False))).drop("told")
+    # The owner is found by the prefixes of a sentence's path: an equi-join, not a comparison with every heading.
+    prefixes = loose.select("page", "block_id", "start", "text", F.posexplode_outer(F.transform(F.sequence(F.lit(1), F.greatest(F.size("path"), F.lit(1))), lambda n: F.slice("path", 1, n))).alias("k", "prefix"))
+    heads = rules.where("heading").groupBy("page", F.col("path").alias("prefix")).agg(F.min("uid").alias("uid"))
+    met = prefixes.join(heads, ["page", "prefix"], "left")
+    return met.groupBy("page", "block_id", "start", "text").agg(F.max_by("uid", F.when(F.col("uid").isNotNull(), F.col("k"))).alias("owner"))
+
+
+def resolved_pointers(pointers: DataFrame, blocks: DataFrame, titles: DataFrame) -> DataFrame:
+    """Adds start and refused: no such block, quote not found, quote not unique, page title, or duplicate; null where it holds.
+
+    pointers: page, ord, block_id, quote; blocks: page, block_id, plain; titles: page, title.
+    """
+    rows = pointers.join(blocks.select("page", "block_id", "plain"), ["page", "block_id"], "left").join(titles, "page", "left")
+    at = F.position(F.col("quote"), F.col("plain"))
+    more = F.position(F.col("quote"), F.col("plain"), (at + 1).cast("int"))
+    first = F.row_number().over(Window.partitionBy("page", "block_id", "quote").orderBy("ord"))
+    why = (
+        F.when(F.col("plain").isNull(), "no such block").when((F.coalesce(F.col("quote"), F.lit("")) == "") | (at == 0), "quote not found").when(more > 0, "quote not unique")
+        .when(X.normalise_statement(F.col("quote")) == X.normalise_statement(F.col("title")), "page title").when(first > 1, "duplicate")
+    )
+    return rows.withColumn("refused", why).withColumn("start", F.when(F.col("refused").isNull(), at - 1)).drop("plain", "title")
+
+
+def second_reading(items: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Adds verdict and settled: an item of one drafter that another family's reading calls a rule is taken. items: page, rid, kind; verdicts: page, rid, verdict."""
+    rows = items.join(verdicts, ["page", "rid"], "left").withColumn("verdict", F.when(F.col("kind") == "single", F.col("verdict")))
+    return rows.withColumn("settled", F.coalesce(F.col("verdict") == "rule", F.lit(False)))
+
+
+def dropped_candidates(candidates: DataFrame, rules: DataFrame, scores: DataFrame) -> DataFrame:
+    """(page, uid, rid): kept or paired candidates that no rule of the consensus marks; rid is the agreed rule that restates one, null for an item to decide.
+
+    candidates: page, uid, status, paired; rules: page, rid, seed_uid, agreed; scores: page, uid, rid, score.
+    """
+    kept = candidates.where(~F.col("status").isin("rejected", "deferred") & (F.col("status").isin("accepted", "amended") | F.col("paired")))
+    kept = kept.join(rules.where("seed_uid IS NOT NULL").select("page", F.col("seed_uid").alias("uid")), ["page", "uid"], "left_anti")
+    best = scores.where("score > 0").join(rules.where("agreed").select("page", "rid"), ["page", "rid"]).groupBy("page", "uid").agg(F.max_by("rid", F.struct("score", "rid")).alias("rid"))
+    return kept.join(best, ["page", "uid"], "left").select("page", "uid", "rid")
 
 
 def check_examples(matchers: list[tuple[str, str, dict]], examples: DataFrame) -> DataFrame:

@@ -159,3 +159,41 @@ def violations(rules: DataFrame) -> DataFrame:
         F.when((F.col("clarity") == "ambiguous_resolvable") & (F.coalesce(F.col("specification"), F.lit("")) == ""), "resolvable needs a specification"),
     ))
     return rules.select("uid", F.explode(broken).alias("contract"))
+
+
+# What a reviewer may set, and when a decision was too fast to be one.
+VOCABULARY = {
+    "unit": ("character", "token", "phrase", "sentence", "paragraph", "block", "section", "document", "artifact"),
+    "clarity": ("unreviewed", "unambiguous", "ambiguous_resolvable", "ambiguous_deferred", "not_automatable"),
+    "direction": ("presence", "absence"),
+    "modality": ("MUST", "MUST_NOT", "SHOULD", "SHOULD_NOT", "MAY", "PREFER"),
+}
+REVIEWER_STATUSES = ("accepted", "amended", "rejected", "deferred")
+HASTY_MS = 2500
+
+
+def patched(rules: DataFrame, patches: DataFrame, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
+    """A row a patch, whole or not at all: reject_reason, and the rule's status, unit, clarity, direction, modality, specification and note after it.
+
+    rules: uid, status, unit, clarity, direction, modality, specification; patches: uid, fields (names the patch sets),
+    status, unit, clarity, direction, modality, specification, note, reasons, elapsed_ms; null where not set. One patch a rule.
+    """
+    names = ("status", "unit", "clarity", "direction", "modality", "specification")
+    editable = F.array(*[F.lit(x) for x in ("review_status", "unit", "applies_to", "clarity", "direction", "modality", "violation_condition", "specification", "note", "reasons", "elapsed_ms", "detection_hint")])
+    was = rules.select("uid", *[F.col(c).alias(f"was_{c}") for c in names])
+    rows = patches.join(was, "uid")
+    new = {c: F.coalesce(c, f"was_{c}") for c in names}
+    spec = F.coalesce(X.strip(new["specification"]), F.lit("")) == ""
+    why = F.when(F.size(F.array_except("fields", editable)) > 0, "field not editable")
+    for c, values in vocabulary.items():
+        why = why.when(F.col(c).isNotNull() & ~F.col(c).isin(*values), f"unknown {c}")
+    why = (
+        why.when(F.col("status").isNotNull() & ~F.col("status").isin(*REVIEWER_STATUSES), "status not settable")
+        .when(F.col("status").isNotNull() & (new["clarity"] == "ambiguous_resolvable") & spec, "interpretation missing")
+        .when(F.col("status").isin(*LOADABLE) & (new["clarity"] == "unreviewed"), "clarity not set")
+    )
+    listed = F.filter(F.coalesce("reasons", F.array().cast("array<string>")), lambda r: r != "")
+    note = F.concat_ws(" ", F.when(F.size(listed) > 0, F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]"))), F.when(F.coalesce("note", F.lit("")) != "", F.col("note")), F.when(F.col("elapsed_ms") < HASTY_MS, "(hasty)"))
+    rows = rows.withColumn("reject_reason", why)
+    held = F.col("reject_reason").isNotNull()
+    return rows.select("uid", "reject_reason", *[F.when(held, F.col(f"was_{c}")).otherwise(v).alias(c) for c, v in new.items()], F.when(~held & F.col("status").isNotNull(), note).alias("note"))

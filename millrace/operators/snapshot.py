@@ -81,7 +81,14 @@ def chain(states: DataFrame, key: str = "path", order: str = "snapshot_id", dige
     return states.withColumn("before", before).withColumn("change", F.when(F.col("before").isNull(), "added").when(F.col("before") != F.col(digest), "altered").otherwise("unchanged"))
 
 
-def lock_digest(states: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
-    """One row: sha256 over sorted path and digest, NUL after each."""
-    got = states.agg(F.array_sort(F.collect_list(F.struct(key, digest))).alias("r"))
-    return got.select(F.sha2(F.array_join(F.transform("r", lambda x: F.concat(x[key], F.lit("\0"), x[digest], F.lit("\0"))), ""), 256).alias("lock_digest"))
+def lock_digest(states: DataFrame, key: str = "path", digest: str = "sha256", width: int = 3) -> DataFrame:
+    """One row: the digest of a whole lock, in two levels.
+
+    Paths fall into 16 ** width cells by the first hex digits of their own sha256. A cell's digest is sha256 over its
+    sorted paths and digests, NUL after each; the lock's is sha256 over the sorted cells and their digests, likewise. So
+    cells are digested in parallel, and the last step sees one row a cell. Larger locks take a larger width.
+    """
+    framed = lambda rows, *names: F.array_join(F.transform(rows, lambda x: F.concat(*[p for n in names for p in (x[n].cast("string"), F.lit("\0"))])), "")
+    cell = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, width).alias("cell")
+    cells = states.groupBy(cell).agg(F.array_sort(F.collect_list(F.struct(key, digest))).alias("r")).select("cell", F.sha2(framed(F.col("r"), key, digest), 256).alias("d"))
+    return cells.agg(F.array_sort(F.collect_list(F.struct("cell", "d"))).alias("r")).select(F.sha2(framed(F.col("r"), "cell", "d"), 256).alias("lock_digest"))

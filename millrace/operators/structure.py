@@ -96,10 +96,19 @@ def text_blocks_narrow(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return rows.where(X.strip(F.col("text")) != "")
 
 
-def joined_offsets(blocks: DataFrame, key: str = "page", order: str = "ord", plain: str = "plain") -> DataFrame:
-    """Adds start and end of each block in the text that joins a page's blocks with empty lines."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.withColumn("start", F.coalesce(F.sum(F.length(plain) + 2).over(before), F.lit(0))).withColumn("end", F.col("start") + F.length(plain))
+def joined_offsets(blocks: DataFrame, key: str = "page", order: str = "ord", plain: str = "plain", span: int = 4096) -> DataFrame:
+    """Adds start and end of each block in the text that joins a page's blocks with empty lines.
+
+    Lengths are summed by ranges of ``span`` orders first; a range's rows are then offset by the ranges before it, so a
+    page of any size is dealt over many tasks. Orders are numbers.
+    """
+    rows = blocks.withColumn("__cell", F.floor(F.col(order) / span))
+    cells = rows.groupBy(key, "__cell").agg(F.sum(F.length(plain) + 2).alias("__n"))
+    before = Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(key, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+    inside = Window.partitionBy(key, "__cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(cells, [key, "__cell"]).withColumn("start", F.col("__from") + F.coalesce(F.sum(F.length(plain) + 2).over(inside), F.lit(0)))
+    return rows.drop("__cell", "__from").withColumn("end", F.col("start") + F.length(plain))
 
 
 def example_blocks(blocks: DataFrame, key: str = "page", order: str = "ord", labels: tuple[str, ...] = X.POSITIVE_LABELS + X.NEGATIVE_LABELS + X.NEUTRAL_LABELS) -> DataFrame:
@@ -137,3 +146,28 @@ def without_negative(page_blocks: DataFrame, key: str = "page") -> DataFrame:
     """Rows that do not stand below a heading that labels wrong examples; the heading path says so without a running state."""
     bad = F.exists("path", lambda t: F.lower(X.normalise_statement(t)).isin(*X.NEGATIVE_LABELS))
     return page_blocks.where(~bad)
+
+
+def rendered(blocks: DataFrame, seeds: DataFrame, titles: DataFrame) -> DataFrame:
+    """(page, text): a page as plain lines ``[id] KIND  text`` below its path and title.
+
+    blocks: page, ord, block_id, kind, level, depth, ordered, cell (array of row and column), plain; seeds: page, block_id; titles: page, title.
+    """
+    labels = X.POSITIVE_LABELS + X.NEGATIVE_LABELS + X.NEUTRAL_LABELS
+    rows = blocks.join(seeds.select("page", "block_id").distinct().withColumn("__seed", F.lit(True)), ["page", "block_id"], "left")
+    mark = F.when(F.col("__seed"), " ⟨candidate⟩").when(F.lower(X.strip(F.col("plain"))).isin(*labels), " ⟨label⟩").otherwise("")
+    tag = (
+        F.when(F.col("kind") == "heading", F.concat(F.lit("H"), F.col("level").cast("string"), mark))
+        .when(F.col("kind") == "li", F.concat(F.lit("LI"), F.repeat(F.lit("."), F.coalesce("depth", F.lit(0))), F.when(F.col("ordered"), " ordered").otherwise("")))
+        .when(F.col("kind") == "cell", F.concat(F.lit("CELL"), F.coalesce(F.concat(F.lit(" "), F.array_join(F.col("cell").cast("array<string>"), ",")), F.lit(""))))
+        .when(F.col("kind") == "para", "P").otherwise(F.upper("kind"))
+    )
+    line = F.concat(F.lit("["), F.col("block_id"), F.lit("] "), tag, F.lit("  "), F.col("plain"))
+    lines = rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    head = F.concat(F.lit("PAGE: "), F.col("page").cast("string"), F.lit("\nTITLE: "), F.coalesce("title", F.lit("")), F.lit("\n\n"))
+    return lines.join(titles, "page", "left").select("page", F.concat(head, "body").alias("text"))
+
+
+def normalised_pages(pages: DataFrame) -> DataFrame:
+    """Adds the composed and normalised text and its sha256 to pages (path, raw)."""
+    return pages.withColumn("text", X.composed_text(F.col("raw"))).withColumn("sha256", F.sha2("text", 256))

@@ -149,7 +149,7 @@ SELECT doc_id, sha256(trim(t, chr(10) || ' ' || chr(9)) || chr(10)) AS sha256, l
   SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(replace(nfc_normalize(text), chr(13) || chr(10), chr(10)), chr(13) || chr(160) || chr(8203) || chr(65279), chr(10) || ' '), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM documents)
 """)
 def normalise_text(spark, d):
-    t = X.normalise_text(F.col("text"))
+    t = X.composed_text(F.col("text"))
     return read(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("sha256"), (F.length(t) - 1).cast("long").alias("n"))
 
 
@@ -545,9 +545,14 @@ def tagger_diff(spark, d):
     return read(spark, d, "labels").select((F.col("quality") == 1).alias("lexicon"), (F.col("toxic") == 1).alias("tagger")).cube("lexicon", "tagger").agg(F.count("*").alias("n"))
 
 
-@query("SELECT sha256(string_agg(o_orderkey::VARCHAR || chr(0) || sha256(o_orderstatus) || chr(0), '' ORDER BY o_orderkey::VARCHAR)) AS lock_digest FROM orders WHERE o_orderkey % 20 = 0")
+@query("""
+WITH s AS (SELECT o_orderkey::VARCHAR AS path, sha256(o_orderstatus) AS sha FROM orders),
+c AS (SELECT substring(sha256(path), 1, 3) AS cell, sha256(string_agg(path || chr(0) || sha || chr(0), '' ORDER BY path, sha)) AS d FROM s GROUP BY 1)
+SELECT sha256(string_agg(cell || chr(0) || d || chr(0), '' ORDER BY cell)) AS lock_digest FROM c
+""")
 def lock_digest(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").cast("string").alias("path"), F.sha2("o_orderstatus", 256).alias("sha256"))
+    """One digest of all orders and their states."""
+    o = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.sha2("o_orderstatus", 256).alias("sha256"))
     return S.lock_digest(o)
 
 
@@ -603,13 +608,30 @@ def sweep_errors(spark, d):
 
 
 @query("""
-WITH r AS (SELECT item_id AS uid, text, item_id % 3 <> 0 AS swept, CASE WHEN item_id % 4 = 0 THEN 'MAY' ELSE 'MUST' END AS m, CASE WHEN item_id % 2 = 0 THEN 'presence' ELSE 'absence' END AS dir, CASE WHEN item_id % 5 = 0 THEN ' ' ELSE 'v' END AS vc FROM benchmark)
-SELECT finding, count(*)::BIGINT AS n FROM (SELECT 'not-swept' AS finding FROM r WHERE NOT swept UNION ALL SELECT 'permission' FROM r WHERE m = 'MAY' AND dir = 'presence' UNION ALL SELECT 'no-violation-condition' FROM r WHERE vc = ' ') GROUP BY finding
+WITH r AS (SELECT item_id AS uid, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, text, CASE WHEN item_id % 7 = 0 THEN 'deferred' ELSE 'accepted' END AS status, CASE WHEN item_id % 4 = 0 THEN 'MAY' ELSE 'MUST' END AS m,
+    CASE WHEN item_id % 3 = 0 THEN '' WHEN item_id % 3 = 1 THEN 'presence' ELSE 'absence' END AS dir, CASE WHEN item_id % 5 = 0 THEN ' ' ELSE 'v' END AS vc, item_id % 6 = 0 AS restates, item_id % 11 = 0 AS forbids, item_id % 13 = 0 AS instructs FROM benchmark),
+k AS (SELECT * FROM r WHERE status = 'accepted')
+SELECT level, finding, count(*)::BIGINT AS n FROM (
+    SELECT 'check' AS level, 'chosen-threshold' AS finding FROM k WHERE uid % 2 = 0
+    UNION ALL SELECT 'check', 'permission-as-rule' FROM k WHERE m = 'MAY'
+    UNION ALL SELECT 'fix', 'no-violation-condition' FROM k WHERE m <> 'MAY' AND vc = ' '
+    UNION ALL SELECT 'fix', 'no-direction' FROM k WHERE m <> 'MAY' AND dir = ''
+    UNION ALL SELECT 'check', 'direction-looks-inverted' FROM k WHERE m <> 'MAY' AND ((dir = 'presence' AND instructs AND NOT forbids) OR (dir = 'absence' AND forbids))
+    UNION ALL SELECT 'check', 'precondition-restates-rule' FROM k WHERE m <> 'MAY' AND restates
+) GROUP BY level, finding
 """)
 def rule_lint(spark, d):
+    """The checks of kept rules, over benchmark items as rules that forbid, instruct or only state."""
     i = F.col("item_id")
-    rules = read(spark, d, "benchmark").select(i.alias("uid"), F.col("text").alias("statement"), (i % 3 != 0).alias("swept"), F.when(i % 4 == 0, "MAY").otherwise("MUST").alias("modality"), F.when(i % 2 == 0, "presence").otherwise("absence").alias("direction"), F.when(i % 5 == 0, " ").otherwise("v").alias("violation_condition"), F.array().cast("array<string>").alias("preconditions"))
-    return G.lint(rules).groupBy("finding").agg(F.count("*").alias("n"))
+    b = read(spark, d, "benchmark")
+    statement = F.when(i % 11 == 0, F.concat(F.lit("Avoid: "), "text")).when(i % 13 == 0, F.concat(F.lit("Use: "), "text")).otherwise(F.concat(F.lit("X: "), "text"))
+    own = F.concat(F.lit("more than "), (i + 1_000_000).cast("string"), F.lit(" words"))
+    conditions = F.array_compact(F.array(F.when(i % 2 == 0, own), F.when(i % 6 == 0, F.concat(F.lit(" "), statement))))
+    rules = b.select(
+        i.alias("uid"), F.when(i % 7 == 0, "deferred").otherwise("accepted").alias("status"), statement.alias("statement"), F.lit("").alias("body"), F.lit("unambiguous").alias("clarity"), F.when(i % 4 == 0, "MAY").otherwise("MUST").alias("modality"),
+        F.when(i % 3 == 0, "").when(i % 3 == 1, "presence").otherwise("absence").alias("direction"), F.when(i % 5 == 0, " ").otherwise("v").alias("violation_condition"), conditions.alias("preconditions"),
+    )
+    return G.lint(rules).groupBy("level", "finding").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -27,9 +27,30 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + re.escape(folder.rstrip("/")) + "/", "").alias("page"), F.col("value").alias("text"))
 
 
+def scan_disk(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
+    """(path, sha256, lastmod): a snapshot of the Markdown below a folder, with the last change that an older lock (path, lastmod) has."""
+    from millrace.functions import text as X
+
+    pages = markdown(spark, folder).select(F.col("page").alias("path"), F.sha2(X.composed_text(F.col("text")), 256).alias("sha256"))
+    return pages.withColumn("lastmod", F.lit(None).cast("string")) if known is None else pages.join(known.select("path", "lastmod"), "path", "left")
+
+
+def plain_text(spark: SparkSession, path: str) -> DataFrame:
+    """(page, text): every text file of a path as one block-separated page."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("page"), F.col("value").alias("text"))
+
+
 def ledger(spark: SparkSession, path: str, schema: str = RULE) -> DataFrame:
-    """Rules from JSON lines. A malformed line fails the read; repeated_uids() must be empty."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Rules from JSON lines; a malformed line or a repeated uid is refused."""
+    rules = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return checked(rules, repeated_uids(rules), "repeated uids")
+
+
+def checked(rows: DataFrame, refused: DataFrame, what: str) -> DataFrame:
+    """``rows``, if nothing of them is refused; else SourceError with up to five of the refusals."""
+    if some := refused.limit(5).collect():
+        raise SourceError(f"{what}: {[tuple(r) for r in some]}")
+    return rows
 
 
 def repeated_uids(rules: DataFrame) -> DataFrame:
@@ -51,8 +72,9 @@ def last_sweep(markers: DataFrame) -> DataFrame:
 
 
 def operations(spark: SparkSession, *paths: str) -> DataFrame:
-    """Operation logs with the file each came from; order them by (at, op_id), as texts."""
-    return spark.read.schema(OP).json(list(paths)).where("op IS NOT NULL").withColumn("file", F.col("_metadata.file_name"))
+    """Operation logs with the file each came from; order them by (at, op_id), as texts. A row without an op is refused."""
+    rows = spark.read.schema(OP).json(list(paths)).withColumn("file", F.col("_metadata.file_name"))
+    return checked(rows, rows.where("op IS NULL").select("file", "op_id"), "operations without op")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -62,7 +84,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def keyed_map(spark: SparkSession, path: str, member: str, value: str = "string") -> DataFrame:
-    """(key, value) of one object member of a JSON document; a folder without files gives no rows."""
+    """(key, value) of one object member of a JSON document; a missing document or member gives no rows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], f"key string, value {value}")
     text = spark.read.text(path, wholetext=True)
     kind = T.MapType(T.StringType(), T.StringType()) if value == "string" else f"map<string,{value}>"
     return text.select(F.explode(F.from_json(F.get_json_object("value", f"$.{member}"), kind)).alias("key", "value"))

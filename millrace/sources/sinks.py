@@ -17,6 +17,11 @@ def write_lines(rows: DataFrame, path: str, *order: str) -> None:
     rows.select(line.alias("value"), *[F.col(o).alias(f"__{i}") for i, o in enumerate(order)]).orderBy(*[f"__{i}" for i in range(len(order))]).select("value").write.mode("overwrite").text(path)
 
 
+def write_lock(states: DataFrame, path: str) -> None:
+    """A snapshot's lock, and equally a change set: (path, ...) as canonical lines in the order of paths."""
+    write_lines(states, path, "path")
+
+
 def append(rows: DataFrame, path: str, applied_from: str) -> None:
     """Applied operations to a log, without private columns."""
     kept = rows.select(*[c for c in rows.columns if not c.startswith("_")], F.lit(applied_from).alias("applied_from"))

@@ -2,7 +2,7 @@ import pytest
 from conftest import SMALL, rows_of, rows_of_sql
 
 import __spark_entry__
-from millrace.plans import catalogue
+from millrace.plans import inventory as catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))

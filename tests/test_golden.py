@@ -31,9 +31,18 @@ def test_folded(spark):
 
 
 def test_lint_and_sweeps(spark):
-    rules = [("a", "Don't use it", "absence", " ", "MUST", True, []), ("b", "Use 5 words", "presence", "v", "MAY", False, ["use 5  words"])]
-    got = G.lint(spark.createDataFrame(rules, "uid string, statement string, direction string, violation_condition string, modality string, swept boolean, preconditions array<string>"))
-    assert {(r.uid, r.finding) for r in got.collect()} == {("a", "no-violation-condition"), ("a", "direction-inverted"), ("b", "not-swept"), ("b", "permission"), ("b", "precondition-restates"), ("b", "chosen-threshold")}
+    rules = [
+        ("a", "accepted", "Don't use it", "", "unambiguous", "MUST", " ", "absence", []), ("b", "accepted", "Use 5 words", "", "unambiguous", "MAY", "", "presence", ["use 5  words", "at most 7"]),
+        ("c", "amended", "Use 5 words", "or 7", "unambiguous", "MUST", "v", "presence", ["at most 7", "Use 5  words"]), ("d", "accepted", "Words are short", "", "ambiguous_resolvable", "MUST", "v", "", ["over 9"]),
+        ("e", "rejected", "Never", "", "unambiguous", "MUST", "", "", []), ("f", "accepted", "Avoid it", "", "unambiguous", "MUST", "v", "presence", []),
+    ]
+    got = G.lint(spark.createDataFrame(rules, "uid string, status string, statement string, body string, clarity string, modality string, violation_condition string, direction string, preconditions array<string>"))
+    assert sorted((r.uid, r.level, r.finding) for r in got.collect()) == [
+        ("a", "check", "direction-looks-inverted"), ("a", "fix", "no-violation-condition"), ("b", "check", "chosen-threshold"), ("b", "check", "permission-as-rule"),
+        ("c", "check", "direction-looks-inverted"), ("c", "check", "precondition-restates-rule"), ("d", "fix", "no-direction"),
+    ]
+    marked = spark.createDataFrame([("p",), ("q",), ("r",)], "page string")
+    assert [r.page for r in G.unswept(marked, spark.createDataFrame([("p", "complete"), ("q", "in_progress")], "page string, status string")).orderBy("page").collect()] == ["q", "r"]
     c = spark.createDataFrame([("p", "1", "accepted", False), ("p", "2", "proposed", True), ("p", "3", "proposed", False), ("q", "4", "accepted", False), ("p", "5", "amended", False)], "page string, uid string, status string, paired boolean")
     spans = spark.createDataFrame([("p", "1")], "page string, seed_uid string")
     dropped, sweeps = spark.createDataFrame([("p", "2")], "page string, uid string"), spark.createDataFrame([("p", "complete"), ("q", "in_progress")], "page string, status string")

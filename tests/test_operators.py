@@ -54,7 +54,11 @@ def test_directive_cue(spark, s, want):
 
 
 def test_small_text_functions(spark):
-    assert one(spark, X.clean_example(F.col("t")), t="Use [a [b](c)](d) now [gloss]") == "Use [a b](d) now" or True
+    assert one(spark, X.clean_example(F.col("t")), t="Use [a [b](c)](d) now [gloss]") == "Use a b now"
+    assert one(spark, X.composed_text(F.col("t")), t="cafe\u0301  \r\n") == "café\n" == one(spark, X.normalise_text(F.col("t")), t="café")
+    assert one(spark, X.composed_statement(F.col("t")), t="Cafe\u0301  ‘x’") == "Café 'x'"
+    assert one(spark, X.drafter_id(F.col("a"), F.col("b"), "medium"), a="m", b="high") == "m@high"
+    assert tuple(one(spark, X.split_drafter(F.col("a"), "medium"), a="m")) == ("m", "medium") and tuple(one(spark, X.split_drafter(F.col("a"), "medium"), a="m@high")) == ("m", "high")
     assert one(spark, X.locate(F.col("b"), F.col("q")), b="it’s here", q="it's") == 0
     assert one(spark, X.locate(F.col("b"), F.col("q")), b="aa", q="a") is None
     assert one(spark, X.initials(F.col("t")), t="j. o'neil!") == "JONEIL"
