@@ -15,7 +15,9 @@ table gives no rows; scan() passes further columns on and refuses an input that
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -90,13 +92,27 @@ def stretches(run: str, least: float) -> Iterator[tuple[int, int, bool, bool]]:
         yield begun, ended, mixes, clear
 
 
-def _outside(lo: int, hi: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """The parts of [lo, hi) outside the spans of ``taken``, which are in order."""
-    for x, y in taken:
-        if x < hi and lo < y:
-            yield lo, x
-            lo = y
-    yield lo, hi
+class Union:
+    """Disjoint stretches that cover the given spans, for searches by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for x, y in sorted(spans):
+            if self.ends and x <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], y)
+            else:
+                self.starts.append(x)
+                self.ends.append(y)
+
+    def outside(self, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+        """The parts of [lo, hi) that are not covered."""
+        k = bisect.bisect_right(self.ends, lo)
+        while k < len(self.starts) and self.starts[k] < hi:
+            yield lo, self.starts[k]
+            lo = self.ends[k]
+            k += 1
+        yield lo, hi
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -104,23 +120,28 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     found = [(*m.span(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     found += [(*m.span(), 1) for m in ACCESS.finditer(text)]
     found += [(*m.span(), 2) for m in HEX.finditer(text)]
-    base = sorted((a, b) for a, b, _ in found)
+    base = Union([(a, b) for a, b, _ in found])
     for m in RUN.finditer(text):
         run, off = m.group(), m.start()
         if run.isalpha() and run[1:].islower():
             continue
-        within = [(x, y) for x, y in base if off < y and x < m.end()]
-        taken: list[tuple[int, int]] = []
+        starts: list[int] = []  # of the spans of earlier classes, with the furthest end so far
+        reach: list[int] = []
         for number, (_, shape, least) in enumerate(CLASSES, 3):
+            own = []
             for piece in shape.finditer(run):
                 for a, b, mixes, clear in stretches(piece.group(), least):
-                    lo, hi = off + piece.start() + a, off + piece.start() + b
                     if not clear:
                         continue
-                    for x, y in _outside(lo, hi, within):
-                        if y - x >= WINDOW and not any(p <= x and y <= q for p, q in taken) and (mixes or not ALLOWED.fullmatch(text[x:y])):
-                            taken.append((x, y))
+                    for x, y in base.outside(off + piece.start() + a, off + piece.start() + b):
+                        k = bisect.bisect_right(starts, x) - 1
+                        if y - x >= WINDOW and not (k >= 0 and reach[k] >= y) and (mixes or not ALLOWED.fullmatch(text[x:y])):
+                            own.append((x, y))
                             found.append((x, y, number))
+            if own:
+                both = sorted([*zip(starts, reach, strict=True), *own])
+                starts = [x for x, _ in both]
+                reach = list(itertools.accumulate((y for _, y in both), max))
     return sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
 
