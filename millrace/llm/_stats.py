@@ -116,12 +116,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def one_text(docs: DataFrame, y: DataFrame) -> DataFrame:
+    """(doc_id, text, and y's columns): for each id of ``y``, a short table of distinct ids, the smallest of its texts."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(y), "doc_id")
+    return texts.groupBy("doc_id", *[c for c in y.columns if c != "doc_id"]).agg(F.min("text").alias("text"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> DataFrame:
     """(doc_id, text, y, fold): at most ``bound`` labelled rows outside the held-out ones, chosen by a hash of the id.
 
-    Contradicting or repeated labels of an id count once, as the smallest; null labels and ids are left out.
+    Contradicting or repeated labels of an id count once, as the smallest, and so do rows that repeat an id; null labels
+    and ids are left out.
     """
     y = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(column).cast("int").alias("y"))
     y = y.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     y = y.withColumn("fold", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4).cast("int"))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(y), "doc_id")  # at most `bound` narrow rows
+    return one_text(docs, y)  # at most `bound` rows

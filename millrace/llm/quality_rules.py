@@ -1,7 +1,7 @@
 """Quality rules: counts over whole texts, and a calibrated logistic regression over hashed n-grams.
 
-Features are the shares of hashed words and word pairs (one half of the table) and of hashed byte trigrams of
-characters (the other half). The regression is fitted on the driver from at most LABELLED labelled rows, calibrated by
+Features are the shares of hashed words and word pairs (one half of the table) and of hashed trigrams of
+code points (the other half). The regression is fitted on the driver from at most LABELLED labelled rows, calibrated by
 Platt's method on a fold it did not learn from, and scored in Arrow batches: a text's logit is the mean weight of its
 n-grams, so nothing of the table's width is built per text. A text is kept when no base rule fails and its calibrated
 chance of label 1 is at least KEEP.
@@ -46,17 +46,27 @@ def _columns(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     grams = np.concatenate([h, pairs]) >> np.uint64(53)
     rows = len(w.count)
     owner = np.concatenate([np.repeat(np.arange(rows), w.count), np.searchsorted(w.first, where, "right") - 1])
-    d = w.data.astype(np.uint32)
+    d = np.frombuffer(w.data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    starts = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])[w.at]  # in code points
     if len(d) >= 3:
-        tri = ((d[:-2] | (d[1:-1] << np.uint32(8)) | (d[2:] << np.uint32(16))) * np.uint32(2654435761)) >> np.uint32(21)
+        with np.errstate(over="ignore"):
+            tri = (d[:-2] * np.uint32(2654435761)) ^ (d[1:-1] * np.uint32(2246822519) + np.uint32(374761393)) ^ (d[2:] * np.uint32(3266489917) + np.uint32(668265263))
+            tri = ((tri ^ (tri >> np.uint32(15))) * np.uint32(2654435761)) >> np.uint32(21)
     else:
         tri = np.zeros(0, np.uint32)
     inside = np.ones(len(tri), bool)
     for back in (1, 2):
-        edges = w.at[1:-1] - back
+        edges = starts[1:-1] - back
         inside[edges[(edges >= 0) & (edges < len(tri))]] = False
     at = np.flatnonzero(inside)
-    return grams.astype(np.int64), owner, tri[at].astype(np.int64), np.searchsorted(w.at, at, "right") - 1
+    return grams.astype(np.int64), owner, tri[at].astype(np.int64), np.searchsorted(starts, at, "right") - 1
+
+
+def _row_shares(cols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, share of the row's grams) of every column that a row has, by row and column."""
+    key, many = np.unique(owner * HALF + cols, return_counts=True)
+    row = key // HALF
+    return row, key % HALF, (many / np.maximum(np.bincount(owner), 1)[row]).astype(np.float32)
 
 
 def logits(w: Words, h: np.ndarray, model: Model) -> np.ndarray:
@@ -75,13 +85,13 @@ def _shares(df: DataFrame) -> DataFrame:
             for lo, hi in _batch.slices(ends):
                 w = Words(data, ends, lo, hi)
                 parts = _columns(w, w.hashes())
-                at, share = [], []
-                for i in range(hi - lo):
-                    one = np.bincount(parts[0][parts[1] == i], minlength=HALF)
-                    two = np.bincount(parts[2][parts[3] == i], minlength=HALF)
-                    both = np.concatenate([one / max(1, one.sum()), two / max(1, two.sum())]).astype(np.float32)
-                    at.append(np.flatnonzero(both).astype(np.int32).tobytes())
-                    share.append(both[both > 0].tobytes())
+                one, two = _row_shares(*parts[:2]), _row_shares(*parts[2:])
+                row, col, part = (np.concatenate([x, y]) for x, y in zip(one, (two[0], two[1] + HALF, two[2]), strict=True))
+                by = np.argsort(row, kind="stable")
+                cuts = np.searchsorted(row[by], np.arange(hi - lo + 1))
+                col, part = col[by].astype(np.int32), part[by]
+                at = [col[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+                share = [part[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(lo, hi - lo), batch.column("fold").slice(lo, hi - lo), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=["y", "fold", "at", "share"])
 
     return df.select("y", "fold", "text").mapInArrow(run, "y int, fold int, at binary, share binary")
