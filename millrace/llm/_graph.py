@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._spark import cut
+from millrace.llm._spark import Shelf
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -26,12 +26,14 @@ def _mark(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root): the smallest node each linked node reaches. Nodes without a link are absent."""
-    pairs = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
+def components(links: DataFrame, a: str, b: str, shelf: Shelf) -> DataFrame:
+    """(node, root): the smallest node each linked node reaches; nodes are of any type with an order. Nodes without a link are absent."""
+    pairs = shelf.put(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     before = _mark(pairs)
     while before[0]:
-        pairs = cut(_star(_spread(pairs)))
+        after = shelf.put(_star(_spread(pairs)))
+        shelf.drop(pairs)
+        pairs = after
         now = _mark(pairs)
         if now == before:
             break
