@@ -4,13 +4,15 @@ A byte goes when a string of LENGTH bytes that covers it also starts in a docume
 
 1. Exact copies of a text go whole to the text with the smallest id, so each distinct text is sorted once.
 2. Every window of LENGTH bytes belongs to its anchor, the K-byte string in it with the smallest hash; equal windows
-   have equal anchors. Anchors found in one text only are left out, since none of their windows can be shared.
+   have equal anchors. Anchors found in one text only are left out, since none of their windows can be shared; they are
+   counted packed (see _packed), without a row an anchor.
 3. What remains are short contexts: the stretch of windows that share an anchor. Equal contexts collapse, with their
    smallest id, before they are dealt to buckets by anchor, so a passage in a third of all documents is one row a task.
 4. Each bucket sorts the suffixes of its contexts by the difference cover modulo 3: sampled triples are sorted and
    named, names are sorted recursively until they span LENGTH bytes, the remaining suffixes are sorted by their first
    byte and the next rank, and both orders are merged. Neighbours in the order are compared over LENGTH bytes; runs of
-   equal ones are one string, which starts in the smallest id of its contexts.
+   equal ones are one string, which starts in the smallest id of its contexts. An anchor with more than HOT contexts
+   is not given to one task: its windows are dealt one by one and equal ones meet in a map-side aggregate.
 5. Each document merges the windows whose string starts in a smaller id, and hashes what is left.
 
 Only step 4 orders bytes; steps 1 to 3 decide what has to be ordered and where, and drop no window that could count.
@@ -32,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _batch
-from millrace.llm._spark import cut, release, written
+from millrace.llm._packed import shared_lists
+from millrace.llm._spark import Shelf, among
 
-LENGTH, K = 50, 20
+LENGTH, K = 50, 32
 SPAN = LENGTH - K + 1  #: places of the anchor in a window
 CHUNK = 1 << 19  #: bytes handled at once; must stay below 1 << 21
 CONTEXTS = 12_000  #: contexts in a bucket, about
+HOT = 3_000  #: contexts of one anchor beyond which its windows are dealt one by one
 _TABLE = np.random.RandomState(50).randint(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64((1 << 21) - 1)
 
@@ -73,7 +77,7 @@ def runs(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
         low = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
         for step in (1, 2, 4, 8):
             low = np.minimum(low[:-step], low[step:])  # after these, minima over 16 places
-        low = np.minimum(low[: -(SPAN - 16)], low[SPAN - 16 :])
+        low = np.minimum(low[: -(SPAN - 16)], low[SPAN - 16 :])  # SPAN lies between 17 and 32
         ends = np.append(begins[1:], n)
         left = np.repeat(ends, np.diff(np.append(begins, n)))[: len(low)] - np.arange(len(low))
         ok = left >= LENGTH
@@ -167,17 +171,17 @@ def _digests(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, lo long, hi long")
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id) of every text with an id."""
-
-    def run(batches):
-        for batch in batches:
-            data, at = _batch.buffers(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for row, h, _, _ in runs(data, at):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row].astype(np.int64))], names=["anchor", "doc_id"])
-
-    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "anchor long, doc_id long")
+def _anchors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The distinct anchors of each text, for shared_lists."""
+    data, at = _batch.buffers(batch.column("text"))
+    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    for row, h, _, _ in runs(data, at):
+        by = np.lexsort((h, row))
+        row, h = row[by], h[by]
+        fresh = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))
+        row, h = row[fresh], h[fresh]
+        rows, sizes = np.unique(row, return_counts=True)
+        yield ids[rows].astype(np.int64), sizes, h
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
@@ -282,34 +286,36 @@ def _trimmed(docs: DataFrame) -> DataFrame:
 def trim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): one row per row; spans are the maximal removed stretches, kept the bytes left."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
-    known = _digests(docs)
-    owners = known.where("doc_id IS NOT NULL").groupBy("lo", "hi").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
-    own = known.where("doc_id IS NOT NULL").join(owners, ["lo", "hi"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False)))
+    shelf = Shelf(docs.sparkSession)
+    known = shelf.put(_digests(docs.where("doc_id IS NOT NULL")))
+    owners = shelf.put(known.groupBy("lo", "hi").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last"))
+    own = known.join(owners, ["lo", "hi"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False)))
     copies = own.groupBy("doc_id").agg(F.bool_and("copy").alias("whole"), F.collect_set(F.when(F.col("copy"), F.col("lo"))).alias("copies"))
-    copies = cut(copies.where(F.size("copies") > 0))  # an id with several texts may have some that are copies
-
-    anchors = _anchors(docs)
-    shared = written(anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"))
-    release(spark)
-    met = written(anchors.join(shared, "anchor").distinct().join(copies.where("whole").select("doc_id"), "doc_id", "left_anti"))
-    release(spark)
-    still = met.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    lists = written(met.join(still, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared")))
-    release(spark)
+    copies = shelf.put(copies.where(F.size("copies") > 0))  # an id with several texts may have some that are copies
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shelf.drop(known, owners)
+
+    texts = among(docs.where("doc_id IS NOT NULL"), copies.where("whole").select("doc_id"), "doc_id", "left_anti")
+    anchors = shared_lists(texts, _anchors, 2 * total // (SPAN + 1))
+    lists = shelf.put(anchors.select(F.col("id").alias("doc_id"), F.col("values").alias("shared")))
     # The contexts are taken from the texts twice: once for where they stand, without their bytes, and once for the
     # distinct ones. That is cheaper than a table of all contexts, which overlap several times over.
-    found = _contexts(docs.join(lists, "doc_id")).withColumn("c1", F.xxhash64("context")).withColumn("c2", F.xxhash64("context", F.lit(1)))
-    places = written(found.select("c1", "c2", "doc_id", "lo", "start"))
-    release(spark)
-    distinct = found.groupBy("anchor", "c1", "c2").agg(F.first("context").alias("context"), F.min("doc_id").alias("doc_id"))
-    buckets = max(1, -(-places.count() // CONTEXTS))
-    dealt = distinct.select(F.pmod(F.xxhash64("anchor", F.lit(7)), F.lit(buckets)).alias("bucket"), "anchor", "c1", "c2", "context", "doc_id")
-    strings = written(dealt.groupBy("bucket").applyInArrow(_sorted_bucket, "c1 long, c2 long, begin long, end long, least long"))
-    release(spark)
+    found = _contexts(texts.join(lists, "doc_id")).withColumn("c1", F.xxhash64("context")).withColumn("c2", F.xxhash64("context", F.lit(1)))
+    distinct = shelf.put(found.groupBy("anchor", "c1", "c2").agg(F.first("context").alias("context"), F.min("doc_id").alias("doc_id")))
+    hot = shelf.put(distinct.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"))
+    buckets = max(1, -(-distinct.count() // CONTEXTS))
+    dealt = distinct.join(hot, "anchor", "left_anti").select(F.pmod(F.xxhash64("anchor", F.lit(7)), F.lit(buckets)).alias("bucket"), "anchor", "c1", "c2", "context", "doc_id")
+    strings = dealt.groupBy("bucket").applyInArrow(_sorted_bucket, "c1 long, c2 long, begin long, end long, least long")
+    # The windows of a hot anchor are dealt one by one: equal ones are counted map-side, and no task holds an anchor.
+    alone = distinct.join(hot, "anchor", "left_semi").select("c1", "c2", "doc_id", F.posexplode(F.expr(f"transform(sequence(1, length(context) - {LENGTH - 1}), i -> substring(context, i, {LENGTH}))")).alias("begin", "window"))
+    least = shelf.put(alone.groupBy("window").agg(F.min("doc_id").alias("least")))
+    single = alone.join(least, "window").select("c1", "c2", F.col("begin").cast("long").alias("begin"), (F.col("begin") + LENGTH).cast("long").alias("end"), "least")
+    strings = shelf.put(strings.unionByName(single))
+    shelf.drop(distinct, hot, least)
+    places = shelf.put(found.select("c1", "c2", "doc_id", "lo", "start"))
+    shelf.drop(lists)
     cuts = places.join(strings, ["c1", "c2"]).where("least < doc_id")
-    cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("lo", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end"))).alias("cuts"))
-    cuts = written(cuts)
-    release(spark)
+    cuts = shelf.put(cuts.groupBy("doc_id").agg(F.collect_list(F.struct("lo", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end"))).alias("cuts")))
+    shelf.drop(places, strings)
     marked = docs.join(cuts, "doc_id", "left").join(copies.select("doc_id", "copies"), "doc_id", "left")
     return _trimmed(marked.select("doc_id", "text", "cuts", "copies"))
