@@ -3,14 +3,17 @@ import collections
 import hashlib
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import pytest
 from conftest import SMALL, rows_of, rows_of_sql
 from pyspark.sql import functions as F
 
-from millrace.llm import _graph, bpe, chat_format, html_text, mixing, ngram_join, quality_gbt, quality_rules, queries, secrets, suffix_dedup, syncmer
+from millrace.llm import _graph, _stats, bpe, chat_format, html_text, mixing, ngram_join, quality_gbt, quality_rules, queries, secrets, suffix_dedup, syncmer
 from millrace.llm._batch import Words, buffers, slices
+from millrace.llm._spark import Shelf
 
 DOCS = "doc_id long, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -156,6 +159,33 @@ def test_ngram_join_odd(spark):
     assert ngram_join.join(frame(spark, [])).count() == 0
 
 
+def test_ngram_join_near_copies(spark):
+    """One base text in many edited forms: linked ones, and ones that link with nothing though they share most of their words."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([0, 1, 2, 3, 4, 5, 6])):
+            words[at] = f"v{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join(rng.choices(base, k=40)) + " one common line of some words at the end") for i in range(40)]
+    rows += [(300, rows[0][1]), (300, "a wholly different text that stands under the same id"), (301, "a wholly different text that stands under the same id"), (301, rows[1][1])]
+    got = ngram_join.join(frame(spark, rows[:190])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows[:190])
+    by_id = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.join(frame(spark, rows)).collect()}
+    assert {by_id[k] for k in by_id if k[0] in (0, 1, 300, 301)} == {0}
+
+
+def test_firsts_go_by_rows(spark):
+    a, b = "one text of several plain words that is copied", "a wholly different text under the same id as a copy"
+    rows = [(5, a), (5, b), (2, a), (1, b[::-1]), (1, b[::-1]), (7, None), (7, ""), (None, a), (None, a), (8, "quite another sentence with its own words only"), (8, a.upper())]
+    got = ngram_join.firsts(frame(spark, [(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(5, b), (2, a), (1, b[::-1]), (7, ""), (7, ""), (0, a), (0, a), (8, "quite another sentence with its own words only")])
+    assert got[0].asDict().keys() == {"doc_id", "text", "row"}
+    assert ngram_join.firsts(frame(spark, [])).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]
@@ -167,7 +197,7 @@ def test_components(spark):
     for a, b in edges:
         x, y = top(a), top(b)
         root[max(x, y)] = min(x, y)
-    got = {r.node: r.root for r in _graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    got = {r.node: r.root for r in _graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b", Shelf(spark)).collect()}
     assert got == {n: top(n) for e in edges if e[0] != e[1] for n in e}
 
 
@@ -225,6 +255,23 @@ def test_secrets_by_window():
         assert secrets.spans_of(text) == []
 
 
+def test_many_secrets_in_one_text_are_linear():
+    rng = random.Random(13)
+    key = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=24))
+    one = [f"token={key()} {key()}" for _ in range(8_000)]
+    began = time.process_time()
+    found = secrets.spans_of(" ".join(one))
+    run = secrets.spans_of("/".join(f"{key()}/AKIA{'Q7' * 9}" for _ in range(4_000)))
+    assert time.process_time() - began < 20
+    assert sum(k == 0 for *_, k in found) == 8_000 and sum(k > 2 for *_, k in found) > 7_000 and sum(k == 1 for *_, k in run) > 3_900
+    at = 0
+    small = []
+    for x in one[:40]:
+        small += [(a + at, b + at, k) for a, b, k in secrets.spans_of(x)]
+        at += len(x) + 1
+    assert found[: len(small)] == small
+
+
 def test_entropy_is_incremental():
     rng = random.Random(8)
     for _ in range(200):
@@ -327,6 +374,62 @@ def test_main_text_is_whole(html, want):
     assert html_text.main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<body><div class='content with-sidebar'><article><p>{WORDS}</article></div>", WORDS),
+        (f"<body><div class='post has-comments'><article><p>{WORDS}</article><div class=comments><p>{WORDS} {WORDS}</div></div>", WORDS),
+        (f"<body><form id=aspnetForm><article><p>{WORDS}</article></form>", WORDS),
+        (f"<body><form id=aspnetForm><h1>T</h1><div><p>{WORDS}<p>{WORDS}</div></form>", f"T\n{WORDS}\n{WORDS}"),
+        (f"<article><p class=share-price>{WORDS}<p class=social-history>b<h2 id=reviews>c</h2><section id=promotion-1988><p>d</section><p>e</article>", f"{WORDS}\nb\nc\nd\ne"),
+        (f"<article><header><h1>T</h1><p>by line</p></header><p>{WORDS}</article>", f"T\n{WORDS}"),
+        (f"<body><header><h1>Site</h1></header><div><p>{WORDS}<p><a href=x>a paragraph that is one link</a><p>{WORDS}</div>", f"{WORDS}\na paragraph that is one link\n{WORDS}"),
+        (f"<body><nav><a>x</a><div><article><p>{WORDS}</article>", WORDS),
+        (f"<body><div class=ad-728x90>buy</div><div id=cookie-bar><p>we use</div><div><p>{WORDS}<p>{WORDS}</div><div id=comment-list><p>{WORDS}{WORDS}{WORDS}{WORDS}</div>", f"{WORDS}\n{WORDS}"),
+        (f"<head><title>t</title><body><button>menu<article><p>{WORDS}<a>linked<p>after</a> more</article>", f"{WORDS} linked\nafter more"),
+    ],
+)
+def test_chrome_words_hide_no_content(html, want):
+    assert html_text.main_text(html).replace(f"{WORDS}linked", f"{WORDS} linked") == want
+
+
+def brute_region(html):
+    """The chosen region, by asking every container whether it holds all content."""
+    parser = html_text.Lines()
+    parser.feed(html)
+    parser.close()
+    parser.flush()
+
+    def path(i):
+        return [i, *path(parser.parents[i])] if i >= 0 else []
+
+    ratios = html_text.smoothed([len(t) / max(1, n) for t, n, *_ in parser.lines])
+    cut = html_text.threshold(ratios)
+    need = [set(path(x[3])) for x, v in zip(parser.lines, ratios, strict=True) if v >= cut or x[4] == "h1"]
+    root = max(set.intersection(*need))
+    return "\n".join(x[0] for x in parser.lines if root in path(x[3]))
+
+
+def test_region_against_brute_force():
+    rng = random.Random(3)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return "<p>" + " ".join(rng.choices(WORDS.split(), k=rng.randint(1, 30))) + "</p>"
+        return "<div>" + "".join(tree(depth - 1) for _ in range(rng.randint(1, 4))) + "</div>"
+
+    for _ in range(200):
+        html = "<body>" + tree(5) + tree(4)
+        assert html_text.main_text(html) == brute_region(html)
+
+
+@pytest.mark.parametrize("html", ["</b></i></p>" * 60_000 + "<p>end", "<div>" * 60_000 + "deep" + "</div>" * 60_000, "<p><b><i>" * 60_000, "<li>" * 60_000 + "x"])
+def test_long_odd_pages_are_linear(html):
+    began = time.process_time()
+    assert html_text.main_text(html) is not None
+    assert time.process_time() - began < 10
+
+
 def test_html_frame(spark):
     got = html_text.extract(frame(spark, [(1, None), (1, "<p>a"), (2, "<p>b" * 20_000)], "page_id long, html string")).collect()
     assert [len(r.main_text) for r in got] == [0, 1, 39_999]
@@ -354,6 +457,34 @@ def test_mixing(spark):
     assert mixing.thinned(docs.withColumn("drawn", F.lit(1)), labels).columns == [*docs.columns, "drawn"]
 
 
+def test_mixing_is_the_least_squares_optimum(spark):
+    """The fitted rates against non-negative least squares by brute force: many plain projected gradient steps over all documents."""
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    for targets in (mixing.TARGETS, {"good": 0.7, "poor": 0.1, "toxic": 0.2}):
+        got = mixing.mixed(docs, labels, targets).toPandas()
+        p = got[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy()
+        a = (p * got.n_tokens.to_numpy()[:, None]).T
+        now = a.sum(1)
+        aims = mixing.SLACK * now[0] / targets["good"] * np.array([targets[d] for d in mixing.DOMAINS])
+        loss = lambda r: float((((a @ r) - aims) ** 2).sum()) / float((aims**2).sum())
+        r = np.ones(len(got))
+        step = 1 / np.linalg.norm(a @ p, 2)
+        for _ in range(4_000):
+            r = np.maximum(0, r - step * (p @ (a @ r - aims)))
+        assert (got.rate >= 0).all() and loss(got.rate.to_numpy()) <= loss(r) + 1e-4
+
+
+def test_mixing_recall_held_out(spark):
+    """On sf0.1, over rows not learned from: how many toxic documents are called toxic, and good ones good."""
+    at = SMALL.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    unseen = _stats.held_out(F.col("doc_id"))
+    got = mixing.posteriors(docs.join(labels.where(unseen), "doc_id"), mixing.train(docs, labels.where(~unseen))).drop("text").toPandas()
+    said = got[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy().argmax(1)
+    good, toxic = (got.quality == 1) & (got.toxic == 0), got.toxic == 1
+    assert (said[toxic] == 2).mean() > 0.6 and (said[good] == 0).mean() > 0.97
+
+
 def test_mixing_repeats_what_is_scarce(spark):
     rng = random.Random(5)
     said = {"good": "alpha beta gamma delta", "poor": "click buy now cheap", "toxic": "hate vile awful scum"}
@@ -441,6 +572,81 @@ def test_quality_rules(spark):
     assert quality_rules.judge(frame(spark, [(1, "a b")]), none).first().chance == 0.5
 
 
+def test_chance_against_plain_features(spark):
+    """The calibrated chance from the model's weights, n-gram by n-gram in plain Python, and the verdict that follows."""
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality_rules.train(docs, labels)
+    rows = list(ODD)[:-2] + [(50, "é€😀 ü日本 a"), (51, "ab"), (52, "日")] + list(texts(spark).items())[:30]
+
+    def tri(a, b, c):
+        m = (1 << 32) - 1
+        t = (ord(a) * 2654435761 & m) ^ (ord(b) * 2246822519 + 374761393 & m) ^ (ord(c) * 3266489917 + 668265263 & m)
+        return ((t ^ (t >> 15)) * 2654435761 & m) >> 21
+
+    for r in quality_rules.judge(frame(spark, rows), model).collect():
+        text = r.text or ""
+        data = np.frombuffer(text.encode(), np.uint8)
+        w = Words(data, np.array([0, len(data)]), 0, 1)
+        h = w.hashes()
+        words = [int(x) >> 53 for x in [*h, *w.windows(2, h)[0]]]
+        chars = [tri(*text[i : i + 3]) for i in range(len(text) - 2)]
+        mean = lambda table, at: sum(table[k] for k in at) / max(1, len(at))
+        z = mean(model.word, words) + mean(model.char, chars) + model.bias
+        chance = 1 / (1 + np.exp(-(model.slope * z + model.shift)))
+        assert abs(chance - r.chance) < 1e-9 and r.kept == (not r.base_failed and r.chance >= quality_rules.KEEP)
+
+
+def test_learning_takes_one_row_an_id(spark):
+    rows = [(i % 3, f"text number {i}") for i in range(300)] + [(9, "nine"), (None, "none")]
+    labels = frame(spark, [(0, 1, 0), (0, 0, 0), (1, 1, 0), (1, None, 1), (2, 0, 0), (9, 1, 0), (9, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = _stats.labelled(frame(spark, rows), labels, "quality", 100).collect()
+    want = {i: (y, t) for i, y, t in [(0, 0, "text number 0"), (1, 1, "text number 1"), (2, 0, "text number 101"), (9, 1, "nine")] if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(got) == len(want) and {r.doc_id: (r.y, r.text) for r in got} == want
+
+
+def test_trees_against_a_plain_walk(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    forest = quality_gbt.train(docs, labels)
+    rows = list(ODD) + list(texts(spark).items())[:60]
+    for r in quality_gbt.score(frame(spark, rows), forest).collect():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        x = _stats.statistics(Words(data, np.array([0, len(data)]), 0, 1))[0]
+        total = forest.start
+        for feature, cut, leaf in zip(forest.feature, forest.cut, forest.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if x[feature[node]] > cut[node] else 1)
+            total += leaf[node - len(feature)]
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-12
+
+
+def test_short_rows_are_linear():
+    import pyarrow as pa
+
+    data, at = buffers(pa.array(["ab cd"] * 60_000))
+    began = time.process_time()
+    w = Words(data, at, 0, 60_000)
+    one = quality_rules._row_shares(*quality_rules._columns(w, w.hashes())[:2])
+    assert time.process_time() - began < 5 and len(one[0]) >= 60_000
+
+
+def test_empty_and_clashing_columns(spark):
+    """Extra columns pass through or are ignored; names that an operator adds are refused; empty tables give no rows."""
+    nobody = frame(spark, [], "doc_id long, quality int, toxic int")
+    wide = frame(spark, [(1, "a b c", 7, 8, "x")], "doc_id long, text string, token int, y int, lang string")
+    assert syncmer.edited_fingerprints(wide.withColumn("guard", F.lit(1))).count() == 1
+    assert suffix_dedup.trim(wide.withColumn("cuts", F.lit(1))).count() == 1
+    assert quality_gbt.classified(wide.withColumn("stats", F.lit(1)), nobody).count() == 1
+    assert quality_rules.judged(wide.withColumn("fold", F.lit(1)), nobody).count() == 1
+    for call, name in ((lambda d: secrets.scan(d), "spans"), (lambda d: quality_gbt.score(d, quality_gbt.train(d, nobody)), "score"), (lambda d: quality_rules.judge(d, quality_rules.train(d, nobody)), "kept"), (lambda d: html_text.extract(d, "text"), "main_text")):
+        with pytest.raises(ValueError, match=name):
+            call(wide.withColumn(name, F.lit(1)))
+    for call in (lambda d: secrets.scan(d), lambda d: quality_gbt.score(d, quality_gbt.train(d, nobody)), lambda d: quality_rules.judge(d, quality_rules.train(d, nobody)), lambda d: html_text.extract(d, "text")):
+        got = call(wide).first()
+        assert (got.token, got.y, got.lang) == (7, 8, "x")
+        assert call(wide.limit(0)).count() == 0
+
+
 def test_held_out_accuracy(spark):
     """On sf0.01, over rows neither learned from."""
     at = SMALL.replace("0.001", "0.01")
