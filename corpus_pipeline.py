@@ -24,9 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; documents without an id stay."""
-    firsts = ngram_join.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component of texts, the one with the smallest id; rows without an id or without words stay."""
+    return ngram_join.firsts(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
