@@ -68,44 +68,47 @@ def test_chat_empty_and_clashing(spark):
 # ---- fingerprints
 
 
-def plain_sketch(text):
-    """Anchors by brute force over the whole text, with Spark's hashes given."""
-    return [text[i : i + syncmer.K] for i in range(len(text) - syncmer.K + 1)]
-
-
 def test_syncmers_against_brute_force(spark):
-    rows = [(i, t) for i, t in texts(spark).items()][:60] + [(1000, "abcdefgh"), (1001, "aaaaaaaaaaaaaaaa"), (1002, "é" * 5000 + "xyz" * 800)]
+    rows = [(i, t) for i, t in texts(spark).items()][:40] + [(1000, "abcdefghijklmnopqrst"), (1001, "a" * 40), (1002, "é" * 5000 + "xyz" * 800), (1003, "short")]
     df = frame(spark, rows)
-    got = {r.doc_id: list(r.sketch) for r in syncmer.fingerprints(df).collect()}
+    got = {r.doc_id: [(a.at, a.anchor) for a in r.anchors] for r in syncmer.fingerprints(df).collect()}
     smers = df.where(F.length("text") >= syncmer.K).select("doc_id", F.posexplode(F.split("text", "")).alias("i", "c"), F.split("text", "").alias("a"))
     hashed = smers.where(F.col("i") + syncmer.S <= F.size("a")).select("doc_id", "i", F.xxhash64(*[F.get("a", F.col("i") + j) for j in range(syncmer.S)]).alias("h")).toPandas()
-    pairs, keys = [], []
+    found = []
     for d, part in hashed.sort_values(["doc_id", "i"]).groupby("doc_id"):
         h = part.h.tolist()
         for i in range(len(h) - syncmer.W + 1):
             window = h[i : i + syncmer.W]
             if min(window[0], window[-1]) == min(window):
-                pairs.append((d, window[0], window[-1]))
-    for r in spark.createDataFrame(pairs, "doc_id long, x long, y long").select("doc_id", F.hash("x", "y").alias("k")).distinct().collect():
-        keys.append((r.doc_id, r.k))
-    want = collections.defaultdict(set)
-    for d, k in keys:
-        want[d].add(k)
-    for d in want:
-        assert got[d] == sorted(want[d])[: syncmer.SKETCH]
+                found.append((d, i, window[0], window[syncmer.W // 2], window[-1]))
+    want = collections.defaultdict(list)
+    for r in spark.createDataFrame(found, "doc_id long, i int, x long, y long, z long").select("doc_id", "i", F.hash("x", "y", "z").alias("k")).orderBy("doc_id", "i").collect():
+        want[r.doc_id].append((r.i, r.k))
+    assert {d: a for d, a in got.items() if d in want} == dict(want) and len(got[1003]) == 1
+    assert all(len(got[d]) == (len(t) > 0) for d, t in rows if d not in want)
+
+
+def plain_names(hexed):
+    return {hexed[i : i + 8] for i in range(0, len(hexed), 8)}
 
 
 def test_edited_fingerprints(spark):
     rows = [(i, t) for i, t in texts(spark).items()]
     got = {r.doc_id: r for r in syncmer.edited_fingerprints(frame(spark, rows)).collect()}
     order = sorted(rows, reverse=True)
-    full = {r.doc_id: r.f for r in syncmer.fingerprints(frame(spark, [(i, None) for i in ()] + rows)).select("doc_id", syncmer.as_text(F.col("sketch")).alias("f")).collect()}
-    edited = {}
-    for (i, a), (_, b) in zip(order, order[1:] + order[:1], strict=True):
+    said = lambda pairs: {r.doc_id: r.f for r in syncmer.fingerprints(frame(spark, pairs)).select("doc_id", syncmer.as_text(syncmer.names(F.col("anchors"))).alias("f")).collect()}
+    full, edited = said(rows), {}
+
+    def like(a, b):
+        a, b = plain_names(a), plain_names(b)
+        return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+    for (i, a), (k, b) in zip(order, order[1:] + order[:1], strict=True):
         m = len(a) // 3
         edited[i] = a[: len(a) - m] + b[:m]
         assert got[i].edited_sha256 == hashlib.sha256(edited[i].encode()).hexdigest() and got[i].n_chars == len(a) and got[i].fingerprint == full[i]
-    again = {r.doc_id: r.f for r in syncmer.fingerprints(frame(spark, list(edited.items()))).select("doc_id", syncmer.as_text(F.col("sketch")).alias("f")).collect()}
+        assert abs(got[i].near_next - like(full[i], full[k])) < 1e-12 and abs(got[i].near_edited - like(full[i], got[i].edited_fingerprint)) < 1e-12
+    again = said(list(edited.items()))
     assert all(got[i].edited_fingerprint == again[i] for i in again)
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.95
     odd = syncmer.edited_fingerprints(frame(spark, ODD)).collect()
@@ -113,6 +116,17 @@ def test_edited_fingerprints(spark):
     assert syncmer.edited_fingerprints(frame(spark, [])).count() == 0
 
 
+def test_matches_by_place(spark):
+    rng = random.Random(3)
+    one, two = ("".join(rng.choices("abcdefgh ", k=400)) for _ in range(2))
+    found = syncmer.fingerprints(frame(spark, [(1, one + two), (2, two + one)]))
+    got = syncmer.matches(found.where("doc_id = 1"), found.where("doc_id = 2")).collect()
+    moved = collections.Counter(r.other_at - r.at for r in got)
+    assert set(moved) == {400, -400} and min(moved.values()) > 20
+    text = one + two
+    assert all(text[r.at : r.at + syncmer.K] == (two + one)[r.other_at : r.other_at + syncmer.K] for r in got)
+
+
 # ---- n-gram join
 
 
