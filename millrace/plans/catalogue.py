@@ -66,7 +66,22 @@ def literal_set_findings(spark, d):
     return words.where(F.col("term").isin("the", "des", "und", "los", "idiot")).groupBy("term").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query()
+_MATCHES = r"""
+WITH k AS (
+    SELECT doc_id, text, 'digits' AS rule_uid, 0 AS lead, regexp_extract_all(text, '\b[0-9]{5,}\b') AS ms, regexp_split_to_array(text, '\b[0-9]{5,}\b') AS ps FROM documents
+    UNION ALL SELECT doc_id, text, 'insult', 0, regexp_extract_all(text, '(?i)\b(?:idiot|moron|clown)\b'), regexp_split_to_array(text, '(?i)\b(?:idiot|moron|clown)\b') FROM documents
+    UNION ALL SELECT doc_id, text, 'token', 9, regexp_extract_all(text, 'token = "[0-9a-f]+'), regexp_split_to_array(text, 'token = "[0-9a-f]+') FROM documents
+), n AS (
+    SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM k WHERE len(ms) > 0
+), placed AS (
+    SELECT doc_id, text, rule_uid, ms[i][lead + 1:] AS quote, lead + list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a FROM n
+), spans AS (
+    SELECT doc_id, rule_uid, a::INT AS "begin", (a + length(quote))::INT AS stop, quote, CASE WHEN rule_uid = 'token' THEN 'error' ELSE 'warning' END AS severity FROM placed
+    WHERE rule_uid <> 'insult' OR NOT regexp_matches(substring(text, (greatest(0, a - 20) + 1)::BIGINT, (a + length(quote) + 20 - greatest(0, a - 20))::BIGINT), '\bnot\b')
+)"""
+
+
+@query(_MATCHES + """ SELECT * FROM spans""")
 def matcher_spans(spark, d):
     """Spans of three matchers, with exact offsets in Python's dialect, by one pass over the documents."""
     matchers = [
@@ -78,7 +93,12 @@ def matcher_spans(spark, d):
     return found.withColumn("severity", F.when(F.col("rule_uid") == "token", "error").otherwise("warning"))
 
 
-@query()
+@query(_MATCHES + r"""
+, w AS (SELECT sum(len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS w FROM documents),
+r AS (SELECT * FROM (VALUES ('digits', 5.0::DOUBLE), ('insult', 2.0::DOUBLE), ('token', 0.5::DOUBLE), ('silent', 1.0::DOUBLE)) t(rule_uid, budget)),
+g AS (SELECT r.rule_uid, budget, count(s.doc_id)::BIGINT AS findings, count(DISTINCT s.doc_id)::BIGINT AS pages_hit FROM r LEFT JOIN spans s ON s.rule_uid = r.rule_uid GROUP BY r.rule_uid, budget)
+SELECT rule_uid, budget, findings, pages_hit, round(10000.0 * findings / w, 6) AS density, 10000.0 * findings / w > budget AS over_budget FROM g, w
+""")
 def matcher_gate(spark, d):
     """The density gate over matcher_spans: silent rules stay, budgets are per 10,000 words."""
     words = read(spark, d, "documents").agg(F.sum(X.word_count(F.col("text"))).alias("w")).first()["w"]
@@ -634,14 +654,27 @@ def rule_lint(spark, d):
     return G.lint(rules).groupBy("level", "finding").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""
+WITH e AS (SELECT item_id, text, item_id % 3 = 0 AS bad, CASE WHEN item_id % 2 = 0 THEN 'the' ELSE 'digits' END AS rule_uid, CASE WHEN item_id % 2 = 0 THEN regexp_matches(text, '(?i)\bthe\b') ELSE regexp_matches(text, '[0-9]') END AS fired FROM benchmark),
+u AS (SELECT DISTINCT rule_uid, text, bad, fired FROM e)
+SELECT rule_uid, sha256(coalesce(string_agg(text, chr(10) ORDER BY text) FILTER (WHERE bad AND NOT fired), '')) AS missed, sha256(coalesce(string_agg(text, chr(10) ORDER BY text) FILTER (WHERE NOT bad AND fired), '')) AS false_alarms FROM u GROUP BY rule_uid
+""")
 def example_checks(spark, d):
     """Example pairs against matchers: benchmark items as examples of two rules."""
     ex = read(spark, d, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "the").otherwise("digits").alias("rule_uid"), F.col("text").alias("example"), (F.col("item_id") % 3 == 0).alias("violating"))
-    return G.check_examples([("the", "literal_set", {"terms": ["the"]}), ("digits", "regex", {"pattern": r"\d+"})], ex)
+    got = G.check_examples([("the", "literal_set", {"terms": ["the"]}), ("digits", "regex", {"pattern": r"\d+"})], ex)
+    said = lambda c: F.sha2(F.array_join(c, "\n"), 256).alias(c)
+    return got.select("rule_uid", said("missed"), said("false_alarms"))
 
 
-@query()
+@query("""
+WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block, unnest(string_split(text, chr(10))) AS t FROM documents),
+q AS (SELECT * FROM p WHERE trim(t) <> ''),
+u AS (SELECT DISTINCT doc_id, t FROM q),
+c AS (SELECT u.doc_id, u.t, sum(CASE WHEN strpos(b.t, u.t) = 0 THEN 0 WHEN strpos(substring(b.t, strpos(b.t, u.t) + 1), u.t) = 0 THEN 1 ELSE 2 END) AS n, max(CASE WHEN strpos(b.t, u.t) > 0 THEN b.block END) AS block, max(strpos(b.t, u.t)) AS place FROM u JOIN q b ON b.doc_id = u.doc_id GROUP BY u.doc_id, u.t)
+SELECT q.doc_id::VARCHAR || ':' || q.block AS span_id, CASE WHEN e.t IS NOT NULL THEN q.block WHEN n = 1 THEN c.block + 1 END::VARCHAR AS block_id, CASE WHEN e.t IS NOT NULL THEN 0 WHEN n = 1 THEN place - 1 END::INT AS start, CASE WHEN e.t IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'context' ELSE 'lost' END AS how
+FROM q JOIN c ON c.doc_id = q.doc_id AND c.t = q.t LEFT JOIN q e ON e.doc_id = q.doc_id AND e.block = q.block - 1 AND starts_with(e.t, q.t)
+""")
 def anchor_resolution(spark, d):
     """A span over each block of the documents, found again after the blocks were renumbered."""
     blocks = B.text_blocks_narrow(read(spark, d, "documents"), separator="\n")
