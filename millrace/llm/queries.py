@@ -74,7 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_chat_format, op2_syncmer_fingerprints, op3_ngram_jaccard_join, op4_secret_scan, op5_suffix_dedup, op6_html_main_text,
-            op7_soft_mixing, op8_byte_bpe, op9_quality_rules, op10_quality_trees,
+            op7_soft_mixing, op8_byte_bpe, op9_quality_rules, op10_quality_trees, secret_base_counts, quality_base_counts,
         )
     }
 
@@ -128,5 +128,77 @@ SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, root AS component_id FROM sets
 """
 
 
+OP5_SQL = r"""
+WITH h AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+    SELECT doc_id, x, unnest(range(0, greatest(n - 49, 0))) AS p FROM h
+), v AS (
+    SELECT doc_id, p, substring(x, 2 * p + 1, 100) AS s FROM w
+), least AS (
+    SELECT s, min(doc_id) AS d FROM v GROUP BY s HAVING min(doc_id) < max(doc_id)
+), hit AS (
+    SELECT v.doc_id, v.p FROM v JOIN least ON least.s = v.s WHERE least.d < v.doc_id
+), marked AS (
+    SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS fresh FROM hit
+), grouped AS (
+    SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM marked
+), runs AS (
+    SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM grouped GROUP BY doc_id, g
+), gaps AS (
+    SELECT doc_id, a AS stop, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM runs
+    UNION ALL SELECT h.doc_id, n, coalesce(max(b), 0) FROM h LEFT JOIN runs ON runs.doc_id = h.doc_id GROUP BY h.doc_id, n
+), kept AS (
+    SELECT gaps.doc_id, sha256(unhex(string_agg(substring(x, (2 * start + 1)::BIGINT, (2 * (stop - start))::BIGINT), '' ORDER BY start, stop))) AS kept_sha256 FROM gaps JOIN h ON h.doc_id = gaps.doc_id GROUP BY gaps.doc_id
+), sums AS (
+    SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id
+)
+SELECT h.doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, kept_sha256
+FROM h JOIN kept ON kept.doc_id = h.doc_id LEFT JOIN sums ON sums.doc_id = h.doc_id
+"""
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4_secret_scan finds by its fixed patterns alone: the part of it that SQL can say."""
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+SECRET_SQL = r"""
+SELECT doc_id,
+    len(list_filter(regexp_extract_all(text, '(?i)(?:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+    len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access, len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+"""
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9_quality_rules counts: the part of it that SQL can say."""
+    return op9_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUALITY_SQL = r"""
+WITH t AS (
+    SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents
+), i AS (
+    SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8
+), g AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM i
+), twice AS (
+    SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1
+), covered AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS k FROM g JOIN twice USING (doc_id, g)
+), r AS (
+    SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id
+), l AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t
+), d AS (
+    SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id
+)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(d.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(r.n, 0) > 30 * len(w) AS base_failed
+FROM t LEFT JOIN d ON d.doc_id = t.doc_id LEFT JOIN r ON r.doc_id = t.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "secret_base_counts": SECRET_SQL, "quality_base_counts": QUALITY_SQL}
