@@ -104,21 +104,28 @@ def compiled(full: dict):
 FOUND = T.StructType([T.StructField("rule_uid", T.StringType()), T.StructField("begin", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("quote", T.StringType())])
 
 
-def find_spans(blocks: DataFrame, matchers: list[tuple[str, str, dict]], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Every span of every matcher in every block, by one pass of the Python workers over the blocks."""
+def find_spans(blocks: DataFrame, matchers: list[tuple[str, str, dict]], text: str = "text", keep: tuple[str, ...] = ("doc_id",), own: str | None = None) -> DataFrame:
+    """Every span of every matcher in every block, by one pass of the Python workers over the blocks.
+
+    With ``own``, a kept column, a block meets only the matchers that it names there.
+    """
     full = [(uid_, check_matcher(method, spec)) for uid_, method, spec in matchers]
     schema = T.StructType([f for f in blocks.schema.fields if f.name in keep] + FOUND.fields)
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finders = [(u, compiled(f)) for u, f in full]
+        by_name: dict[str, list] = {}
+        for u, find in finders:
+            by_name.setdefault(u, []).append((u, find))
         for batch in batches:
             rows = []
             for record in batch.itertuples(index=False):
                 body = getattr(record, text)
                 if body:
-                    own = [getattr(record, k) for k in names[: -len(FOUND)]]
-                    rows += [[*own, u, a, b, body[a:b]] for u, find in finders for a, b in find(body)]
+                    kept = [getattr(record, k) for k in names[: -len(FOUND)]]
+                    mine = finders if own is None else by_name.get(getattr(record, own), ())
+                    rows += [[*kept, u, a, b, body[a:b]] for u, find in mine for a, b in find(body)]
             yield pd.DataFrame(rows, columns=names)
 
     return blocks.select(*names[: -len(FOUND)], text).mapInPandas(run, schema)

@@ -215,7 +215,7 @@ def check_examples(matchers: list[tuple[str, str, dict]], examples: DataFrame) -
     An example is judged line by line, so a list's items are never matched across their joins.
     """
     lines = examples.withColumn("id", F.xxhash64("rule_uid", "example", "violating")).select("rule_uid", "id", F.explode(F.split("example", "\n")).alias("text"))
-    hits = udfs.find_spans(lines.withColumnRenamed("rule_uid", "own"), matchers, keep=("own", "id")).where("own = rule_uid").select("id").distinct().withColumn("fired", F.lit(True))
+    hits = udfs.find_spans(lines.withColumnRenamed("rule_uid", "own"), matchers, keep=("own", "id"), own="own").select("id").distinct().withColumn("fired", F.lit(True))
     rows = examples.withColumn("id", F.xxhash64("rule_uid", "example", "violating")).join(hits, "id", "left").withColumn("fired", F.coalesce("fired", F.lit(False)))
     said = lambda cond: F.sort_array(F.collect_set(F.when(cond, F.col("example"))))
     return rows.groupBy("rule_uid").agg(said(F.col("violating") & ~F.col("fired")).alias("missed"), said(~F.col("violating") & F.col("fired")).alias("false_alarms"))

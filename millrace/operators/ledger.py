@@ -61,46 +61,73 @@ def reconcile(candidates: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.groupBy("grp").applyInPandas(_cascade, "outcome string, old_uid string, cand_uid string")
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage where the session names a shared checkpoint folder; else keep the rows in memory and on disk."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+
+
 def _groups(links: DataFrame) -> DataFrame:
-    """(node, grp): components of the graph of nodes and ties, by passing on the smallest name until nothing changes."""
-    now = links.withColumn("grp", F.col("node"))
+    """(node, grp): components of the graph of nodes and ties.
+
+    A round hands the smallest name to all that share a tie, and then to each node the name that its name now has, so
+    names travel twice as far every round.
+    """
+    links = _settled(links)
+    now = _settled(links.select("node", F.col("node").alias("grp")).distinct())
     while True:
-        by_tie = now.groupBy("tie").agg(F.min("grp").alias("low"))
-        nodes = now.join(by_tie, "tie").groupBy("node").agg(F.min("low").alias("low"))
-        nxt = links.join(nodes.withColumnRenamed("low", "grp"), "node").persist()
-        moved = nxt.join(now.select("node", F.col("grp").alias("was")).distinct(), "node").where("grp <> was").limit(1).count()
-        now = nxt
+        by_tie = links.join(now, "node").groupBy("tie").agg(F.min("grp").alias("low"))
+        near = links.join(by_tie, "tie").groupBy("node").agg(F.min("low").alias("grp"))
+        jump = near.select(F.col("node").alias("grp"), F.col("grp").alias("further"))
+        after = _settled(near.join(jump, "grp", "left").select("node", F.least("grp", F.coalesce("further", "grp")).alias("grp")))
+        moved = not after.join(now.withColumnRenamed("grp", "was"), "node").where("grp <> was").isEmpty()
+        now.unpersist()
+        now = after
         if not moved:
-            return now.select("node", "grp").distinct()
+            links.unpersist()
+            return now
 
 
 def _cascade(rows: pd.DataFrame) -> pd.DataFrame:
+    """The cascade inside one group, in the candidates' order; live rules are found by statement and by place."""
     old = {r.uid: r for r in rows[rows.old].sort_values("uid").itertuples()}
-    new = rows[~rows.old].sort_values(["page", "line", "uid"])
+    told: dict[str, dict[str, None]] = {}
+    placed: dict[tuple, dict[str, None]] = {}
+    for u, r in old.items():
+        if not r.produced:
+            told.setdefault(r.key, {})[u] = None
+            placed.setdefault((r.page, r.parent), {})[u] = None
     used: set[str] = set()
+
+    def take(uid: str) -> None:
+        used.add(uid)
+        told.get(old[uid].key, {}).pop(uid, None)
+        placed.get((old[uid].page, old[uid].parent), {}).pop(uid, None)
+
     out = []
-    for c in new.itertuples():
+    for c in rows[~rows.old].sort_values(["page", "line", "uid"]).itertuples():
         if c.uid in old:
-            used.add(c.uid)
+            take(c.uid)
             same = (old[c.uid].body or "").strip() == (c.body or "")[:1200].strip()
             out.append(("unchanged" if same else "body_altered", c.uid, c.uid))
             continue
         if c.supersedes and c.supersedes in old and c.supersedes not in used:
-            used.add(c.supersedes)
+            take(c.supersedes)
             out.append(("reworded", c.supersedes, c.uid))
             continue
-        free = [r for u, r in old.items() if u not in used and not r.produced]
-        tied = [r for r in free if r.key == c.key]
-        if len(tied) > 1 and len(here := [r for r in tied if r.page == c.page]) == 1:
+        tied, kind = list(told.get(c.key, ())), "rehomed"
+        if len(tied) > 1 and len(here := [u for u in tied if old[u].page == c.page]) == 1:
             tied = here
-        kind = "rehomed"
         if not tied and c.positional:
-            tied, kind = [r for r in free if (r.page, r.parent) == (c.page, c.parent)], "reworded"
+            tied, kind = list(placed.get((c.page, c.parent), ())), "reworded"
         if len(tied) == 1:
-            used.add(tied[0].uid)
-            out.append((kind, tied[0].uid, c.uid))
+            take(tied[0])
+            out.append((kind, tied[0], c.uid))
         elif tied:
-            out.append(("ambiguous", tied[0].uid, c.uid))
+            out.append(("ambiguous", tied[0], c.uid))
         else:
             out.append(("added", None, c.uid))
     out += [("orphaned", u, None) for u, r in old.items() if u not in used and not r.produced]
