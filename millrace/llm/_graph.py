@@ -19,7 +19,7 @@ def _spread(pairs: DataFrame) -> DataFrame:
     """Hang every larger neighbour of a node on the smallest node in its neighbourhood."""
     both = pairs.select("u", "v").union(pairs.select("v", "u"))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # repeats go in _star
 
 
 def _mark(pairs: DataFrame) -> tuple:

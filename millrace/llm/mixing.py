@@ -28,6 +28,7 @@ posteriors() passes further columns on and refuses an input that already has a c
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,7 @@ from millrace.llm._spark import Shelf
 
 LABELLED = 12_000  #: bound of the labelled rows learned from
 BUCKETS = 1 << 14
-EVIDENCE, SMOOTH, SURE = 16, 0.5, 4.0
+EVIDENCE, SMOOTH, SURE = 60, 0.5, 4.0
 STEPS, CLOSE, SLACK = 24, 1e-3, 1.02
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.94, "poor": 0.02, "toxic": 0.04}
@@ -63,8 +64,16 @@ def _events(words: Column, text: Column) -> Column:
     return F.array_distinct(F.concat(words, F.when(n > 0, said).otherwise(F.slice(said, 1, 0))))
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Log prior by domain, and by domain and bucket how far its log likelihood is above that of the first domain."""
+@dataclass
+class Model:
+    prior: np.ndarray  # log, by domain
+    odds: np.ndarray  # by domain and bucket: what its presence adds to the log odds against the first domain
+    silence: np.ndarray  # by domain: the log odds of a text of ``events`` events without any telling word
+    events: float  # events of a text, in the mean
+
+
+def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
+    """What at most ``bound`` labelled rows say of the domains."""
     y = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     y = y.groupBy("doc_id").agg(F.min(F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1)).alias("k"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
@@ -77,33 +86,37 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[np
     share = (seen + SMOOTH) / (many + 2 * SMOOTH)
     pooled = (seen + seen[:1] + SMOOTH) / (many + many[:1] + 2 * SMOOTH)
     error = np.sqrt(pooled * (1 - pooled) * (1 / np.maximum(many, 1) + 1 / np.maximum(many[:1], 1)))
-    odds = np.log(share) - np.log(share[:1])
     sure = min(SURE, max(0.0, 1.6 * (np.log10(max(1.0, many.sum())) - 1)))  # fewer rows, fewer words to err on
-    return prior, np.where(np.abs(share - share[:1]) > sure * error, odds, 0.0)
+    tells = np.abs(share - share[:1]) > sure * error
+    said = np.where(tells, np.log(share) - np.log(share[:1]), 0.0)
+    silent = np.where(tells & (share > share[:1]), np.log1p(-share) - np.log1p(-share[:1]), 0.0)
+    return Model(prior, said - silent, silent.sum(1), max(1.0, float(seen.sum() / max(1.0, many.sum()))))
 
 
-def posteriors(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
+def posteriors(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds n_tokens (words) and p_good, p_poor, p_toxic."""
     if clash := [c for c in ADDED if c in df.columns]:
         raise ValueError(f"the input already has columns {clash}")
-    prior, odds = model
+    prior, odds = model.prior, model.odds
     telling = np.flatnonzero((odds != 0).any(0))
     place = np.zeros(BUCKETS, np.int32)
     place[telling] = np.arange(1, len(telling) + 1)
-    own, words = "__buckets", "__words"
+    own, words, events = "__buckets", "__words", "__events"
     out = df.withColumn(words, F.transform(_words(F.col(text)), _bucket)).withColumn("n_tokens", F.size(words).cast("long"))
-    out = out.withColumn(own, F.filter(F.transform(_events(F.col(words), F.col(text)), lambda b: F.get(F.lit(place), b)), lambda at: at > 0))
+    out = out.withColumn(events, _events(F.col(words), F.col(text)))
+    out = out.withColumn(own, F.filter(F.transform(events, lambda b: F.get(F.lit(place), b)), lambda at: at > 0))
+    heard = F.least(F.lit(1.0), F.size(events) / model.events)  # a short text is silent about less
     weight = EVIDENCE / F.greatest(F.size(own), F.lit(EVIDENCE)).cast("double")
     added = []
     for k in range(1, len(DOMAINS)):
         table = F.lit(np.concatenate([[0.0], np.round(odds[k][telling], 6)]))
         total = F.aggregate(own, F.lit(0.0), lambda sum_, at: sum_ + F.get(table, at))  # noqa: B023
-        out = out.withColumn(f"__o{k}", F.greatest(F.least(total * weight + float(prior[k] - prior[0]), F.lit(60.0)), F.lit(-60.0)))
+        out = out.withColumn(f"__o{k}", F.greatest(F.least(total * weight + heard * float(model.silence[k]) + float(prior[k] - prior[0]), F.lit(60.0)), F.lit(-60.0)))
         added.append(F.exp(F.col(f"__o{k}")))
     whole = sum(added, F.lit(1.0))
     for d, part in zip(DOMAINS, [F.lit(1.0), *added], strict=True):
         out = out.withColumn(f"p_{d}", part / whole)
-    return out.drop(own, words, *[f"__o{k}" for k in range(1, len(DOMAINS))])
+    return out.drop(own, words, events, *[f"__o{k}" for k in range(1, len(DOMAINS))])
 
 
 def rate(steps: list[list[float]]) -> Column:
