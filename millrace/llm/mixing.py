@@ -87,7 +87,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
     pooled = (seen + seen[:1] + SMOOTH) / (many + many[:1] + 2 * SMOOTH)
     error = np.sqrt(pooled * (1 - pooled) * (1 / np.maximum(many, 1) + 1 / np.maximum(many[:1], 1)))
     sure = min(SURE, max(0.0, 1.6 * (np.log10(max(1.0, many.sum())) - 1)))  # fewer rows, fewer words to err on
-    tells = np.abs(share - share[:1]) > sure * error
+    found = seen / np.maximum(many, 1)
+    tells = np.abs(found - found[:1]) > sure * error  # a word that neither holds tells nothing
     said = np.where(tells, np.log(share) - np.log(share[:1]), 0.0)
     silent = np.where(tells & (share > share[:1]), np.log1p(-share) - np.log1p(-share[:1]), 0.0)
     return Model(prior, said - silent, silent.sum(1), max(1.0, float(seen.sum() / max(1.0, many.sum()))))
