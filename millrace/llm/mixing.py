@@ -40,6 +40,7 @@ from millrace.llm._spark import Shelf
 LABELLED = 12_000  #: bound of the labelled rows learned from
 BUCKETS = 1 << 14
 EVIDENCE, SMOOTH, SURE = 60, 0.5, 4.0
+FLOOR = 0.05  #: posteriors below it count as none
 STEPS, CLOSE, SLACK = 24, 1e-3, 1.02
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.94, "poor": 0.02, "toxic": 0.04}
@@ -115,8 +116,12 @@ def posteriors(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         out = out.withColumn(f"__o{k}", F.greatest(F.least(total * weight + heard * float(model.silence[k]) + float(prior[k] - prior[0]), F.lit(60.0)), F.lit(-60.0)))
         added.append(F.exp(F.col(f"__o{k}")))
     whole = sum(added, F.lit(1.0))
-    for d, part in zip(DOMAINS, [F.lit(1.0), *added], strict=True):
-        out = out.withColumn(f"p_{d}", part / whole)
+    raw = [F.col(f"__p{k}") for k in range(len(DOMAINS))]
+    for k, part in enumerate([F.lit(1.0), *added]):
+        out = out.withColumn(f"__p{k}", F.when(part / whole >= FLOOR, part / whole).otherwise(0.0))
+    for d, part in zip(DOMAINS, raw, strict=True):
+        out = out.withColumn(f"p_{d}", part / sum(raw, F.lit(0.0)))
+    out = out.drop(*[f"__p{k}" for k in range(len(DOMAINS))])
     return out.drop(own, words, events, *[f"__o{k}" for k in range(1, len(DOMAINS))])
 
 
