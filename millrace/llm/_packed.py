@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from millrace.llm import _batch
 
-PER_BUCKET = 4_000_000  #: values in a bucket, about
+PER_BUCKET = 1_500_000  #: values in a bucket, about
 PER_PART = 1 << 25  #: values whose sets are summed up in one group, about
 CHUNK = 1_500_000  #: values packed at once
 WIDTH = 5  #: bytes kept of a value; its bucket gives more bits
