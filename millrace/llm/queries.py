@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat_format, html_text, mixing, ngram_join, quality_gbt, quality_rules, secrets, suffix_dedup, syncmer
+from millrace.llm import bpe, chat_format, divergence, html_text, language_id, mixing, ngram_join, quality_gbt, quality_rules, secrets, suffix_dedup, syncmer
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +69,20 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.classified(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(_read(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_chat_format, op2_syncmer_fingerprints, op3_ngram_jaccard_join, op4_secret_scan, op5_suffix_dedup, op6_html_main_text,
-            op7_soft_mixing, op8_byte_bpe, op9_quality_rules, op10_quality_trees, secret_base_counts, quality_base_counts,
+            op7_soft_mixing, op8_byte_bpe, op9_quality_rules, op10_quality_trees, op11_language_id, op12_source_divergence, secret_base_counts, quality_base_counts,
         )
     }
 
@@ -178,7 +186,8 @@ def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUALITY_SQL = r"""
 WITH t AS (
-    SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents
+    SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents
 ), i AS (
     SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8
 ), g AS (
@@ -192,7 +201,8 @@ WITH t AS (
 ), l AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t
 ), d AS (
-    SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id
+    SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY doc_id
 )
 SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(d.n, 0)::BIGINT AS n_dup_lines,
     coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(r.n, 0) > 30 * len(w) AS base_failed
@@ -201,4 +211,4 @@ FROM t LEFT JOIN d ON d.doc_id = t.doc_id LEFT JOIN r ON r.doc_id = t.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "secret_base_counts": SECRET_SQL, "quality_base_counts": QUALITY_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "op12_source_divergence": divergence.SQL, "secret_base_counts": SECRET_SQL, "quality_base_counts": QUALITY_SQL}
