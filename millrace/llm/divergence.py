@@ -30,17 +30,17 @@ BLOCK = 512  #: kept terms in a block, about
 SCALE = 1_000_000_000
 ENTRIES = 1 << 18  #: counts held in a worker before they go out
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_MANY = 1 << 20
+_MANY = 1 << 20  #: bytes of text matched at once
 
 
-def _terms(text: str) -> Iterator[list[bytes]]:
+def _terms(text: str, many: int = _MANY) -> Iterator[list[bytes]]:
     """The terms of a text in lists of bounded length; only A-Z become small letters."""
     data = text.encode("utf-8", "surrogatepass").lower()  # of bytes: A-Z alone
-    if len(data) <= _MANY:
+    if len(data) <= many:
         yield _TERM.findall(data)
         return
     found = _TERM.finditer(data)
-    while part := [m.group() for m in islice(found, ENTRIES)]:
+    while part := [m.group() for m in islice(found, many // 4)]:
         yield part
 
 
@@ -91,11 +91,11 @@ TILE = "part string, lang string, a long, b long, term string, value long"
 CELL = "lang string, band_a int, band_b int, block int, term string, n long, of long, idx long"
 
 
-def _tile(table: pa.Table) -> pa.Table:
+def _tile(table: pa.Table, size: int, step: int) -> pa.Table:
     """One block of terms for two bands of groups.
 
-    Rows: a count (term, n of a group idx, of: the language's), a group (no term, n: its N, of: the language's V, its
-    idx), and the language (no term, n: its N, of: its V, idx 0).
+    Rows: a count (term, n of a group idx, of: the language's), a term that may stand in other bands only (idx 0), a group
+    (no term, n: its N, of: the language's V, its idx), and the language (no term, n: its N, of: its V, idx 0).
     """
     lang, first, second = (table.column(c)[0].as_py() for c in ("lang", "band_a", "band_b"))
     known = table.column("term").is_valid().to_numpy(zero_copy_only=False)
@@ -110,19 +110,20 @@ def _tile(table: pa.Table) -> pa.Table:
     column = {t: i for i, t in enumerate(terms)}
     counts, overall = np.zeros((len(groups), len(terms)), np.int64), np.zeros(len(terms), np.int64)
     where = np.array([column[w] for w in words], np.int64)
-    counts[np.searchsorted(groups, idx[known]), where] = n[known]
     overall[where] = of[known]
-    band = (groups - 1) // BAND
+    own = idx[known] > 0
+    counts[np.searchsorted(groups, idx[known][own]), where[own]] = n[known][own]
+    band = (groups - 1) // size
     mine, others = np.flatnonzero(band == first), np.flatnonzero(band == second)
     sums = np.zeros((len(mine), len(others)), np.int64)
     strongest: dict[int, list] = {g: [] for g in mine.tolist()}
-    for lo in range(0, len(terms), BLOCK):
-        p = shares(counts[:, lo : lo + BLOCK], totals[:, None], kept)
+    for lo in range(0, len(terms), step):
+        p = shares(counts[:, lo : lo + step], totals[:, None], kept)
         sums += divergence(p[mine][:, None, :], p[others][None, :, :]).sum(2)
         if first == second:
-            q = shares(overall[lo : lo + BLOCK], np.array(lang_total), kept)
+            q = shares(overall[lo : lo + step], np.array(lang_total), kept)
             f = divergence(p, q[None, :])
-            told = (counts[:, lo : lo + BLOCK] > 0) & (p > q[None, :])
+            told = (counts[:, lo : lo + step] > 0) & (p > q[None, :])
             for g in mine.tolist():
                 at = np.flatnonzero(told[g])
                 best = at[np.argsort(-f[g, at], kind="stable")[:TOP]]  # stable: ties stay in the order of terms
@@ -135,7 +136,7 @@ def _tile(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, band: int = BAND, block: int = BLOCK) -> DataFrame:
     """(lang, source, part, item, value, rank) over all rows of ``docs`` (text, lang, source).
 
     part ``pair``: every other source of the language and the sum of f over all kept terms, 0 where none is kept;
@@ -146,26 +147,33 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     clean = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     found = shelf.put(term_counts(clean))
     kept = found.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("of")).where(F.col("docs") >= min_docs).select("lang", "term", "of")
+    kept = shelf.put(kept)
     counts = shelf.put(found.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "of"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("of").alias("total"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long")
     groups = clean.select("lang", "source").distinct().withColumn("idx", place).join(totals, ["lang", "source"], "left")
     groups = groups.join(langs.withColumnRenamed("total", "lang_total"), "lang", "left").fillna(0, ["total", "v", "lang_total"])
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("v") / BLOCK)).cast("int")
-    groups = shelf.put(groups.withColumn("blocks", blocks).withColumn("bands", F.ceil(F.max("idx").over(Window.partitionBy("lang")) / BAND).cast("int")))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("v") / block)).cast("int")
+    groups = shelf.put(groups.withColumn("blocks", blocks).withColumn("bands", F.ceil(F.max("idx").over(Window.partitionBy("lang")) / band).cast("int")))
     shelf.drop(found)
 
-    own_band = ((F.col("idx") - 1) / BAND).cast("int")
+    to_block = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")
+    own_band = ((F.col("idx") - 1) / band).cast("int")
     facing = F.transform(F.sequence(F.lit(0), F.col("bands") - 1), lambda j: F.struct(F.least(own_band, j).alias("a"), F.greatest(own_band, j).alias("b")))
     cell = [F.col("lang"), F.col("pair.a").alias("band_a"), F.col("pair.b").alias("band_b"), F.col("block")]
     data = among(counts, groups.select("lang", "source", "idx", "blocks", "bands"), ["lang", "source"])
-    data = data.withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")).withColumn("pair", F.explode(facing)).select(*cell, "term", "n", "of", "idx")
+    data = data.withColumn("block", to_block).withColumn("pair", F.explode(facing)).select(*cell, "term", "n", "of", "idx")
     member = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("pair", F.explode(facing))
     nothing = F.lit(None).cast("string").alias("term")
     member = member.select(*cell, nothing, F.col("total").alias("n"), F.col("v").alias("of"), "idx").unionByName(member.select(*cell, nothing, F.col("lang_total").alias("n"), F.col("v").alias("of"), F.lit(0).cast("long").alias("idx")).distinct())
-    tiles = shelf.put(data.unionByName(member).groupBy("lang", "band_a", "band_b", "block").applyInArrow(_tile, TILE))
-    shelf.drop(counts)
+    # of several bands, two may lack a term that others have; their shares of it still differ
+    many = groups.where("bands > 1")
+    facing_all = F.explode(F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.col("bands") - 1), lambda i: F.transform(F.sequence(F.lit(0), F.col("bands") - 1), lambda j: F.struct(i.alias("a"), j.alias("b"))))), lambda x: x["a"] <= x["b"]))
+    lacking = among(kept, many.select("lang", "blocks", "bands").distinct(), "lang").withColumn("block", to_block).withColumn("pair", facing_all)
+    data = data.unionByName(lacking.select(*cell, "term", F.lit(0).cast("long").alias("n"), "of", F.lit(0).cast("long").alias("idx")))
+    tiles = shelf.put(data.unionByName(member).groupBy("lang", "band_a", "band_b", "block").applyInArrow(lambda table: _tile(table, band, block), TILE))
+    shelf.drop(counts, kept)
 
     names = groups.select("lang", "idx", "source")
     name = lambda df, at, out: among(df, names.select("lang", F.col("idx").alias(at), F.col("source").alias(out)), ["lang", at])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat_format, divergence, html_text, language_id, mixing, ngram_join, quality_gbt, quality_rules, secrets, suffix_dedup, syncmer
+from millrace.llm import bpe, chat_format, divergence, html_text, language_id, mixing, ngram_join, prefix_trie, quality_gbt, quality_rules, secrets, suffix_dedup, syncmer
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,12 +77,18 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_read(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turns(rows)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_chat_format, op2_syncmer_fingerprints, op3_ngram_jaccard_join, op4_secret_scan, op5_suffix_dedup, op6_html_main_text,
-            op7_soft_mixing, op8_byte_bpe, op9_quality_rules, op10_quality_trees, op11_language_id, op12_source_divergence, secret_base_counts, quality_base_counts,
+            op7_soft_mixing, op8_byte_bpe, op9_quality_rules, op10_quality_trees, op11_language_id, op12_source_divergence, op13_prefix_trie,
+            secret_base_counts, quality_base_counts,
         )
     }
 
@@ -211,4 +217,4 @@ FROM t LEFT JOIN d ON d.doc_id = t.doc_id LEFT JOIN r ON r.doc_id = t.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "op12_source_divergence": divergence.SQL, "secret_base_counts": SECRET_SQL, "quality_base_counts": QUALITY_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "op12_source_divergence": divergence.SQL, "op13_prefix_trie": prefix_trie.SQL, "secret_base_counts": SECRET_SQL, "quality_base_counts": QUALITY_SQL}
