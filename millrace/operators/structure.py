@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.functions.udfs import repair_headings
 
 LEVELS = range(1, 7)
 
@@ -49,24 +50,6 @@ def bodies(page_lines: DataFrame, found: DataFrame, key: str = "page") -> DataFr
     return kept.select(key, "line", F.regexp_replace(F.array_join(F.transform("b", lambda x: x["txt"]), "\n"), r"^\n+|\n+$", "").alias("body"))
 
 
-def body_blocks(page_lines: DataFrame, key: str = "page") -> DataFrame:
-    """(key, line, ord, kind, plain, depth, row, col): para, li, quote or cell; consecutive quote lines make one block."""
-    t = F.col("txt")
-    kind = F.when(t.rlike(r"^\s*$"), "blank").when(t.rlike(r"^\s*\|"), "table").when(t.rlike(r"^\s*>"), "quote").when(t.rlike(r"^\s*(?:[-*+]|\d+[.)])\s+"), "li").otherwise("para")
-    rows = page_lines.withColumn("kind", kind)
-    in_order = Window.partitionBy(key).orderBy("line")
-    rows = rows.withColumn("fresh", (F.col("kind") != F.coalesce(F.lag("kind").over(in_order), F.lit(""))).cast("int"))
-    rows = rows.withColumn("run", F.sum("fresh").over(in_order))
-    quotes = rows.where("kind = 'quote'").groupBy(key, "run").agg(F.min("line").alias("line"), F.array_sort(F.collect_list(F.struct("line", "txt"))).alias("q"))
-    quotes = quotes.select(key, "line", F.lit(0).alias("ord"), F.lit("quote").alias("kind"), F.array_join(F.transform("q", lambda x: F.regexp_replace(x["txt"], r"^\s*>\s?", "")), " ").alias("plain"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"))
-    flat = rows.where("kind IN ('para', 'li')").select(key, "line", F.lit(0).alias("ord"), "kind", X.strip(F.regexp_replace("txt", r"^\s*(?:[-*+]|\d+[.)])\s+", "")).alias("plain"), F.floor(F.length(F.regexp_extract("txt", r"^(\s*)", 1)) / 2).cast("int").alias("depth"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"))
-    ruled = rows.where("kind = 'table'").where(~t.rlike(r"^\s*\|[\s:|-]+\|?\s*$"))
-    of_table = Window.partitionBy(key, "run").orderBy("line")
-    cells = ruled.withColumn("row", F.row_number().over(of_table) - 1).select(key, "line", "row", F.posexplode(F.split(F.regexp_replace(X.strip(F.col("txt")), r"^\|+|\|+$", ""), r"\|")).alias("col", "c"))
-    cells = cells.where(X.strip(F.col("c")) != "").select(key, "line", F.col("col").alias("ord"), F.lit("cell").alias("kind"), X.strip(F.col("c")).alias("plain"), F.lit(0).alias("depth"), "row", "col")
-    return flat.unionByName(quotes).unionByName(cells).where("plain <> ''")
-
-
 def occurrences(blocks: DataFrame, *keys: str, order: str = "ord") -> DataFrame:
     """Adds ``occurrence``: how many equal blocks of the same keys came before."""
     return blocks.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
@@ -169,5 +152,7 @@ def rendered(blocks: DataFrame, seeds: DataFrame, titles: DataFrame) -> DataFram
 
 
 def normalised_pages(pages: DataFrame) -> DataFrame:
-    """Adds the composed and normalised text and its sha256 to pages (path, raw)."""
-    return pages.withColumn("text", X.composed_text(F.col("raw"))).withColumn("sha256", F.sha2("text", 256))
+    """Adds text, promotions and sha256 to pages (path, raw): normalised, lost headings put back, and normalised again."""
+    return pages.withColumn("__r", repair_headings(X.composed_text(F.col("raw")))).select(
+        *pages.columns, X.composed_text(F.col("__r.text")).alias("text"), F.col("__r.promotions").alias("promotions")
+    ).withColumn("sha256", F.sha2("text", 256))

@@ -228,19 +228,6 @@ _MD = """WITH l AS (SELECT doc_id AS page, generate_subscripts(string_split(text
 m AS (SELECT page, line, trim(t) AS t, (page + line) % 7 AS k FROM l)"""
 
 
-@query(_MD + """
-SELECT kind, count(*)::BIGINT AS n, sum(length(plain))::BIGINT AS chars FROM (
-  SELECT CASE k WHEN 1 THEN 'li' ELSE 'para' END AS kind, t AS plain FROM m WHERE (k IN (1, 5, 6) AND t <> '')
-  UNION ALL SELECT 'quote', t FROM m WHERE k = 2 AND t <> '') GROUP BY kind
-""")
-def body_block_census(spark, d):
-    """Kinds of body blocks of Markdown built from the documents."""
-    rows = _markdown(spark, d).where(~F.col("txt").rlike("^#"))
-    rows = rows.withColumn("txt", F.when(F.col("txt").rlike(r"^\s*[-*+|>0-9]") & ~F.col("txt").rlike("^(- |> )"), F.concat(F.lit("x"), "txt")).otherwise(F.col("txt")))
-    b = B.body_blocks(rows).withColumn("plain", F.regexp_replace("plain", r"^x(?=[-*+|>0-9])", ""))
-    return b.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("plain")).cast("long").alias("chars"))
-
-
 @query(_MD + """
 SELECT page, count(*)::BIGINT AS headings, sum(CASE k WHEN 0 THEN 2 ELSE 3 END)::BIGINT AS levels FROM m WHERE k IN (0, 3) AND t <> '' GROUP BY page
 """)
@@ -250,12 +237,6 @@ def heading_scan(spark, d):
     return h.groupBy("page").agg(F.count("*").alias("headings"), F.sum("level").cast("long").alias("levels"))
 
 
-@query()
-def html_to_markdown(spark, d):
-    p = read(spark, d, "pages").select("page_id", udfs.html_to_markdown("html", "url").alias("md"))
-    return p.select("page_id", F.regexp_count("md", F.lit(r"(?m)^#+ ")).cast("long").alias("headings"), F.regexp_count("md", F.lit(r"\]\(")).cast("long").alias("links"), F.length("md").cast("long").alias("n"))
-
-
 @query("""
 SELECT regexp_matches(lower(html), 'this site can''t be reached|err_http2_protocol_error|enable javascript and cookies to continue|checking if the site connection is secure|just a moment\\.\\.\\.|verifying you are human|ddos protection by cloudflare|access denied') AS blocked, count(*)::BIGINT AS pages FROM pages GROUP BY 1
 """)

@@ -29,9 +29,9 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_disk(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
     """(path, sha256, lastmod): a snapshot of the Markdown below a folder, with the last change that an older lock (path, lastmod) has."""
-    from millrace.functions import text as X
+    from millrace.operators.structure import normalised_pages
 
-    pages = markdown(spark, folder).select(F.col("page").alias("path"), F.sha2(X.composed_text(F.col("text")), 256).alias("sha256"))
+    pages = normalised_pages(markdown(spark, folder).select(F.col("page").alias("path"), F.col("text").alias("raw"))).select("path", "sha256")
     return pages.withColumn("lastmod", F.lit(None).cast("string")) if known is None else pages.join(known.select("path", "lastmod"), "path", "left")
 
 

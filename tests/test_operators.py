@@ -102,15 +102,6 @@ def test_headings_and_bodies(spark):
     assert {r.line: r.body for r in B.bodies(lines, h).collect()} == {0: "x\n```\n# no\n```", 5: "y\n\nz\n####### seven"}
 
 
-def test_body_blocks(spark):
-    page = "one\ntwo\n\n> q1\n> q2\n- a\n  - b\n| x | | y |\n|---|---|---|\n| 1 | 2 | |\n\n| z |"
-    got = B.body_blocks(B.lines(spark.createDataFrame([("p", page)], "page string, text string"))).orderBy("line", "ord").collect()
-    assert [(r.kind, r.plain, r.depth, r.row, r.col) for r in got] == [
-        ("para", "one", 0, None, None), ("para", "two", 0, None, None), ("quote", "q1 q2", 0, None, None), ("li", "a", 0, None, None), ("li", "b", 1, None, None),
-        ("cell", "x", 0, 0, 0), ("cell", "y", 0, 0, 2), ("cell", "1", 0, 1, 0), ("cell", "2", 0, 1, 1), ("cell", "z", 0, 0, 0),
-    ]
-
-
 def test_offsets(spark):
     docs = spark.createDataFrame([(1, "aé\n\n\n\n😀b\n\n "), (2, ""), (3, None)], "doc_id int, text string")
     for blocks in (B.text_blocks(docs), B.text_blocks_narrow(docs)):
@@ -141,11 +132,6 @@ def test_inline_marks():
     assert [(plain[a:b], k, h) for a, b, k, h in marks] == [("b c", "strong", None), ("c", "link", "u"), ("d*", "code", None), ("e", "em", None)]
 
 
-def test_to_markdown():
-    html = "<nav>no</nav><main><h1>T</h1><p>a <b>b</b> <a href='/x'>c</a><ol><li>one<ul><li>in</ul><li>two</ol><table><tr><th>h<th>i<tr><td>1<td>2</table><h2>Release notes</h2><p>gone"
-    assert udfs.to_markdown(html, "https://s.au/p") == "# T\n\na **b** [c](https://s.au/x)\n\n1. one\n\n  - in\n\n2. two\n\n| h | i |\n\n| 1 | 2 |\n"
-
-
 def test_globs_and_eligibility(spark):
     for glob, path, want in [("a/**", "a", True), ("a/**", "a/b/c", True), ("a/*", "a/b/c", False), ("**/x", "x", True), ("**/x", "a/b/x", True), ("a?/b", "ac/b", True), ("a.b", "axb", False), ("**", "q/r", True)]:
         assert bool(re.match(S.glob_regex(glob), path)) == want, (glob, path)
