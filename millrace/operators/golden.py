@@ -232,22 +232,6 @@ def proposals(checks: DataFrame, measured: DataFrame) -> DataFrame:
     return rows.withColumn("blockers", blockers).withColumn("ready", F.size("blockers") == 0)
 
 
-def draft_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(page, i, j, score): how well rules of two drafts match. Drafts: page, i, section, start, end, words, examples.
-
-    3 and the overlap for overlapping extents; 2 and the likeness of the words for the same section with more than half
-    of them shared; 1.5 and 0.01 a shared example (49 at most).
-    """
-    left = a.select("page", "i", *[F.col(c).alias(f"a_{c}") for c in ("section", "start", "end", "words", "examples")])
-    right = b.select("page", F.col("i").alias("j"), *[F.col(c).alias(f"b_{c}") for c in ("section", "start", "end", "words", "examples")])
-    met = left.join(right, "page")  # drafts of one page only
-    over = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
-    like = X.jaccard(F.col("a_words"), F.col("b_words"))
-    both = F.size(F.array_intersect("a_examples", "b_examples"))
-    score = F.when(over > 0, 3 + over).when((F.col("a_section") == F.col("b_section")) & (like >= 0.5), 2 + like).when(both > 0, 1.5 + 0.01 * F.least(both, F.lit(49))).otherwise(0.0)
-    return met.select("page", "i", "j", score.cast("double").alias("score"))
-
-
 def plan(matched: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(page, i, j, outcome): agreed, single-a or single-b."""
     alone = lambda side, key: side.select("page", F.col("i").alias(key)).join(matched.select("page", key), ["page", key], "left_anti")

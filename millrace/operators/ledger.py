@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.session import dropped, written
 
 DEAD = ("superseded", "orphaned")
 LOADABLE = ("accepted", "amended")
@@ -61,33 +62,24 @@ def reconcile(candidates: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.groupBy("grp").applyInPandas(_cascade, "outcome string, old_uid string, cand_uid string")
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage where the session names a shared checkpoint folder; else keep the rows in memory and on disk."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
-
-
 def _groups(links: DataFrame) -> DataFrame:
     """(node, grp): components of the graph of nodes and ties.
 
     A round hands the smallest name to all that share a tie, and then to each node the name that its name now has, so
     names travel twice as far every round.
     """
-    links = _settled(links)
-    now = _settled(links.select("node", F.col("node").alias("grp")).distinct())
+    links = written(links)
+    now = written(links.select("node", F.col("node").alias("grp")).distinct())
     while True:
         by_tie = links.join(now, "node").groupBy("tie").agg(F.min("grp").alias("low"))
         near = links.join(by_tie, "tie").groupBy("node").agg(F.min("low").alias("grp"))
         jump = near.select(F.col("node").alias("grp"), F.col("grp").alias("further"))
-        after = _settled(near.join(jump, "grp", "left").select("node", F.least("grp", F.coalesce("further", "grp")).alias("grp")))
+        after = written(near.join(jump, "grp", "left").select("node", F.least("grp", F.coalesce("further", "grp")).alias("grp")))
         moved = not after.join(now.withColumnRenamed("grp", "was"), "node").where("grp <> was").isEmpty()
-        now.unpersist()
+        dropped(now)
         now = after
         if not moved:
-            links.unpersist()
+            dropped(links)
             return now
 
 

@@ -464,12 +464,22 @@ def reconcile_full(spark, d):
     return L.reconcile(*_ledger(spark, d))
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT s_nationkey % 25 AS k, s_suppkey AS i, s_acctbal FROM supplier), p AS (SELECT (p_partkey % 25)::INTEGER AS k, p_partkey AS j, p_retailprice FROM part),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, i, j) AS n FROM (SELECT k, i, j, (3 - floor(abs(s_acctbal - p_retailprice) / 500))::DOUBLE AS score FROM s JOIN p USING (k)) WHERE score > 0),
+fold AS (
+  SELECT k, n, i, j, score, true AS taken, [i] AS gi, [j] AS gj FROM ranked WHERE n = 1
+  UNION ALL SELECT r.k, r.n, r.i, r.j, r.score, NOT (list_contains(gi, r.i) OR list_contains(gj, r.j)), CASE WHEN list_contains(gi, r.i) OR list_contains(gj, r.j) THEN gi ELSE list_append(gi, r.i) END,
+    CASE WHEN list_contains(gi, r.i) OR list_contains(gj, r.j) THEN gj ELSE list_append(gj, r.j) END FROM fold JOIN ranked r ON r.k = fold.k AND r.n = fold.n + 1)
+SELECT k, i, j, score FROM fold WHERE taken
+""")
 def greedy_match(spark, d):
-    """One-to-one pairs of suppliers and parts of a nation by falling score."""
-    s = read(spark, d, "supplier").select((F.col("s_nationkey") % 25).alias("k"), F.col("s_suppkey").alias("i"), "s_acctbal")
-    p = read(spark, d, "part").select((F.col("p_partkey") % 25).cast("int").alias("k"), F.col("p_partkey").alias("j"), "p_retailprice")
-    pairs = s.join(p, "k").withColumn("score", (3 - F.floor(F.abs(F.col("s_acctbal") - F.col("p_retailprice")) / 500)).cast("double"))
+    """One-to-one pairs of suppliers and parts of a nation by falling score; prices meet within 1,500, by bins of that width."""
+    bin_of = lambda c: F.floor(F.col(c) / 1500)
+    s = read(spark, d, "supplier").select((F.col("s_nationkey") % 25).alias("k"), F.col("s_suppkey").alias("i"), "s_acctbal", bin_of("s_acctbal").alias("bin"))
+    near = F.explode(F.sequence(bin_of("p_retailprice") - 1, bin_of("p_retailprice") + 1)).alias("bin")
+    p = read(spark, d, "part").select((F.col("p_partkey") % 25).cast("int").alias("k"), F.col("p_partkey").alias("j"), "p_retailprice", near)
+    pairs = s.join(p, ["k", "bin"]).withColumn("score", (3 - F.floor(F.abs(F.col("s_acctbal") - F.col("p_retailprice")) / 500)).cast("double"))
     return E.greedy(pairs, "k")
 
 

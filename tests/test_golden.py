@@ -65,8 +65,9 @@ def test_consensus(spark):
     b = spark.createDataFrame([("p", 0, "s", 3, 9, ["y"], []), ("p", 1, "s", 50, 52, ["a", "b", "c"], []), ("p", 2, "u", 60, 61, [], ["e"]), ("p", 3, "u", 70, 71, [], [])], kind)
     from millrace.operators import evaluate as E
 
-    matched = E.greedy(G.draft_pairs(a, b), "page")
-    assert {(r.i, r.j): round(r.score, 3) for r in matched.collect()} == {(0, 0): 5.0, (1, 1): 2.667, (2, 2): 1.51}
+    pairs = spark.createDataFrame([("p", 0, 0, 5.0), ("p", 1, 1, 2.667), ("p", 1, 0, 2.0), ("p", 2, 2, 1.51), ("p", 2, 3, 0.0)], "page string, i int, j int, score double")
+    matched = E.greedy(pairs, "page")
+    assert {(r.i, r.j): r.score for r in matched.collect()} == {(0, 0): 5.0, (1, 1): 2.667, (2, 2): 1.51}
     assert {(r.i, r.j, r.outcome) for r in G.plan(matched, a, b).collect()} == {(0, 0, "agreed"), (1, 1, "agreed"), (2, 2, "agreed"), (None, 3, "single-b")}
     votes = spark.createDataFrame([("p", "1", "good", "a", None), ("p", "1", "good", "b", None), ("p", "2", "good", "a", "bad"), ("p", "2", "bad", "b", "bad"), ("p", "3", "good", "a", None)], "page string, extent string, kind string, drafter string, label string")
     assert {r.extent: (r.kind, r.how) for r in G.merged_examples(votes).collect()} == {"1": ("good", "agreed"), "2": ("bad", "label"), "3": (None, "item")}
