@@ -137,8 +137,10 @@ def new_ops(ops: DataFrame, applied: DataFrame, op_id: str = "op_id") -> DataFra
     return ops.join(applied.select(op_id), op_id, "left_anti")
 
 
-def transitions(rules: DataFrame, ops: DataFrame) -> DataFrame:
-    """Rules with their decisions folded in: history grows in order, the last decision is the status; unknown statuses raise at the sink."""
+def transitions(rules: DataFrame, ops: DataFrame, statuses: tuple[str, ...] | None = None) -> DataFrame:
+    """Rules with their decisions folded in: history grows in order, the last decision is the status. An unknown status raises when the row is read."""
+    known = F.col("to").isin(*(statuses or STATUSES))
+    ops = ops.withColumn("to", F.when(known, F.col("to")).otherwise(F.raise_error(F.concat(F.lit("unknown review status: "), F.coalesce("to", F.lit("null"))))))
     moves = ops.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("at", "op_id", "by", F.col("to").alias("to")))).alias("moves"))
     out = rules.join(moves, "uid", "left")
     done = F.coalesce("moves", F.array().cast("array<struct<at:string,op_id:string,by:string,to:string>>"))
@@ -187,8 +189,10 @@ VOCABULARY = {
     "direction": ("presence", "absence"),
     "modality": ("MUST", "MUST_NOT", "SHOULD", "SHOULD_NOT", "MAY", "PREFER"),
 }
+STATUSES = ("proposed", "accepted", "amended", "rejected", "deferred", "quarantined", "superseded", "orphaned")
 REVIEWER_STATUSES = ("accepted", "amended", "rejected", "deferred")
 HASTY_MS = 2500
+EDITABLE = ("review_status", "unit", "applies_to", "clarity", "direction", "modality", "violation_condition", "specification", "note", "reasons", "elapsed_ms", "detection_hint")
 
 
 def patched(rules: DataFrame, patches: DataFrame, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
@@ -198,7 +202,7 @@ def patched(rules: DataFrame, patches: DataFrame, vocabulary: dict[str, tuple[st
     status, unit, clarity, direction, modality, specification, note, reasons, elapsed_ms; null where not set. One patch a rule.
     """
     names = ("status", "unit", "clarity", "direction", "modality", "specification")
-    editable = F.array(*[F.lit(x) for x in ("review_status", "unit", "applies_to", "clarity", "direction", "modality", "violation_condition", "specification", "note", "reasons", "elapsed_ms", "detection_hint")])
+    editable = F.array(*map(F.lit, EDITABLE))
     was = rules.select("uid", *[F.col(c).alias(f"was_{c}") for c in names])
     rows = patches.join(was, "uid")
     new = {c: F.coalesce(c, f"was_{c}") for c in names}

@@ -604,7 +604,7 @@ def review_transitions(spark, d):
     """Decisions folded into rules: the history grows, the last one is the status."""
     rules = read(spark, d, "customer").select(F.col("c_custkey").alias("uid"), F.lit("proposed").alias("status"))
     ops = read(spark, d, "events").select(F.col("user_id").alias("uid"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("op_id"), F.lit("r").alias("by"), F.col("event_type").alias("to"))
-    return L.transitions(rules, ops).select("uid", F.size("history").cast("long").alias("moves"), "status")
+    return L.transitions(rules, ops, ("view", "click", "purchase", "signup", "error")).select("uid", F.size("history").cast("long").alias("moves"), "status")
 
 
 @query("""
