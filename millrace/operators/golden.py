@@ -77,16 +77,25 @@ def resolve(spans: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def folded(ops: DataFrame) -> DataFrame:
-    """Spans after all operations: the last one of each span wins, and a deleted or lost parent takes its children along.
+    """Spans after all operations: the last one of each span wins, and a deleted parent takes its children along.
+
+    A child whose parent no operation names stays, so that orphans() can refuse it.
 
     ops: op_id, at, op ('span' or 'span_del'), span_id, of, body.
     """
     last = ops.withColumn("n", F.row_number().over(Window.partitionBy("span_id").orderBy(F.col("at").desc(), F.col("op_id").desc()))).where("n = 1 AND op = 'span'").drop("n")
     parents = last.where("of IS NULL").select(F.col("span_id").alias("of"))
-    children = last.where("of IS NOT NULL").join(parents, "of", "left_semi")
+    gone = ops.select(F.col("span_id").alias("of")).distinct().join(parents, "of", "left_anti")
+    children = last.where("of IS NOT NULL").join(gone, "of", "left_anti")
     return last.where("of IS NULL").unionByName(children.select(last.columns))
 
 
+def orphans(spans: DataFrame) -> DataFrame:
+    """(span_id, of): children of a span that isn't there; a golden set with any is refused."""
+    parents = spans.where("of IS NULL").select(F.col("span_id").alias("of"))
+    return spans.where("of IS NOT NULL").join(parents, "of", "left_anti").select("span_id", "of")
+
+
 def sweep_errors(dropped: DataFrame, candidates: DataFrame, spans: DataFrame, sweeps: DataFrame) -> DataFrame:
     """(page, uid): accepted or paired candidates of completed pages that are neither marked nor listed as dropped."""
     kept = candidates.where(F.col("status").isin("accepted", "amended") | F.col("paired"))
@@ -182,8 +191,11 @@ def resolved_pointers(pointers: DataFrame, blocks: DataFrame, titles: DataFrame)
     pointers: page, ord, block_id, quote; blocks: page, block_id, plain; titles: page, title.
     """
     rows = pointers.join(blocks.select("page", "block_id", "plain"), ["page", "block_id"], "left").join(titles, "page", "left")
-    at = F.position(F.col("quote"), F.col("plain"))
-    more = F.position(F.col("quote"), F.col("plain"), (at + 1).cast("int"))
+    # as it stands, or else with typography folded, which moves nothing
+    exact = F.position(F.col("quote"), F.col("plain")) > 0
+    plain, quote = (F.when(exact, F.col(c)).otherwise(X.plain_type(F.col(c))) for c in ("plain", "quote"))
+    at = F.position(quote, plain)
+    more = F.position(quote, plain, (at + 1).cast("int"))
     first = F.row_number().over(Window.partitionBy("page", "block_id", "quote").orderBy("ord"))
     why = (
         F.when(F.col("plain").isNull(), "no such block").when((F.coalesce(F.col("quote"), F.lit("")) == "") | (at == 0), "quote not found").when(more > 0, "quote not unique")

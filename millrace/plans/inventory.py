@@ -12,7 +12,7 @@ from millrace.operators import extract as R
 from millrace.operators import golden as G
 from millrace.operators import ledger as L
 from millrace.operators import structure as B
-from millrace.plans import pages, reviews, scores  # noqa: F401  they register their queries
+from millrace.plans import pages, placing, reviews, scores  # noqa: F401  they register their queries
 from millrace.plans.catalogue import oracle_sql, queries, query, read
 
 __all__ = ["oracle_sql", "queries"]
