@@ -26,18 +26,24 @@ def headings(page_lines: DataFrame, key: str = "page") -> DataFrame:
     return rows.select(key, "line", F.length(F.regexp_extract("txt", pattern, 1)).alias("level"), F.regexp_extract("txt", pattern, 2).alias("title"))
 
 
-def ancestry(rows: DataFrame, key: str = "page", order: str = "line", level: str = "level", title: str = "title") -> DataFrame:
-    """Adds ``path``: titles from the top to the row itself. One window by page; an ancestor at level k stands iff no smaller level came after it."""
+def ancestry(rows: DataFrame, key: str = "page", order: str = "line", level: str = "level", title: str = "title", trail: str | None = None) -> DataFrame:
+    """Adds ``path``: titles from the top to the row itself, and as ``trail`` their places, where a name for it is given.
+
+    One window by page; an ancestor at level k stands iff no smaller level came after it.
+    """
     upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for k in LEVELS:
         rows = rows.withColumn(f"__l{k}", F.last(F.when(F.col(level) == k, F.struct(F.col(order).alias("at"), F.col(title).alias("t"))), ignorenulls=True).over(upto))
-    parts = []
+    parts, places = [], []
     for k in LEVELS:
         own = F.col(f"__l{k}")
         stands = own.isNotNull() & (F.col(level) >= k)
         for j in range(1, k):
             stands = stands & (F.col(f"__l{j}").isNull() | (F.col(f"__l{j}.at") < own["at"]))
         parts.append(F.when(stands, own["t"]))
+        places.append(F.when(stands, own["at"]))
+    if trail:
+        rows = rows.withColumn(trail, F.array_compact(F.array(*places)))
     return rows.withColumn("path", F.array_compact(F.array(*parts))).drop(*[f"__l{k}" for k in LEVELS])
 
 

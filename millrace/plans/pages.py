@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from millrace.functions import html as H
 from millrace.operators import audit as A
 from millrace.operators import blocks as K
+from millrace.operators import extract as R
+from millrace.operators import structure as B
 from millrace.plans.catalogue import query, read
+from millrace.session import written
 
 #: What stands before the lines of a document, by (doc_id + line) mod 12: headings, items, quotes, a table, a fence; plain lines stay as they are.
 FORMS = {0: "## ", 1: "- ", 2: "> ", 3: "### ", 5: "| a || ", 6: "|---|:--|", 7: "    1. ", 8: "  * ", 11: "#### "}
@@ -150,3 +153,56 @@ def heading_readers(spark, d):
     parsed = K.parse(pages).where("kind = 'heading'").select("page", "ord", "level", F.col("raw").alias("title"))
     got = A.compared(parsed, A.markdown_headings(pages, "page", "text")).groupBy("page")
     return got.agg(F.count("source_level").alias("parsed"), F.count("md_level").alias("scanned"), *[F.count_if(F.col("state") == s).alias(n) for s, n in (("missing", "missing"), ("extra", "extra"), ("level", "levels"))])
+
+
+#: Words that open an instruction in the documents' four languages, as a site's own lexicon.
+OPENERS = ("the", "that", "is", "que", "les", "der", "und", "los", "de")
+_CLASS = "regexp_matches(s, '(?i)(^|[^\\p{L}\\p{N}_])(must|should|shall|needs? to|ought to|may|can|cannot|can''t|is required to)($|[^\\p{L}\\p{N}_])')"
+_NEGATIVE = "regexp_matches(lower(s), '^(don''t |dont |do not |never |avoid )')"
+CANDIDATES_SQL = BLOCKS_SQL.replace("), shown AS (", "), shown_unused AS (") + rf""", heads AS (
+    SELECT page, line, own AS level, title, path, lead(line) OVER (PARTITION BY page ORDER BY line) AS until FROM p WHERE kind = 'heading'
+), told AS (
+    SELECT *, {_TRIM(f"regexp_replace(translate(title, '’‘“”‑‐', '''''\"\"--'), '{S}+', ' ', 'g')")} AS s FROM heads
+), kinds AS (
+    SELECT *, regexp_extract_all(s, '[A-Za-z][A-Za-z''’\-]*') AS w FROM told
+), forms AS (
+    SELECT *, CASE WHEN lower(s) IN ('write this','do this','correct','like this','not this','don''t do this','incorrect','example','examples','more information') OR s = ''
+            OR lower(s) IN ('last updated','about this page','references','release notes','style manual pages','evidence','contents','on this page','in this section') THEN NULL
+        WHEN regexp_matches(s, '(?i)^(?:PO Box|GPO Box|Locked Bag|Level [0-9]|Phone|Email|Fax|ABN|ACN)($|[^\p{{L}}\p{{N}}_])') OR regexp_matches(s, '^[A-Z][A-Za-z''’\-]+(?:\s+[A-Z][A-Za-z''’\-]+){{1,3}}(?:\s+[A-Z]{{2,4}})?\s*(?:,[^(]{{0,60}})?\([^)]+\)\s*$') THEN NULL
+        WHEN len(w) < 2 THEN NULL WHEN {_NEGATIVE} THEN 'negative_imperative' WHEN lower(w[1]) IN ({", ".join(f"'{v}'" for v in OPENERS)}) THEN 'imperative' WHEN {_CLASS} THEN 'modal' END AS form FROM kinds
+), bodies AS (
+    SELECT f.page, f.line, string_agg(m.t, chr(10) ORDER BY m.line) AS body FROM forms f JOIN m ON m.page = f.page AND m.line > f.line AND m.line < coalesce(f.until, 1000000000) WHERE form IS NOT NULL AND level > 1 GROUP BY ALL
+)
+SELECT f.page, f.line::INTEGER AS line, f.level::INTEGER AS level, path, s AS statement, form, sha256({_TRIM("coalesce(body, '')")}) AS body_sha256, sha256(f.page || chr(31) || path || chr(31) || s) AS uid
+FROM forms f LEFT JOIN bodies b ON b.page = f.page AND b.line = f.line WHERE form IS NOT NULL AND level > 1"""
+
+
+def _sha_uid(page, path, statement):
+    """What DuckDB can say of an id: SHA-256 over the same three parts."""
+    return F.sha2(F.concat_ws("\x1f", page, F.array_join(path, " > "), statement), 256)
+
+
+@query(CANDIDATES_SQL)
+def page_candidates(spark, d):
+    """The rule candidates of the documents read as pages: parsed headings, classified, with path, body and id."""
+    got = R.heading_candidates(R.nodes(documents_as_pages(spark, d)), OPENERS, uid=_sha_uid)
+    return got.select("page", "line", "level", F.array_join("path", " > ").alias("path"), "statement", "form", F.sha2("body", 256).alias("body_sha256"), "uid")
+
+
+@query()
+def ledger_run(spark, d):
+    """From pages to the next ledger: the pages before without their digits, the first ledger, decisions, marked spans, and the run over the pages as they are."""
+    raw = documents_as_pages(spark, d).withColumn("page", F.col("page").cast("string"))
+    before = raw.withColumn("text", F.translate("text", "0123456789", ""))
+    pages = lambda p: B.normalised_pages(p.select(F.col("page").alias("path"), F.col("text").alias("raw"))).select(F.col("path").alias("page"), "text", "sha256")
+    urls = raw.select("page", F.concat(F.lit("https://docs.example/"), "page").alias("url"))
+    old = written(pages(before))
+    rules = R.as_rules(R.heading_candidates(R.nodes(old), OPENERS).withColumn("origin", F.lit("heading")), urls, old.select("page", "sha256"), "t0")
+    rules = written(rules.dropDuplicates(["uid"]).withColumn("status", F.when(F.col("modality") == "MUST", "accepted").when(F.length("body") == 0, "rejected").otherwise("proposed")))
+    now = written(pages(raw))
+    calls = K.parse(now).where("kind IN ('para', 'heading') AND level > 1").withColumn("quote", F.regexp_extract("plain", r"^[^.!?]*!", 0)).where("quote <> ''")
+    none = F.lit(None).cast("string")
+    spans = written(calls.select(F.col("block_id").alias("span_id"), "page", "block_id", F.lit(0).alias("start"), F.length("quote").alias("end"), F.lit("rule").alias("kind"), none.alias("of"), none.alias("grp"), "quote", none.alias("seed_uid")))
+    swept = read(spark, d, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("page")).distinct()
+    got, _ = R.next_ledger(now, spans, swept, rules, urls, "t1", OPENERS)
+    return got.select("uid", "page", "status", "method", "form", "modality", "line", F.size("history").alias("moves"), F.size("uid_history").alias("moved"), F.sha2(F.concat_ws("\x1f", "statement", "body", "url", "sha256", "note"), 256).alias("text_sha256"))
