@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -290,3 +290,56 @@ def source_headings(html: str, site: str = "style manual", chrome: tuple[str, ..
 @F.udf(HEADINGS, useArrow=True)
 def headings_of(html: str):
     return None if html is None else source_headings(html)
+
+
+def sitemap_link(href: str) -> bool:
+    """Does an address lead to a further sitemap rather than to a page?"""
+    at = urlsplit(href)
+    path = at.path.lower()
+    return path.endswith(("sitemap.xml", "/sitemap")) or ("sitemap" in path and "page=" in at.query.lower())
+
+
+class _Table(Reader):
+    """The rows of every table, with whether it is a sitemap's, and all links."""
+
+    def __init__(self, origin: str):
+        super().__init__("script style", ("body",), False)
+        self.origin, self.links, self.tables, self.cell = origin, [], [], None
+
+    def opened(self, tag, attrs):
+        if tag == "table":
+            self.tables.append(("sitemap" in (attrs.get("class") or "").split(), []))
+        elif tag == "tr" and self.tables:
+            self.tables[-1][1].append([])
+        elif tag == "td" and self.tables and self.tables[-1][1]:
+            self.cell = {"text": "", "href": None}
+            self.tables[-1][1][-1].append(self.cell)
+        elif tag == "a" and attrs.get("href"):
+            href = attrs["href"].strip()
+            href = self.origin + href if href.startswith("/") else href
+            self.links.append(href)
+            if self.cell is not None and self.cell["href"] is None:
+                self.cell["href"] = href
+
+    def said(self, text):
+        if self.cell is not None:
+            self.cell["text"] += text
+
+    def closed(self, tag):
+        if tag == "td":
+            self.cell = None
+
+
+def sitemap_table(html: str, url: str) -> list[tuple[str, str | None, bool]]:
+    """(loc, lastmod, nested) of a sitemap shown as an HTML table: its rows, and links to further pages of it that stand beside."""
+    at = urlsplit(url)
+    page = _Table(f"{at.scheme}://{at.netloc}").read(html)
+    own = next((rows for named, rows in page.tables if named), page.tables[0][1] if page.tables else [])
+    out = []
+    for row in own:
+        if row and (loc := row[0]["href"] or row[0]["text"].strip()):
+            loc = page.origin + loc if loc.startswith("/") else loc
+            out.append((loc, (row[1]["text"].strip() or None) if len(row) > 1 else None, sitemap_link(loc) and loc != url))
+    known = {loc for loc, _, nested in out if nested}
+    beside = [h for h in dict.fromkeys(page.links) if page.tables and sitemap_link(h) and h != url and h not in known]
+    return out + [(h, None, True) for h in beside]

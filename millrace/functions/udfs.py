@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
+import signal
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 @F.pandas_udf(T.StringType())
@@ -111,22 +115,77 @@ def find_spans(blocks: DataFrame, matchers: list[tuple[str, str, dict]], text: s
     schema = T.StructType([f for f in blocks.schema.fields if f.name in keep] + FOUND.fields)
     names = [f.name for f in schema.fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finders = [(u, compiled(f)) for u, f in full]
         by_name: dict[str, list] = {}
         for u, find in finders:
             by_name.setdefault(u, []).append((u, find))
+        for batch in batches:
+            rule, begin, stop, quote, row = [], [], [], [], []
+            owners = None if own is None else batch.column(own).to_pylist()
+            for n, body in enumerate(batch.column(text).to_pylist()):
+                for u, find in (finders if owners is None else by_name.get(owners[n], ())) if body else ():
+                    for a, b in find(body):
+                        rule.append(u), begin.append(a), stop.append(b), quote.append(body[a:b]), row.append(n)
+            kept = batch.select(names[: -len(FOUND)]).take(pa.array(row, pa.int64()))
+            found = [pa.array(v, f.type) for v, f in zip((rule, begin, stop, quote), list(arrow)[-len(FOUND) :], strict=True)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *found], schema=arrow)
+
+    return blocks.select(*dict.fromkeys([*names[: -len(FOUND)], text])).mapInArrow(run, schema)
+
+
+class OverBudget(Exception):
+    """A matcher that took longer over one page than it may."""
+
+
+@contextlib.contextmanager
+def time_budget(seconds: float) -> Iterator[None]:
+    """OverBudget in the block once the time is up; a pattern's search is interrupted too. Workers run their function in the main thread."""
+
+    def ring(signum, frame):
+        raise OverBudget
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+COUNTED = T.StructType([T.StructField("rule_uid", T.StringType()), T.StructField("findings", T.LongType()), T.StructField("error", T.StringType())])
+
+
+def count_findings(pages: DataFrame, matchers: list[tuple[str, str, dict]], seconds: float = 2.0, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, rule_uid, findings, error) of each page and matcher with findings or an error, by one pass of the workers over the pages.
+
+    A matcher has ``seconds`` for a page. One that needs more gives an error for that page and none of its findings; other
+    pages and matchers go on.
+    """
+    full = [(uid_, check_matcher(method, spec)) for uid_, method, spec in matchers]
+    schema = T.StructType([pages.schema[key], *COUNTED.fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finders = [(u, compiled(f)) for u, f in full]
         for batch in batches:
             rows = []
-            for record in batch.itertuples(index=False):
-                body = getattr(record, text)
-                if body:
-                    kept = [getattr(record, k) for k in names[: -len(FOUND)]]
-                    mine = finders if own is None else by_name.get(getattr(record, own), ())
-                    rows += [[*kept, u, a, b, body[a:b]] for u, find in mine for a, b in find(body)]
-            yield pd.DataFrame(rows, columns=names)
-
-    return blocks.select(*names[: -len(FOUND)], text).mapInPandas(run, schema)
+            for page, body in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist(), strict=True):
+                for u, find in finders if body else ():
+                    n, error = 0, None
+                    try:
+                        with time_budget(seconds):
+                            n = len(find(body))
+                    except OverBudget:
+                        error = f"over {seconds:g} s on one page"
+                    if n or error:
+                        rows.append({key: page, "rule_uid": u, "findings": n, "error": error})
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return pages.select(key, text).mapInArrow(run, schema)
 
 
 MARKS = T.StructType([T.StructField("plain", T.StringType()), T.StructField("marks", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("href", T.StringType())])))])

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.html import sitemap_table
+from millrace.session import dropped, written
+
 PAIR = "array<string>"
 RULE = f"""uid string, statement string, modality string, direction string, unit string, clarity string, specification string, violation_condition string,
  compliant_examples {PAIR}, violating_examples {PAIR}, source struct<page_path:string,heading_path:{PAIR},statement:string,body_excerpt:string,line_start:int>,
@@ -145,17 +148,47 @@ def settings(text: str) -> dict[str, str]:
 SITEMAP = T.ArrayType(T.StructType([T.StructField("loc", T.StringType()), T.StructField("lastmod", T.StringType()), T.StructField("index", T.BooleanType())]))
 
 
-@F.udf(SITEMAP, useArrow=True)
-def sitemap(body: str):
-    """Entries of a sitemap or sitemap index; a body that is no XML has none."""
+def sitemap_rows(body: str | None, url: str = "") -> list[tuple[str, str | None, bool]]:
+    """(loc, lastmod, nested) of a sitemap, a sitemap index, or the HTML table that a style sheet makes of either; broken XML has none."""
+    body = (body or "").lstrip()
+    if not body[:200].lower().startswith(("<?xml", "<urlset", "<sitemapindex")):
+        return sitemap_table(body, url)
     try:
-        root = ElementTree.fromstring(body or "")
+        root = ElementTree.fromstring(body.encode())
     except ElementTree.ParseError:
         return []
-    name = lambda e: e.tag.rpartition("}")[2]
+    name = lambda e: e.tag.rpartition("}")[2].lower()
+    if name(root) not in ("urlset", "sitemapindex"):
+        return []
     out = []
     for entry in root:
         fields = {name(c): (c.text or "").strip() for c in entry}
-        if fields.get("loc"):
+        if fields.get("loc") and name(entry) == ("sitemap" if name(root) == "sitemapindex" else "url"):
             out.append((fields["loc"], fields.get("lastmod"), name(entry) == "sitemap"))
     return out
+
+
+@F.udf(SITEMAP, useArrow=True)
+def sitemap(body: str, url: str):
+    return sitemap_rows(body, url or "")
+
+
+def crawled_sitemaps(bodies: DataFrame, start: str) -> DataFrame:
+    """(sitemap, depth, loc, lastmod): the content addresses of a sitemap and of all that it leads to, each sitemap read once.
+
+    bodies: url, body, what was fetched; addresses that weren't are dead ends. Every body is parsed once, then the frontier
+    moves outwards by joins until it finds nothing new, so a ring of sitemaps ends.
+    """
+    spark = bodies.sparkSession
+    entries = written(bodies.groupBy("url").agg(F.max("body").alias("body")).select("url", F.explode(sitemap("body", "url")).alias("e")).select("url", "e.loc", "e.lastmod", F.col("e.index").alias("nested")))
+    links = entries.where("nested").select("url", F.col("loc").alias("to")).distinct()
+    seen = written(spark.createDataFrame([(start, 0)], "url string, depth int"))
+    while True:
+        depth = F.col("depth") + 1
+        edge = seen.join(links, "url").groupBy(F.col("to").alias("url")).agg(F.min(depth).alias("depth")).join(seen.select("url"), "url", "left_anti")
+        grown = written(seen.unionByName(edge))
+        done = grown.count() == seen.count()
+        dropped(seen)
+        seen = grown
+        if done:
+            return entries.where("NOT nested").join(seen, "url").select(F.col("url").alias("sitemap"), "depth", "loc", "lastmod")

@@ -228,7 +228,7 @@ def test_readers_and_sinks(spark, tmp_path):
     assert readers.globs('eligible:\n  - glob: "a/**"\n    requires_unit_review: true\nexcluded:\n  - glob: "b"\n') == [("a/**", True, True), ("b", False, False)]
     assert readers.settings("frozen: true\nreason: >\n  one\n  two\n") == {"frozen": "true", "reason": "one two"}
     xml = '<urlset xmlns="x"><url><loc>http://a</loc><lastmod>1</lastmod></url></urlset>'
-    assert spark.createDataFrame([(xml,), ("no",)], "b string").select(F.explode(readers.sitemap("b")).alias("e")).select("e.*").first().loc == "http://a"
+    assert spark.createDataFrame([(xml,), ("no",)], "b string").select(F.explode(readers.sitemap("b", F.lit("http://a/sitemap.xml"))).alias("e")).select("e.*").first().loc == "http://a"
 
 
 def test_replay_counts_once(spark, tmp_path):
