@@ -66,6 +66,11 @@ def literal_set_findings(spark, d):
     return words.where(F.col("term").isin("the", "des", "und", "los", "idiot")).groupBy("term").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("docs"))
 
 
+MATCHERS = [
+    ("digits", "regex", {"pattern": r"\b\d{5,}\b"}),
+    ("insult", "literal_set", {"terms": ["idiot", "moron", "clown"], "unless": [r"\bnot\b"], "window": 20}),
+    ("token", "regex", {"pattern": r"(?<=token = \")[0-9a-f]+"}),
+]
 _MATCHES = r"""
 WITH k AS (
     SELECT doc_id, text, 'digits' AS rule_uid, 0 AS lead, regexp_extract_all(text, '\b[0-9]{5,}\b') AS ms, regexp_split_to_array(text, '\b[0-9]{5,}\b') AS ps FROM documents
@@ -84,12 +89,7 @@ WITH k AS (
 @query(_MATCHES + """ SELECT * FROM spans""")
 def matcher_spans(spark, d):
     """Spans of three matchers, with exact offsets in Python's dialect, by one pass over the documents."""
-    matchers = [
-        ("digits", "regex", {"pattern": r"\b\d{5,}\b"}),
-        ("insult", "literal_set", {"terms": ["idiot", "moron", "clown"], "unless": [r"\bnot\b"], "window": 20}),
-        ("token", "regex", {"pattern": r"(?<=token = \")[0-9a-f]+"}),
-    ]
-    found = udfs.find_spans(read(spark, d, "documents").select("doc_id", "text"), matchers)
+    found = udfs.find_spans(read(spark, d, "documents").select("doc_id", "text"), MATCHERS)
     return found.withColumn("severity", F.when(F.col("rule_uid") == "token", "error").otherwise("warning"))
 
 
@@ -106,6 +106,20 @@ def matcher_gate(spark, d):
     return E.gate(matcher_spans(spark, d), rules, F.lit(words)).withColumn("density", F.round("density", 6))
 
 
+@query(_MATCHES + r"""
+, w AS (SELECT sum(len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS w FROM documents),
+r AS (SELECT * FROM (VALUES ('digits', 5.0::DOUBLE), ('insult', 2.0::DOUBLE), ('token', 0.5::DOUBLE), ('silent', 1.0::DOUBLE)) t(rule_uid, budget)),
+g AS (SELECT r.rule_uid, budget, count(s.doc_id)::BIGINT AS findings, count(DISTINCT s.doc_id)::BIGINT AS pages_hit FROM r LEFT JOIN spans s ON s.rule_uid = r.rule_uid GROUP BY r.rule_uid, budget)
+SELECT rule_uid, budget, findings, pages_hit, NULL::VARCHAR AS error, 0::BIGINT AS pages_failed, round(10000.0 * findings / w, 6) AS density, 10000.0 * findings / w > budget AS over_budget FROM g, w
+""")
+def timed_gate(spark, d):
+    """The density gate with two seconds for a rule and page; a rule that needs more would show as an error."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    words = docs.agg(F.sum(X.word_count(F.col("text"))).alias("w")).first()["w"]
+    rules = spark.createDataFrame([("digits", 5.0), ("insult", 2.0), ("token", 0.5), ("silent", 1.0)], "rule_uid string, budget double")
+    return E.timed_gate(udfs.count_findings(docs, MATCHERS), rules, F.lit(words)).withColumn("density", F.round("density", 6))
+
+
 _SENT = """WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?]+(?:[.!?]+[’'']?|$)')) AS raw FROM documents),
 sent AS (SELECT doc_id, regexp_replace(raw, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g') AS s FROM s)"""
 

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import html as H
+from millrace.functions import text as X
 from millrace.operators import audit as A
 from millrace.operators import blocks as K
 from millrace.operators import extract as R
 from millrace.operators import structure as B
 from millrace.plans.catalogue import query, read
 from millrace.session import written
+from millrace.sources import readers
 
 #: What stands before the lines of a document, by (doc_id + line) mod 12: headings, items, quotes, a table, a fence; plain lines stay as they are.
 FORMS = {0: "## ", 1: "- ", 2: "> ", 3: "### ", 5: "| a || ", 6: "|---|:--|", 7: "    1. ", 8: "  * ", 11: "#### "}
@@ -206,3 +208,52 @@ def ledger_run(spark, d):
     swept = read(spark, d, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("page")).distinct()
     got, _ = R.next_ledger(now, spans, swept, rules, urls, "t1", OPENERS)
     return got.select("uid", "page", "status", "method", "form", "modality", "line", F.size("history").alias("moves"), F.size("uid_history").alias("moved"), F.sha2(F.concat_ws("\x1f", "statement", "body", "url", "sha256", "note"), 256).alias("text_sha256"))
+
+
+_BRANCH = rf"""CASE WHEN lower(s) IN ('write this','do this','correct','like this','not this','don''t do this','incorrect','example','examples','more information') THEN 'label'
+        WHEN s = '' OR lower(s) IN ('last updated','about this page','references','release notes','style manual pages','evidence','contents','on this page','in this section') THEN 'boilerplate'
+        WHEN regexp_matches(s, '(?i)^(?:PO Box|GPO Box|Locked Bag|Level [0-9]|Phone|Email|Fax|ABN|ACN)($|[^\p{{L}}\p{{N}}_])') OR regexp_matches(s, '^[A-Z][A-Za-z''’\-]+(?:\s+[A-Z][A-Za-z''’\-]+){{1,3}}(?:\s+[A-Z]{{2,4}})?\s*(?:,[^(]{{0,60}})?\([^)]+\)\s*$') THEN 'contact'
+        WHEN len(w) < 2 THEN 'one word' WHEN {_NEGATIVE} THEN 'opener' WHEN lower(w[1]) IN ({", ".join(f"'{v}'" for v in OPENERS)}) THEN 'verb' WHEN {_CLASS} THEN 'modal' ELSE 'none' END"""
+AUDIT_SQL = CANDIDATES_SQL[: CANDIDATES_SQL.index(", forms AS (")] + f""", read AS (
+    SELECT {_BRANCH} AS branch, level::VARCHAR AS level, s AS title FROM kinds
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY branch, level ORDER BY title) AS k FROM (SELECT branch, level, title, count(*) AS n FROM read GROUP BY ALL)
+)
+SELECT coalesce(branch, '*') AS branch, coalesce(level, '*') AS level, sum(n)::BIGINT AS n, round(sum(n) / (SELECT sum(n) FROM ranked), 6) AS share,
+    sha256(array_to_string(list_sort(list(DISTINCT title) FILTER (WHERE k <= 40))[1:40], chr(31))) AS examples_sha256
+FROM ranked GROUP BY CUBE (branch, level)"""
+
+
+@query(AUDIT_SQL)
+def heading_audit(spark, d):
+    """How the headings of the documents are read: a census by deciding test and level, with margins, shares and the first forty titles of each."""
+    found = written(B.ancestry(B.headings(B.lines(documents_as_pages(spark, d)))))
+    read_as = found.withColumn("s", X.composed_statement(F.col("title"))).withColumn("k", X.heading_kind(F.col("s"), OPENERS))
+    rows = read_as.select(F.col("k.branch").alias("branch"), F.col("level").cast("string").alias("level"), F.col("s").alias("title"))
+    got = A.census(rows, ["branch", "level"])
+    return got.select("branch", "level", "n", "share", F.sha2(F.array_join("examples", "\x1f"), 256).alias("examples_sha256"))
+
+
+@query("""
+WITH p AS (SELECT DISTINCT url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]*)', 1) AS part FROM pages)
+SELECT p.url AS loc, 'http://' || p.host || '/' || p.part || '/sitemap.xml' AS sitemap, 2::INTEGER AS depth, CASE WHEN length(p.url) % 3 = 0 THEN '2024-01-0' || (length(p.host) % 9 + 1) END AS lastmod FROM p
+""")
+def sitemap_crawl(spark, d):
+    """The addresses of the pages, found from one index through the sitemap of each host to that of each of its parts; every other one is an HTML table, and all lead back to the index."""
+    host, part = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), F.regexp_extract("url", "^[a-z]+://[^/?#]*/([^/?#]*)", 1)
+    p = read(spark, d, "pages").select("url").distinct().select("url", host.alias("host"), part.alias("part"))
+    escaped = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    at = F.concat(F.lit("http://"), "host", F.lit("/"), "part", F.lit("/sitemap.xml"))
+    day = F.when(F.length("url") % 3 == 0, F.concat(F.lit("2024-01-0"), F.length("host") % 9 + 1)).otherwise("")
+    as_xml = F.concat(F.lit("<url><loc>"), escaped("url"), F.lit("</loc>"), F.when(day != "", F.concat(F.lit("<lastmod>"), day, F.lit("</lastmod>"))).otherwise(""), F.lit("</url>"))
+    as_row = F.concat(F.lit('<tr><td><a href="'), escaped("url"), F.lit('">x</a></td><td>'), day, F.lit("</td></tr>"))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "")
+    leaves = p.groupBy(at.alias("url"), "host").agg(listed(as_xml).alias("xml"), listed(as_row).alias("rows"))
+    table = F.concat(F.lit('<table class="sitemap">'), "rows", F.lit('</table><a href="http://index/sitemap.xml">back</a>'))
+    leaves = leaves.select("url", "host", F.when(F.length("host") % 2 == 0, F.concat(F.lit("<urlset>"), "xml", F.lit("</urlset>"))).otherwise(table).alias("body"))
+    index = lambda c: F.concat(F.lit("<?xml version='1.0'?><sitemapindex>"), listed(F.concat(F.lit("<sitemap><loc>"), F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("</loc></sitemap>"))), F.lit("<sitemap><loc>http://index/sitemap.xml</loc></sitemap></sitemapindex>"))
+    of_host = F.concat(F.lit("http://"), "host", F.lit("/sitemap.xml"))
+    hosts = leaves.groupBy(of_host.alias("url")).agg(index(F.col("url")).alias("body"))
+    top = hosts.agg(index(F.col("url")).alias("body")).select(F.lit("http://index/sitemap.xml").alias("url"), "body")
+    bodies = leaves.select("url", "body").unionByName(hosts).unionByName(top)
+    return readers.crawled_sitemaps(bodies, "http://index/sitemap.xml").select("loc", "sitemap", "depth", "lastmod")
