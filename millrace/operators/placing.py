@@ -41,17 +41,21 @@ def located(strings: DataFrame, blocks: DataFrame) -> DataFrame:
 
     strings: page, sid, text, section (a heading path, may be null); blocks: page, block, ord, path, plain. A line is looked
     for as it is and then without its marks, first in the string's section, then on the whole page; the first block counts.
-    parts: line, block, start, end. A needle of three words or more meets only blocks that have its longest inner word.
+    parts: line, block, start, end. A needle of three words or more meets only blocks with its longest inner word, by a hash
+    of it; what else has that hash is told apart by the search. Blocks have one row for each page and ord.
     """
     lines = strings.select("page", "sid", "section", F.posexplode(F.split("text", "\n")).alias("line", "part")).where(X.strip(F.col("part")) != "")
     asked = lines.withColumn("bare", unmarked("part")).select("page", "sid", "section", "line", F.posexplode(F.array_distinct(F.array("part", F.coalesce("bare", "part")))).alias("rank", "needle"))
     asked = asked.withColumn("want", X.normalise_statement(F.col("needle"))).where("want <> ''")
     words = F.split("want", " ")
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    asked = asked.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    hay = blocks.select("page", "block", "ord", "path", "plain")
-    said = hay.withColumn("key", F.explode(F.array_distinct(F.split(folded(F.col("plain")), " +"))))
-    met = asked.where("key IS NOT NULL").join(said, ["page", "key"]).unionByName(asked.where("key IS NULL").join(hay, "page"))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = asked.withColumn("key", F.hash(longest)).withColumn("keyed", longest.isNotNull())
+    # Places of words are four bytes each and carry no text; needles join their pairs before the blocks' texts come in.
+    said = blocks.select("page", "ord", F.explode(F.array_distinct(F.transform(F.split(folded(F.col("plain")), " +"), lambda w: F.hash(w)))).alias("key"))
+    needles = asked.select("page", "sid", "line", "rank", "needle", "section", "key", "keyed")
+    met = needles.where("keyed").join(said, ["page", "key"]).unionByName(needles.where("NOT keyed").join(blocks.select("page", "ord"), "page"))
+    met = met.drop("key", "keyed").join(blocks.select("page", "ord", "block", "path", "plain"), ["page", "ord"])
     met = met.withColumn("hit", canonical_hit(F.col("plain"), F.col("needle"))).where("hit IS NOT NULL")
     within = F.coalesce(F.slice("path", F.lit(1), F.size("section")) == F.col("section"), F.lit(False))
     best = met.groupBy("page", "sid", "line").agg(F.min(F.struct("rank", (~within).alias("outside"), "ord", "block", "hit")).alias("m"))
@@ -74,12 +78,13 @@ def claimed(strings: DataFrame, entries: DataFrame, keys: list[str], canonical=X
     def numbered(rows: DataFrame, order: str, by: str) -> DataFrame:
         return rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys, by).orderBy(order)))
 
-    s = strings.select(*keys, "n", "text").withColumn("form", canonical(F.col("text")))
-    t = entries.select(*keys, "e", "text").withColumn("form", canonical(F.col("text")))
-    exact = numbered(s, "n", "text").join(numbered(t, "e", "text").select(*keys, "text", "k", "e"), [*keys, "text", "k"], "full_outer")
+    brief = lambda c: F.unhex(F.md5(c))  # noqa: E731  texts are only compared: digests of 16 bytes are joined in their place
+    told = lambda rows, order: rows.select(*keys, order, brief(F.col("text")).alias("text"), brief(canonical(F.col("text"))).alias("form"))
+    s, t = told(strings, "n"), told(entries, "e")
+    exact = numbered(s, "n", "text").join(numbered(t, "e", "text").select(*keys, "text", "k", "e", F.col("form").alias("e_form")), [*keys, "text", "k"], "full_outer")
     taken = exact.where("n IS NOT NULL AND e IS NOT NULL").select(*keys, "n", "e", F.lit("exact").alias("how"))
     left_s = exact.where("e IS NULL").select(*keys, "n", "text", "form")
-    left_t = exact.where("n IS NULL").select(*keys, "e", canonical(F.col("text")).alias("form"))
+    left_t = exact.where("n IS NULL").select(*keys, "e", F.col("e_form").alias("form"))
     loose = numbered(left_s, "n", "form").join(numbered(left_t, "e", "form"), [*keys, "form", "k"], "full_outer")
     alike = loose.where("n IS NOT NULL AND e IS NOT NULL").select(*keys, "n", "e", F.lit("canonical").alias("how"))
     bare = loose.where("e IS NULL").select(*keys, "n", "text", "form")

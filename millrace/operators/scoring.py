@@ -64,12 +64,11 @@ def _worded(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """Pairs in one section with at least half of their words in common: they share one of their rarest words."""
     both = a.select(*by, "i", "path", "words", F.lit(0).alias("side")).unionByName(b.select(*by, "i", "path", "words", F.lit(1).alias("side")))
     both = both.where((F.size("words") > 0) & (F.size("path") > 0))
-    tokens = both.select(*by, "side", "i", F.explode("words").alias("word"))
-    often = tokens.groupBy(*by, "word").agg(F.count("*").alias("n"))
-    ranked = tokens.join(often, [*by, "word"]).withColumn("k", F.row_number().over(Window.partitionBy(*by, "side", "i").orderBy("n", "word")))
-    ranked = ranked.join(both.select(*by, "side", "i", F.size("words").alias("size")), [*by, "side", "i"])
-    few = ranked.where(F.col("k") <= F.col("size") - F.ceil(F.col("size") * LIKE) + 1)
-    met = few.where("side = 0").select(*by, "word", F.col("i").alias("a_i")).join(few.where("side = 1").select(*by, "word", F.col("i").alias("b_i")), [*by, "word"]).select(*by, "a_i", "b_i").distinct()
+    # Any order of all words will do for the prefixes: long words first, which are rare, then by hash. It needs no counts.
+    ordered = F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), F.xxhash64(w).alias("h"))))
+    few = F.slice(ordered, F.lit(1), (F.size("words") - F.ceil(F.size("words") * LIKE) + 1).cast("int"))
+    few = both.select(*by, "side", "i", F.element_at("path", 1).alias("top"), F.explode(F.transform(few, lambda w: w["h"])).alias("word"))
+    met = few.where("side = 0").select(*by, "top", "word", F.col("i").alias("a_i")).join(few.where("side = 1").select(*by, "top", "word", F.col("i").alias("b_i")), [*by, "top", "word"]).select(*by, "a_i", "b_i").distinct()
     for side in "ab":
         own = both.where(F.col("side") == "ab".index(side)).select(*by, F.col("i").alias(f"{side}_i"), F.col("path").alias(f"{side}_path"), F.col("words").alias(f"{side}_words"))
         met = met.join(own, [*by, f"{side}_i"])

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.operators import scoring as C
 from millrace.plans.catalogue import query, read
-from millrace.session import written
 
 # The documents as marked pages: a line is a block, a line of up to five words a heading. What people marked is the first
 # sentence of lines that say how something is (the words of SAID); one drafter marks up to the first comma, one the whole of lines of 6
@@ -16,22 +20,36 @@ SAID = r"(^|[^a-z])(the|que|der|les|los|und)($|[^a-z])"
 FAMILIES = [("commas", "one"), ("long", "two"), ("digits", "one")]
 
 
+LINES = T.StructType([T.StructField(n, t) for n, t in (
+    ("page", T.LongType()), ("block", T.StringType()), ("i", T.LongType()), ("t", T.StringType()), ("heading", T.BooleanType()), ("path", T.ArrayType(T.StringType())),
+    ("next", T.StructType([T.StructField("block", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("id", T.StringType()), T.StructField("digit", T.BooleanType()), T.StructField("call", T.BooleanType())])),
+)])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The worded lines of each document with the heading they stand under, and what is asked of the line after: no shuffle, each document is one row."""
+    schema = to_arrow_schema(LINES)
+    for batch in batches:
+        for page, text in zip(batch.column("page").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            worded = [(i, t, len([w for w in t.split(" ") if w])) for i, t in enumerate((text or "").split("\n"))]
+            worded, rows, path = [(i, t, n <= 5) for i, t, n in worded if n], [], ["top"]
+            for k, (i, t, heading) in enumerate(worded):
+                path = ["top", t] if heading else path
+                after = worded[k + 1] if k + 1 < len(worded) else None
+                following = after and {"block": str(after[0]), "n": len(after[1]), "id": hashlib.md5(after[1].encode()).hexdigest(), "digit": any(c in "0123456789" for c in after[1]), "call": "!" in after[1]}
+                rows.append({"page": page, "block": str(i), "i": i, "t": t, "heading": heading, "path": path, "next": following})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+
 class World:
     """The tables of a scored corpus, cut out of the documents by what their texts say."""
 
     def __init__(self, spark, d):
-        docs = read(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
-        words = F.size(F.filter(F.split("t", " "), lambda w: w != ""))
-        lines = docs.where(words > 0).select("page", F.col("line").cast("string").alias("block"), F.col("line").cast("long").alias("i"), "t", (words <= 5).alias("heading"))
-        upto = Window.partitionBy("page").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        title = F.last(F.when(F.col("heading"), F.col("t")), ignorenulls=True).over(upto)
-        after = Window.partitionBy("page").orderBy("i")
-        lines = lines.withColumn("title", title).withColumn("next", F.lead(F.struct("block", "t")).over(after))
-        self.lines = lines = written(lines.withColumn("path", F.when(F.col("title").isNull(), F.array(F.lit("top"))).otherwise(F.array(F.lit("top"), "title"))))
+        self.lines = lines = read(spark, d, "documents").select(F.col("doc_id").alias("page"), "text").mapInArrow(_cut, LINES)
         self.blocks = lines.select("page", "block", F.when(F.col("heading"), "heading").otherwise("para").alias("kind"), "path")
         first = F.length(F.regexp_extract("t", "^[^.!?]+[.!?]*", 0))
         whole, comma = F.length("t"), F.instr("t", ",")
-        digit = F.length(F.regexp_extract("t", "^[^0-9]*", 0))
+        upto_digit = F.length(F.regexp_extract("t", "^[^0-9]*", 0))
         asks, calls = F.col("t").contains("?"), F.col("t").contains("!")
         tags = lambda strong, up: F.create_map(F.lit("direction"), F.when(asks, "absence").otherwise("presence"), F.lit("modality"), F.when(strong, "MUST").otherwise("SHOULD"), F.lit("unit"), up)
 
@@ -41,15 +59,16 @@ class World:
 
         def examples(marked, violating, *more):
             rows = marked.where("next IS NOT NULL")
-            text = F.col("next.t")
-            return rows.select(*more, "page", "i", "next.block", F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("quote"), F.when(violating(text), "violating").otherwise("compliant").alias("kind"), F.lit(0).alias("ord"))
+            # an example's text is only compared, so its digest stands for it
+            return rows.select(*more, "page", "i", "next.block", F.lit(0).alias("start"), F.col("next.n").alias("end"), F.col("next.id").alias("quote"), F.when(violating, "violating").otherwise("compliant").alias("kind"), F.lit(0).alias("ord"))
 
+        digit, call = F.col("next.digit"), F.col("next.call")
         marked = rules(F.lower("t").rlike(SAID), F.lit(0), first, tags(calls, F.lit("sentence")), F.col("heading").alias("seeded"))
-        self.golden_examples, self.golden = examples(marked, lambda t: t.rlike("[0-9!]")), marked.drop("next")
+        self.golden_examples, self.golden = examples(marked, digit | call), marked.drop("next")
         own = [
-            ("commas", comma > 0, F.lit(0), comma - 1, tags(F.lit(False), F.lit("phrase")), lambda t: t.contains("!")),
-            ("long", F.size(F.regexp_extract_all("t", F.lit("[^.!?]+"), F.lit(0))) >= 6, F.lit(0), whole, tags(calls, F.lit("paragraph")), lambda t: t.rlike("[0-9!]")),
-            ("digits", F.col("t").rlike("[0-9]"), digit, whole, tags(F.lit(True), F.lit("sentence")), lambda t: t.rlike("[0-9]")),
+            ("commas", comma > 0, F.lit(0), comma - 1, tags(F.lit(False), F.lit("phrase")), call),
+            ("long", F.size(F.regexp_extract_all("t", F.lit("[^.!?]+"), F.lit(0))) >= 6, F.lit(0), whole, tags(calls, F.lit("paragraph")), digit | call),
+            ("digits", F.col("t").rlike("[0-9]"), upto_digit, whole, tags(F.lit(True), F.lit("sentence")), digit),
         ]
         drafts = [(rules(where, start, end, tag, F.lit(name).alias("drafter"), F.when(F.col("heading"), F.lit("seed")).otherwise("").alias("seed_uid")), violating) for name, where, start, end, tag, violating in own]
         self.draft_examples = examples(drafts[0][0], drafts[0][1], "drafter").unionByName(examples(drafts[1][0], drafts[1][1], "drafter")).unionByName(examples(drafts[2][0], drafts[2][1], "drafter"))
