@@ -112,6 +112,41 @@ def parse(pages: DataFrame, key: str = "page", text: str = "text") -> DataFrame:
     return pages.select(key, text).mapInArrow(run, schema)
 
 
+NODE = T.StructType([T.StructField(name, kind) for name, kind in (
+    ("line", T.IntegerType()), ("level", T.IntegerType()), ("title", T.StringType()), ("path", T.ArrayType(T.StringType())), ("trail", T.ArrayType(T.IntegerType())), ("body", T.StringType()),
+)])
+
+
+def page_nodes(text: str) -> Iterator[tuple]:
+    """The fields of NODE for every heading of a page; trail: the lines of the path's headings, body: the lines up to the next heading, stripped."""
+    lines, fenced, heads = text.split("\n"), False, []
+    for n, line in enumerate(lines):
+        fence = FENCE.match(line)
+        fenced ^= bool(fence)
+        if not (fenced or fence) and (m := HEADING.match(line)):
+            heads.append((n, len(m[1]), m[2]))
+    trail: list[tuple[int, int, str]] = []
+    ends = [n for n, _, _ in heads[1:]] + [len(lines)]
+    for (n, level, title), end in zip(heads, ends, strict=False):  # without headings there is an end too many
+        trail = [h for h in trail if h[1] < level] + [(n, level, title)]
+        yield n, level, title, [h[2] for h in trail], [h[0] for h in trail], "\n".join(lines[n + 1 : end]).strip()
+
+
+def nodes(pages: DataFrame, key: str = "page", text: str = "text") -> DataFrame:
+    """(key and NODE) of the headings of whole pages, inside each page's row."""
+    schema = T.StructType([pages.schema[key], *NODE.fields])
+    arrow, names = to_arrow_schema(schema), schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page, body in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist(), strict=True):
+                rows = [dict(zip(names, (page, *node), strict=True)) for node in page_nodes(body or "")]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return pages.select(key, text).mapInArrow(run, schema)
+
+
 def lock(blocks: DataFrame, key: str = "page") -> DataFrame:
     """(key, blocks, digest): what a page's blocks say, marks and places included, in one digest a page."""
     mark = F.array_join(F.transform("marks", lambda m: F.concat_ws(":", m["start"], m["end"], m["kind"], F.coalesce(m["href"], F.lit("")))), ",")

@@ -208,6 +208,7 @@ class Consensus:
         side = lambda t, s: self.pairs.join(t.withColumnRenamed("drafter", s), ["page", s])
         self.rules = {s: side(at, s) for s in "ab"}
         self.examples = {s: side(examples, s) for s in "ab"}
+        self._agreed: DataFrame | None = None
         self.matched = written(matched(self.rules["a"], self.rules["b"], self.examples["a"], self.examples["b"], by))
 
     def _side(self, s: str, key: str) -> DataFrame:
@@ -219,6 +220,8 @@ class Consensus:
         The extent is the common one, else that of a whole candidate heading, else the shorter, the first in a tie. Tags that
         differ are settled where a rule for it exists; ``open`` lists those that are not.
         """
+        if self._agreed is not None:
+            return self._agreed
         rows = self.matched.join(self._side("a", "i"), [*self.by, "i"]).join(self._side("b", "j"), [*self.by, "j"])
         same = (F.col("in_a.block") == F.col("in_b.block")) & (F.col("in_a.start") == F.col("in_b.start")) & (F.col("in_a.end") == F.col("in_b.end"))
         size = lambda s: F.col(f"in_{s}.end") - F.col(f"in_{s}.start")
@@ -235,7 +238,8 @@ class Consensus:
         value = {t: F.when(said("a", t) == said("b", t), said("a", t)).otherwise(F.nullif(settled.get(t, F.lit("")), F.lit(""))) for t in PLAN_TAGS}
         tags = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(t).alias("key"), v.alias("value")) for t, v in value.items()]), lambda e: e["value"].isNotNull()))
         unsettled = F.array_compact(F.array(*[F.when(v.isNull(), F.lit(t)) for t, v in value.items()]))
-        return rows.select(*self.by, "i", "j", "at.block", "at.start", "at.end", "at.quote", "anchor_from", tags.alias("tags"), unsettled.alias("open"))
+        self._agreed = written(rows.select(*self.by, "i", "j", "at.block", "at.start", "at.end", "at.quote", "anchor_from", tags.alias("tags"), unsettled.alias("open")))
+        return self._agreed
 
     def single(self) -> DataFrame:
         """(a, b, page, i, j, block, start, end, quote, tags, anchor_from): rules that one of the two found."""
@@ -261,7 +265,7 @@ class Consensus:
         of = whole.select(*self.by, "i", "j", "n", each)
         of = of.join(mine, [*self.by, "i"]).drop("i", "j").unionByName(of.join(theirs, [*self.by, "j"]).drop("i", "j"))
         of = of.groupBy("drafter", "page", F.col("n").alias("i"), "block", "start", "end").agg(F.min_by(F.struct("quote", "kind", "ord"), F.struct("rank", "ord")).alias("e"))
-        return whole.select(each, "page", F.col("n").alias("i"), "block", "start", "end", "quote", "tags"), of.select("drafter", "page", "i", "block", "start", "end", "e.*")
+        return written(whole.select(each, "page", F.col("n").alias("i"), "block", "start", "end", "quote", "tags")), written(of.select("drafter", "page", "i", "block", "start", "end", "e.*"))
 
     def items(self) -> DataFrame:
         """(a, b, page, singles, tag_items): what is left to decide on each page."""

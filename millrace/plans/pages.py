@@ -187,7 +187,7 @@ def _sha_uid(page, path, statement):
 @query(CANDIDATES_SQL)
 def page_candidates(spark, d):
     """The rule candidates of the documents read as pages: parsed headings, classified, with path, body and id."""
-    got = R.heading_candidates(R.nodes(documents_as_pages(spark, d)), OPENERS, uid=_sha_uid)
+    got = R.heading_candidates(K.nodes(documents_as_pages(spark, d)), OPENERS, uid=_sha_uid)
     return got.select("page", "line", "level", F.array_join("path", " > ").alias("path"), "statement", "form", F.sha2("body", 256).alias("body_sha256"), "uid")
 
 
@@ -198,8 +198,8 @@ def ledger_run(spark, d):
     before = raw.withColumn("text", F.translate("text", "0123456789", ""))
     pages = lambda p: B.normalised_pages(p.select(F.col("page").alias("path"), F.col("text").alias("raw"))).select(F.col("path").alias("page"), "text", "sha256")
     urls = raw.select("page", F.concat(F.lit("https://docs.example/"), "page").alias("url"))
-    old = written(pages(before))
-    rules = R.as_rules(R.heading_candidates(R.nodes(old), OPENERS).withColumn("origin", F.lit("heading")), urls, old.select("page", "sha256"), "t0")
+    old = pages(before)
+    rules = R.as_rules(R.heading_candidates(K.nodes(old), OPENERS).withColumn("origin", F.lit("heading")), urls, old.select("page", "sha256"), "t0")
     rules = written(rules.dropDuplicates(["uid"]).withColumn("status", F.when(F.col("modality") == "MUST", "accepted").when(F.length("body") == 0, "rejected").otherwise("proposed")))
     now = written(pages(raw))
     calls = K.parse(now).where("kind IN ('para', 'heading') AND level > 1").withColumn("quote", F.regexp_extract("plain", r"^[^.!?]*!", 0)).where("quote <> ''")

@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.operators import scoring as C
 from millrace.plans.catalogue import query, read
+from millrace.session import written
 
 # The documents as marked pages: a line is a block, a line of up to five words a heading. What people marked is the first
 # sentence of lines that say how something is (the words of SAID); one drafter marks up to the first comma, one the whole of lines of 6
@@ -285,7 +286,7 @@ def consensus_compare(spark, d):
     c = w.consensus()
     drafts, examples = c.proposed()
     scored = C.Scored(
-        w.golden, w.golden_examples, w.drafted.unionByName(c.drafted()), w.drafts.drop("seed_uid").unionByName(drafts), w.draft_examples.unionByName(examples),
+        w.golden, w.golden_examples, w.drafted.unionByName(written(c.drafted())), w.drafts.drop("seed_uid").unionByName(drafts), w.draft_examples.unionByName(examples),
         w.blocks, w.pages.withColumn("blind", F.lit(True)), w.walk, w.directives,
     )
     return C.grid(scored.pages(), ["drafter", "page"], list(_SHOWN))

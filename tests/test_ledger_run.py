@@ -1,10 +1,12 @@
 """From pages to the next ledger, twice: every column of what a change of the pages does."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from millrace.operators import extract as R
 from millrace.operators import structure as B
-from millrace.operators.blocks import block_id
+from millrace.operators.blocks import block_id, nodes
 
 VERBS = ("use", "write", "keep", "spell")
 SPANS = "span_id string, page string, block_id string, start int, end int, kind string, of string, grp string, quote string, seed_uid string"
@@ -32,7 +34,7 @@ def ledger(spark, texts, rules, spans=(), swept=(), now="t1", known=None):
     marks = spark.createDataFrame(list(spans), SPANS)
     done = spark.createDataFrame([(s,) for s in swept], "page string")
     if rules is None:
-        empty = R.as_rules(R.heading_candidates(R.nodes(pages).limit(0), VERBS).withColumn("origin", F.lit("heading")), urls, pages.select("page", "sha256"), "t0")
+        empty = R.as_rules(R.heading_candidates(nodes(pages).limit(0), VERBS).withColumn("origin", F.lit("heading")), urls, pages.select("page", "sha256"), "t0")
         rules = empty
     return R.next_ledger(pages, marks, done, rules, urls, now, VERBS, known)
 
@@ -97,6 +99,17 @@ def test_outside_verdicts_only_admit(spark):
 
 def test_children_of_repeated_headings_stay_apart(spark):
     text = "# T\n\n## Trains\n\n### Correct\n\nx\n\n## Trains\n\n### Incorrect\n\ny\n"
-    found = R.nodes(spark.createDataFrame([("p", text)], "page string, text string"))
+    found = nodes(spark.createDataFrame([("p", text)], "page string, text string"))
     assert {(r.line, r.paired, tuple(r.examples)) for r in R.harvested(found).collect()} == {(2, False, ("correct",)), (8, False, ("incorrect",))}
     assert R.heading_candidates(found, VERBS).count() == 0
+
+
+def test_nodes_equal_the_windows(spark):
+    """The pass inside a row and the windows over lines give the same trees and bodies."""
+    rng = random.Random(6)
+    say = ["# a", "## b ##", "### c", "###### f", "text", "", "```", "  ~~~ x", "#no", "####### seven", "  # indented", "# "]
+    df = spark.createDataFrame([(i, "\n".join(rng.choices(say, k=rng.randint(0, 25)))) for i in range(60)] + [(99, None)], "page int, text string")
+    lines = B.lines(df)
+    heads = B.headings(lines)
+    want = B.ancestry(heads, trail="trail").join(B.bodies(lines, heads), ["page", "line"], "left").select("page", "line", "level", "title", "path", "trail", F.regexp_replace(F.coalesce("body", F.lit("")), r"^\s+|\s+$", "").alias("body"))
+    assert sorted(map(tuple, nodes(df).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
