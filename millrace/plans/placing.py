@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.operators import evaluate as E
 from millrace.operators import placing as P
 from millrace.plans.catalogue import query, read
 from millrace.plans.pages import _TRIM, S
@@ -84,3 +85,28 @@ def claimed_lines(spark, d):
     rows = _lines(spark, d).where("plain <> ''").join(told, "page", "left").select("source", (F.col("page") * 100000 + F.col("ord")).alias("n"), F.col("plain").alias("text"), "told")
     form = lambda t: F.lower(X.normalise_statement(t))
     return P.claimed(rows.where("told").drop("told"), rows.where("told IS NULL").select("source", F.col("n").alias("e"), "text"), ["source"], form)
+
+
+@query(r"""
+WITH l AS (
+    SELECT doc_id AS page, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord, unnest(string_split(text, chr(10))) AS t FROM documents
+), w AS (
+    SELECT page, ord, list_distinct(list_transform(list_filter(regexp_extract_all(lower(t), '[a-z]+'), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'are', 'not')),
+        lambda x: CASE WHEN length(x) > 4 AND x LIKE '%s' THEN left(x, length(x) - 1) ELSE x END)) AS tokens FROM l
+), e AS (
+    SELECT page, ord, len(tokens) AS n, unnest(tokens) AS x FROM w WHERE len(tokens) >= 4
+), r AS (
+    SELECT e.* FROM e WHERE ord = 0 AND page IN (SELECT doc_id FROM labels)
+), met AS (
+    SELECT r.page, e.page AS other, e.ord, r.n AS nr, e.n AS ne, count(*) AS c FROM r JOIN e ON e.x = r.x AND e.page <> r.page GROUP BY ALL
+), best AS (
+    SELECT *, row_number() OVER (PARTITION BY page ORDER BY c / (nr + ne - c) DESC, other, ord) AS k FROM met WHERE c >= 0.65 * (nr + ne - c)
+)
+SELECT page, other, ord::INTEGER AS ord, c::BIGINT AS both, (nr + ne - c)::BIGINT AS either FROM best WHERE k = 1
+""")
+def stated_elsewhere(spark, d):
+    """For the first line of each labelled document the line of another document that is most like it."""
+    told = read(spark, d, "labels").select(F.col("doc_id").alias("page")).distinct()
+    lines = _lines(spark, d).select("page", "ord", X.tokens_lint(F.col("plain")).alias("tokens"))
+    rules = lines.where("ord = 0").join(told, "page", "left_semi").select(F.col("page").alias("uid"), "page", "tokens")
+    return E.stated_elsewhere(rules, lines).select("page", "other", "ord", "both", "either")
