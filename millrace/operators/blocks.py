@@ -135,14 +135,14 @@ def page_nodes(text: str) -> Iterator[tuple]:
 def nodes(pages: DataFrame, key: str = "page", text: str = "text") -> DataFrame:
     """(key and NODE) of the headings of whole pages, inside each page's row."""
     schema = T.StructType([pages.schema[key], *NODE.fields])
-    arrow, names = to_arrow_schema(schema), schema.names
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[tuple] = []
             for page, body in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist(), strict=True):
-                rows = [dict(zip(names, (page, *node), strict=True)) for node in page_nodes(body or "")]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, arrow)
+                rows += [(page, *node) for node in page_nodes(body or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
     return pages.select(key, text).mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +22,7 @@ SAID = r"(^|[^a-z])(the|que|der|les|los|und)($|[^a-z])"
 FAMILIES = [("commas", "one"), ("long", "two"), ("digits", "one")]
 
 
+_DIGIT = re.compile("[0-9]")
 LINES = T.StructType([T.StructField(n, t) for n, t in (
     ("page", T.LongType()), ("block", T.StringType()), ("i", T.LongType()), ("t", T.StringType()), ("heading", T.BooleanType()), ("path", T.ArrayType(T.StringType())),
     ("next", T.StructType([T.StructField("block", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("id", T.StringType()), T.StructField("digit", T.BooleanType()), T.StructField("call", T.BooleanType())])),
@@ -31,15 +33,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The worded lines of each document with the heading they stand under, and what is asked of the line after: no shuffle, each document is one row."""
     schema = to_arrow_schema(LINES)
     for batch in batches:
+        rows: list[tuple] = []
+        after: list[tuple | None] = []
         for page, text in zip(batch.column("page").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            worded = [(i, t, len([w for w in t.split(" ") if w])) for i, t in enumerate((text or "").split("\n"))]
-            worded, rows, path = [(i, t, n <= 5) for i, t, n in worded if n], [], ["top"]
-            for k, (i, t, heading) in enumerate(worded):
-                path = ["top", t] if heading else path
-                after = worded[k + 1] if k + 1 < len(worded) else None
-                following = after and {"block": str(after[0]), "n": len(after[1]), "id": hashlib.md5(after[1].encode()).hexdigest(), "digit": any(c in "0123456789" for c in after[1]), "call": "!" in after[1]}
-                rows.append({"page": page, "block": str(i), "i": i, "t": t, "heading": heading, "path": path, "next": following})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            worded = [(i, t, len(t.split(" ")) - t.split(" ").count("")) for i, t in enumerate((text or "").split("\n"))]
+            worded, path = [x for x in worded if x[2]], ["top"]
+            for i, t, n in worded:
+                path = ["top", t] if n <= 5 else path
+                rows.append((page, str(i), i, t, n <= 5, path))
+            after += [(str(i), len(t), hashlib.md5(t.encode()).hexdigest(), bool(_DIGIT.search(t)), "!" in t) for i, t, _ in worded[1:]] + [None] * bool(worded)
+        kind = schema.field("next").type
+        following = pa.StructArray.from_arrays([pa.array([x and x[k] for x in after], kind.field(k).type) for k in range(5)], fields=list(kind), mask=pa.array([x is None for x in after], pa.bool_()))
+        columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema) if f.name != "next"]
+        yield pa.RecordBatch.from_arrays([*columns, following], schema=schema)
 
 
 class World:
