@@ -17,7 +17,8 @@ from millrace.llm import _batch
 
 PER_BUCKET = 1_500_000  #: values in a bucket, about
 PER_PART = 1 << 25  #: values whose sets are summed up in one group, about
-CHUNK = 1_500_000  #: values packed at once
+CHUNK = 500_000  #: values packed at once
+SLICE = 100_000  #: values looked up at once
 WIDTH = 5  #: bytes kept of a value; its bucket gives more bits
 
 Sets = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]  #: ids of sets, sizes, values (distinct in a set, set by set)
@@ -37,8 +38,10 @@ def _low(values: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def _unlow(raw: list[bytes], width: int) -> np.ndarray:
+def _unlow(raw: list, width: int) -> np.ndarray:
     got = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
+    if width == 8:
+        return got.ravel().view(np.uint64)
     out = np.zeros((len(got), 8), np.uint8)
     out[:, :width] = got
     return out.view(np.uint64).ravel()
@@ -75,19 +78,28 @@ def _chunk(ids: np.ndarray, sizes: np.ndarray, values: np.ndarray, buckets: int,
 
 def _counted(table: pa.Table, parts: int, width: int) -> pa.Table:
     """By part of the ids: ids, how many of their values are shared, and with all 8 bytes at hand the values themselves."""
-    col = {n: [x.as_py() for x in table.column(n)] for n in table.schema.names[1:]}
-    values, marks = _unlow(col["vals"], width), _unlow(col["marks"], width)
-    order = np.sort(np.concatenate([values, marks, marks]))
-    shared = np.unique(order[1:][order[1:] == order[:-1]])
-    hit = shared[np.minimum(np.searchsorted(shared, values), len(shared) - 1)] == values if len(shared) else np.zeros(len(values), bool)
-    joined = lambda name, kind: np.concatenate([np.zeros(0, kind), *[_unplanes(x, kind) for x in col[name]]])
+    col = lambda name: [x.as_buffer() for x in table.column(name)]
+    values, marks = _unlow(col("vals"), width), _unlow(col("marks"), width)
+    order = np.concatenate([values, marks, marks])
+    order.sort()
+    again = np.zeros(len(order), bool)
+    again[1:] = order[1:] == order[:-1]
+    again[1:] &= ~again[:-1]  # the second of each run
+    shared = order[again]
+    del order, again, marks
+    hit = np.zeros(len(values), bool)
+    for lo in range(0, len(values) if len(shared) else 0, SLICE):
+        some = values[lo : lo + SLICE]
+        hit[lo : lo + SLICE] = shared[np.minimum(np.searchsorted(shared, some), len(shared) - 1)] == some
+    joined = lambda name, kind: np.concatenate([np.zeros(0, kind), *[_unplanes(x, kind) for x in col(name)]])
     many = joined("many", np.uint32).astype(np.int64)
     upto = np.concatenate([[0], np.cumsum(many)])
     total = np.concatenate([[0], np.cumsum(hit)])
     found = total[upto[1:]] - total[upto[:-1]]
+    del total, upto
     ids = np.concatenate([joined("ids", np.int64)[found > 0], joined("told", np.int64)])
     counts = np.concatenate([found[found > 0], joined("known", np.uint32).astype(np.int64)])
-    held = np.concatenate([values[hit], _unlow(col["sure"], 8)]) if width == 8 else values[:0]
+    held = np.concatenate([values[hit], _unlow(col("sure"), 8)]) if width == 8 else values[:0]
     part = (_batch.mix(ids.view(np.uint64)) >> np.uint64(8)).astype(np.int64) % parts
     by = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[by], np.arange(parts + 1))

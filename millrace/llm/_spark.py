@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1 << 18  #: a list of at most so many narrow rows may be sent to every executor
+BATCH_BYTES = 4 << 20  #: bytes of an Arrow batch, about
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at about BATCH_BYTES, unless it has a bound of its own; so neither side holds a whole task's texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a fresh local one only on a single machine without the setting."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm import _batch
 from millrace.llm._packed import shared_lists
-from millrace.llm._spark import Shelf, among
+from millrace.llm._spark import Shelf, among, small_batches
 
 LENGTH, K = 50, 32
 SPAN = LENGTH - K + 1  #: places of the anchor in a window
 CHUNK = 1 << 19  #: bytes handled at once; must stay below 1 << 21
-CONTEXTS = 12_000  #: contexts in a bucket, about
+CONTEXTS = 6_000  #: contexts in a bucket, about
 HOT = 3_000  #: contexts of one anchor beyond which its windows are dealt one by one
 _TABLE = np.random.RandomState(50).randint(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64((1 << 21) - 1)
@@ -286,6 +286,7 @@ def _trimmed(docs: DataFrame) -> DataFrame:
 def trim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): one row per row; spans are the maximal removed stretches, kept the bytes left."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
     shelf = Shelf(docs.sparkSession)
     known = shelf.put(_digests(docs.where("doc_id IS NOT NULL")))
     owners = shelf.put(known.groupBy("lo", "hi").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last"))
