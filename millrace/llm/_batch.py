@@ -24,6 +24,7 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = _RNG.randint(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
+HELD: dict = {}  #: what a worker keeps from one task of an operator to the next; the first batch of another operator drops it
 
 
 def _power(n: int, name: str, by: np.uint64) -> np.ndarray:
@@ -44,6 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null counts as empty."""
+    HELD.clear()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")

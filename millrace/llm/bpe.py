@@ -25,6 +25,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from millrace.llm._batch import HELD
+from millrace.llm._spark import small_batches
+
 PIECES_KEPT, PIECE_CHARS, PAIRS_KEPT = 150_000, 48, 500_000  #: bounds of the memories of one worker
 
 
@@ -158,14 +161,11 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def _codec(shared) -> Codec:
-    if shared.id not in _codecs:
-        _codecs.clear()
-        _codecs[shared.id] = Codec(*shared.value)
-    return _codecs[shared.id]
+    if shared.id not in HELD:
+        HELD.clear()
+        HELD[shared.id] = Codec(*shared.value)
+    return HELD[shared.id]
 
 
 class _Held:
@@ -185,6 +185,7 @@ def _mapped(df: DataFrame, added: dict[str, T.DataType], make) -> DataFrame:
     for name in added:
         if name in df.columns:
             raise ValueError(f"the input already has a column {name}")
+    small_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in added.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import _batch, _stats
+from millrace.llm._spark import small_batches
 
 LABELLED = 12_000  #: bound of the labelled rows learned from
 TREES, DEPTH, BINS, RATE, LEAF, L2 = 80, 4, 32, 0.15, 10, 1.0
@@ -110,6 +111,7 @@ def score(df: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
     """Adds ``score``: the chance that the text's label is 1."""
     if "score" in df.columns:
         raise ValueError("the input already has a column score")
+    small_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

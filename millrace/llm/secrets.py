@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from millrace.llm._spark import small_batches
+
 # The patterns, the least sizes and the order of kinds.
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_base64")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -153,6 +155,7 @@ def scan(df: DataFrame, text: str = "text", redact: bool = False, mask: str = "[
     """Adds ``spans``; with ``redact``, found stretches of ``text`` (overlapping ones as one) give way to ``mask``."""
     if "spans" in df.columns:
         raise ValueError("the input already has a column spans")
+    small_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField("spans", SPANS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import _packed, suffix_dedup
+from millrace.llm import _batch, _packed, bpe, suffix_dedup
 
 
 def sets(n, size, seed):
@@ -92,3 +92,12 @@ def test_arrow_batches_are_bounded(spark):
     suffix_dedup.trim(docs.limit(3))
     assert spark.conf.get(key) == "1m"
     spark.conf.unset(key)
+
+
+def test_another_operator_drops_the_codec():
+    class Shared:
+        id, value = "x", (tuple(bytes([i]) for i in range(256)), r".+")
+
+    assert bpe._codec(Shared) is bpe._codec(Shared)
+    _batch.buffers(pa.array(["a"]))
+    assert not _batch.HELD
