@@ -1,9 +1,12 @@
 import pytest
+from conftest import rows_of, rows_of_sql
 
 from millrace.functions import html as H
 from millrace.operators import audit as A
 from millrace.operators import blocks as K
 from millrace.operators import structure as B
+from millrace.plans import inventory
+from millrace.plans import pages as plans
 
 PAGE = """lead text
 # Title ##
@@ -117,6 +120,20 @@ def test_markdown_of_pages(html, want):
     assert H.to_markdown(html, "https://s.au/p") == want
 
 
+def test_references_without_semicolon_are_text(spark, tmp_path):
+    import duckdb
+
+    html = "<article><h1>Of A &amp;&amp</h1><p><b>cut &quo<br>gone</p><p>x &lt y &#x2 &ampfoo; &bar; &amp;lt; &lt;i&gt; &#x27;q&quot; a&b & c</p></article>"
+    want = "# Of A &&amp\n\n**cut &quo**\n\nx &lt y &#x2 &ampfoo; &bar; &lt; <i> 'q\" a&b & c\n"
+    assert H.to_markdown(html.replace("<br>gone", "")) == want
+    assert H.source_headings("<h1>A &amp</h1>") == [(1, "A &amp", False)]
+    html = html.replace("<br>gone</p>", "<br>")
+    spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert rows_of(plans.html_to_markdown(spark, str(tmp_path))) == rows_of_sql(con, inventory.oracle_sql()["html_to_markdown"])
+
+
 def test_pages_without_content_are_refused(spark):
     for html, error in (("", "no content"), ("<p>text", "no heading"), ("<form><h1>x</h1></form>", "no content"), ("<h1>Release notes</h1><p>x", "no content")):
         with pytest.raises(H.ExtractionError, match=error):
