@@ -4,18 +4,25 @@ A rule is a span: page, i, block, start, end, quote, tags (a map). An example is
 end, quote, kind. Tables of drafts have a column drafter before these. Two rules are the same, in falling strength, if
 their spans overlap (3 and the common characters), if one is a heading and the other the prose right below it (2 and the
 likeness of their words), if they have examples in common (1.5 and a hundredth for each, 49 at most), or if they stand in
-one section with at least half of their words in common (the likeness). Each kind has its own equi-join, by bins of a
-block, by heading path, by example and by rare words, so the rules of a page are never all paired.
+one section with at least half of their words in common (the likeness). A page's rules are matched in one worker, which
+finds each kind by its own index: by block, by heading path, by example and by rare words.
 """
 
 from __future__ import annotations
 
 import functools
+import math
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import chain, groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrace.functions import text as X
 from millrace.operators import evaluate as E
 from millrace.session import written
 
@@ -51,50 +58,138 @@ def touching(a: DataFrame, b: DataFrame, keys: list[str], at: list[str], start:
     return met.select(*keys, *[f"{s}_{c}" for s in "ab" for c in at], overlap.alias("overlap"))
 
 
-def _under(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """Headings of ``a`` and the prose of ``b`` right below them: under the same path, or under a label's below it."""
-    label = F.lower(X.strip(F.element_at("path", -1))).isin(*LABELS)
-    above = F.when((F.size("path") > 0) & label, F.slice("path", 1, F.size("path") - 1))
-    prose = b.where(~F.col("heading")).select(*by, "i", "words", F.explode(F.array_compact(F.array("path", above))).alias("path"))
-    heads = a.where("heading").select(*by, "path", F.col("i").alias("h"), F.col("words").alias("hw"))
-    return heads.join(prose, [*by, "path"]).select(*by, F.col("h").alias("a_i"), F.col("i").alias("b_i"), (2 + F.coalesce(X.jaccard(F.col("hw"), F.col("words")), F.lit(0.0))).alias("score"))
-
-
-def _worded(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """Pairs in one section with at least half of their words in common: they share one of their rarest words."""
-    both = a.select(*by, "i", "path", "words", F.lit(0).alias("side")).unionByName(b.select(*by, "i", "path", "words", F.lit(1).alias("side")))
-    both = both.where((F.size("words") > 0) & (F.size("path") > 0))
-    # Any order of all words will do for the prefixes: long words first, which are rare, then by hash. It needs no counts.
-    ordered = F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), F.xxhash64(w).alias("h"))))
-    few = F.slice(ordered, F.lit(1), (F.size("words") - F.ceil(F.size("words") * LIKE) + 1).cast("int"))
-    few = both.select(*by, "side", "i", F.element_at("path", 1).alias("top"), F.explode(F.transform(few, lambda w: w["h"])).alias("word"))
-    met = few.where("side = 0").select(*by, "top", "word", F.col("i").alias("a_i")).join(few.where("side = 1").select(*by, "top", "word", F.col("i").alias("b_i")), [*by, "top", "word"]).select(*by, "a_i", "b_i").distinct()
-    for side in "ab":
-        own = both.where(F.col("side") == "ab".index(side)).select(*by, F.col("i").alias(f"{side}_i"), F.col("path").alias(f"{side}_path"), F.col("words").alias(f"{side}_words"))
-        met = met.join(own, [*by, f"{side}_i"])
-    shorter = F.least(F.size("a_path"), F.size("b_path"))
-    like = X.jaccard(F.col("a_words"), F.col("b_words"))
-    return met.where((F.slice("a_path", F.lit(1), shorter) == F.slice("b_path", F.lit(1), shorter)) & (like >= LIKE)).select(*by, "a_i", "b_i", like.alias("score"))
+class Rule:
+    """A rule on its page. path: a tuple, None for a rule in an unknown block; examples: their extents."""
+
+    __slots__ = ("i", "block", "start", "end", "quote", "heading", "path", "examples", "_words")
+
+    def __init__(self, i, block, start, end, quote, heading, path, examples=()):
+        self.i, self.block, self.start, self.end, self.quote, self.heading, self.path, self.examples = i, block, start, end, quote, heading, path, examples
+        self._words = None
+
+    @property
+    def words(self) -> frozenset:
+        """X.tokens_long of the quote."""
+        if self._words is None:
+            self._words = frozenset(w for w in _WORD.findall((self.quote or "").lower()) if len(w) > 2)
+        return self._words
+
+
+_WORD = re.compile("[a-z]+")
+_FEW = 64  #: so many pairs of a page are compared without an index
+
+
+def _like(x: Rule, y: Rule) -> float:
+    both = len(x.words & y.words)
+    return both / (len(x.words) + len(y.words) - both) if both else 0.0
+
+
+def _worded(a: list[Rule], b: list[Rule]) -> Iterator[tuple[Rule, Rule]]:
+    """Pairs that may have half of their words in common: all of a few, else those that share one of the rarest words of both."""
+    if len(a) * len(b) <= _FEW:
+        yield from ((x, y) for x in a for y in b)
+        return
+    n = Counter(w for r in chain(a, b) for w in r.words)
+
+    def first(r: Rule) -> list[str]:
+        return sorted(r.words, key=lambda w: (n[w], w))[: len(r.words) - math.ceil(len(r.words) * LIKE) + 1]
+
+    at = defaultdict(list)
+    for y in b:
+        for w in first(y) if y.words else ():
+            at[w].append(y)
+    for x in a:
+        near = {id(y): y for w in (first(x) if x.words else ()) for y in at.get(w, ())}
+        yield from ((x, y) for y in near.values())
+
+
+def likenesses(a: list[Rule], b: list[Rule]) -> dict[tuple, float]:
+    """(i, j): score, of the pairs of one page's rules that may be one rule; see above."""
+    met: dict[tuple, float] = {}
+    a, b = ([r for r in rules if r.path is not None] for rules in (a, b))
+
+    def put(x: Rule, y: Rule, score: float) -> None:
+        if score > met.get((x.i, y.i), 0):
+            met[x.i, y.i] = score
+
+    said = defaultdict(list)
+    for y in sorted((y for y in b if y.start is not None and y.end is not None), key=lambda y: y.start):
+        said[y.block].append(y)
+    for x in a:
+        for y in said.get(x.block, ()) if x.start is not None and x.end is not None else ():
+            if y.start >= x.end:
+                break
+            if (over := min(x.end, y.end) - max(x.start, y.start)) > 0:
+                put(x, y, 3.0 + over)
+    for heads, prose, turned in ((a, b, False), (b, a, True)):
+        below = defaultdict(list)
+        for p in prose:
+            if p.heading is False:
+                below[p.path].append(p)
+                if p.path and (p.path[-1] or "").strip().lower() in LABELS:
+                    below[p.path[:-1]].append(p)
+        for h in heads:
+            for p in below.get(h.path, ()) if h.heading else ():
+                put(*((p, h) if turned else (h, p)), 2 + _like(h, p))
+    shown = defaultdict(list)
+    for y in b:
+        for e in set(y.examples):
+            shown[e].append(y)
+    for x in a:
+        common = Counter(y for e in set(x.examples) for y in shown.get(e, ()))
+        for y, n in common.items():
+            put(x, y, 1.5 + min(n, 49) / 100)
+    for x, y in _worded(a, b):
+        n = min(len(x.path), len(y.path))
+        # what is scored already has more than words can give
+        if n and x.path[:n] == y.path[:n] and (x.i, y.i) not in met and (like := _like(x, y)) >= LIKE:
+            met[x.i, y.i] = like
+    return met
+
+
+def one_to_one(met: dict[tuple, float]) -> list[tuple]:
+    """(i, j, score): the strongest pairs first, so a weak match never takes a rule that a strong one needs."""
+    left, right, out = set(), set(), []
+    for (i, j), score in sorted(met.items(), key=lambda m: (-m[1], *m[0])):
+        if i not in left and j not in right:
+            left.add(i), right.add(j), out.append((i, j, score))
+    return out
+
+
+def _paged(a: DataFrame, b: DataFrame, a_examples: DataFrame, b_examples: DataFrame, by: list[str], greedy: bool) -> DataFrame:
+    """Rules and examples meet once, dealt by page and sorted; a worker holds one page's."""
+    own, extent = ["quote", "heading", "path"], ["i", "block", "start", "end"]
+    none = [F.lit(None).cast(a.schema[c].dataType).alias(c) for c in own]
+    rows = [t.select(*by, F.lit(k).alias("what"), *extent, *own) for k, t in ((2, a), (3, b))] + [t.select(*by, F.lit(k).alias("what"), *extent, *none) for k, t in ((0, a_examples), (1, b_examples))]
+    rows = functools.reduce(DataFrame.unionByName, rows).dropna(subset=by).repartition(*by).sortWithinPartitions(*by, "what")
+    out = T.StructType([*[a.schema[c] for c in by], T.StructField("i", a.schema["i"].dataType), T.StructField("j", b.schema["i"].dataType), T.StructField("score", T.DoubleType())])
+    schema, n = to_arrow_schema(out), len(by)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for key, page in groupby(each, lambda r: r[:n]):
+            kids, sides = (defaultdict(list), defaultdict(list)), ([], [])
+            for what, i, *extent, quote, heading, path in (r[n:] for r in page):
+                if what < 2:
+                    kids[what][i] += [tuple(extent)] * (None not in extent)
+                else:
+                    sides[what - 2].append(Rule(i, *extent, quote, heading, None if path is None else tuple(path), kids[what - 2].get(i, ())))
+            met = likenesses(*sides)
+            found = one_to_one(met) if greedy else [(*m, s) for m, s in met.items()]
+            columns = [[v] * len(found) for v in key] + [[f[k] for f in found] for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(match, out)
 
 
 def alike(a: DataFrame, b: DataFrame, a_examples: DataFrame, b_examples: DataFrame, by: list[str]) -> DataFrame:
     """(by, i, j, score): pairs of rules of ``a`` and ``b`` that may be one rule. Both are placed()."""
-    a, b = (t.withColumn("words", X.tokens_long(F.col("quote"))) for t in (a, b))
-    over = touching(a.where("path IS NOT NULL"), b.where("path IS NOT NULL"), [*by, "block"], ["i"]).select(*by, "a_i", "b_i", (F.lit(3.0) + F.col("overlap")).alias("score"))
-    turned = _under(b, a, by).select(*by, F.col("b_i").alias("a_i"), F.col("a_i").alias("b_i"), "score")
-    extent = ["block", "start", "end"]
-    common = a_examples.select(*by, *extent, F.col("i").alias("a_i")).distinct().join(b_examples.select(*by, *extent, F.col("i").alias("b_i")).distinct(), [*by, *extent])
-    common = common.groupBy(*by, "a_i", "b_i").agg((F.lit(1.5) + F.least(F.count("*"), F.lit(49)) / 100).alias("score"))
-    for side, t in (("a_i", a), ("b_i", b)):
-        common = common.join(t.where("path IS NOT NULL").select(*by, F.col("i").alias(side)), [*by, side], "left_semi")
-    kinds = [over, _under(a, b, by), turned, common, _worded(a, b, by)]
-    met = functools.reduce(DataFrame.unionByName, [k.select(*by, "a_i", "b_i", "score") for k in kinds])
-    return met.groupBy(*by, "a_i", "b_i").agg(F.max("score").alias("score")).select(*by, F.col("a_i").alias("i"), F.col("b_i").alias("j"), "score")
+    return _paged(a, b, a_examples, b_examples, by, False)
 
 
 def matched(a: DataFrame, b: DataFrame, a_examples: DataFrame, b_examples: DataFrame, by: list[str]) -> DataFrame:
-    """(by, i, j, score): one-to-one, the strongest pairs first, so a weak match never takes a rule that a strong one needs."""
-    return E.greedy(alike(a, b, a_examples, b_examples, by), by)
+    """(by, i, j, score): one-to-one, the strongest pairs first."""
+    return _paged(a, b, a_examples, b_examples, by, True)
 
 
 COUNTS = (
@@ -192,6 +287,26 @@ def _subsets(by: list[str]) -> list[list[str]]:
     return [[b for k, b in enumerate(by) if n >> k & 1] for n in range(1 << len(by))]
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """Adds at (the side whose extent counts), anchor_from, tags and open to pairs of rules in_a and in_b: block, start, end, quote, tags, seed_uid."""
+    same = (F.col("in_a.block") == F.col("in_b.block")) & (F.col("in_a.start") == F.col("in_b.start")) & (F.col("in_a.end") == F.col("in_b.end"))
+    size = lambda s: F.col(f"in_{s}.end") - F.col(f"in_{s}.start")
+    source = (
+        F.when(same, "both").when((F.col("in_a.seed_uid") != "") & (F.col("in_b.seed_uid") == ""), "a").when((F.col("in_b.seed_uid") != "") & (F.col("in_a.seed_uid") == ""), "b")
+        .when(size("a") <= size("b"), "a").otherwise("b")
+    )
+    rows = rows.withColumn("anchor_from", source).withColumn("at", F.when(F.col("anchor_from") == "b", F.col("in_b")).otherwise(F.col("in_a")))
+    said = lambda s, tag: F.coalesce(F.try_element_at(f"in_{s}.tags", F.lit(tag)), F.lit("any" if tag == "applies_to" else ""))
+    settled = {
+        "modality": E.settle_modality(F.col("at.quote"), said("a", "modality"), said("b", "modality")), "unit": E.settle_order(said("a", "unit"), said("b", "unit"), E.UNITS),
+        "clarity": E.settle_order(said("a", "clarity"), said("b", "clarity"), E.CLARITY), "detection_hint": E.settle_hint(said("a", "detection_hint"), said("b", "detection_hint")),
+    }
+    value = {t: F.when(said("a", t) == said("b", t), said("a", t)).otherwise(F.nullif(settled.get(t, F.lit("")), F.lit(""))) for t in PLAN_TAGS}
+    tags = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(t).alias("key"), v.alias("value")) for t, v in value.items()]), lambda e: e["value"].isNotNull()))
+    unsettled = F.array_compact(F.array(*[F.when(v.isNull(), F.lit(t)) for t, v in value.items()]))
+    return rows.withColumn("tags", tags).withColumn("open", unsettled)
+
+
 class Consensus:
     """What pairs of drafters of different families make of the pages that both drafted.
 
@@ -223,22 +338,7 @@ class Consensus:
         if self._agreed is not None:
             return self._agreed
         rows = self.matched.join(self._side("a", "i"), [*self.by, "i"]).join(self._side("b", "j"), [*self.by, "j"])
-        same = (F.col("in_a.block") == F.col("in_b.block")) & (F.col("in_a.start") == F.col("in_b.start")) & (F.col("in_a.end") == F.col("in_b.end"))
-        size = lambda s: F.col(f"in_{s}.end") - F.col(f"in_{s}.start")
-        source = (
-            F.when(same, "both").when((F.col("in_a.seed_uid") != "") & (F.col("in_b.seed_uid") == ""), "a").when((F.col("in_b.seed_uid") != "") & (F.col("in_a.seed_uid") == ""), "b")
-            .when(size("a") <= size("b"), "a").otherwise("b")
-        )
-        rows = rows.withColumn("anchor_from", source).withColumn("at", F.when(F.col("anchor_from") == "b", F.col("in_b")).otherwise(F.col("in_a")))
-        said = lambda s, tag: F.coalesce(F.try_element_at(f"in_{s}.tags", F.lit(tag)), F.lit("any" if tag == "applies_to" else ""))
-        settled = {
-            "modality": E.settle_modality(F.col("at.quote"), said("a", "modality"), said("b", "modality")), "unit": E.settle_order(said("a", "unit"), said("b", "unit"), E.UNITS),
-            "clarity": E.settle_order(said("a", "clarity"), said("b", "clarity"), E.CLARITY), "detection_hint": E.settle_hint(said("a", "detection_hint"), said("b", "detection_hint")),
-        }
-        value = {t: F.when(said("a", t) == said("b", t), said("a", t)).otherwise(F.nullif(settled.get(t, F.lit("")), F.lit(""))) for t in PLAN_TAGS}
-        tags = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(t).alias("key"), v.alias("value")) for t, v in value.items()]), lambda e: e["value"].isNotNull()))
-        unsettled = F.array_compact(F.array(*[F.when(v.isNull(), F.lit(t)) for t, v in value.items()]))
-        self._agreed = written(rows.select(*self.by, "i", "j", "at.block", "at.start", "at.end", "at.quote", "anchor_from", tags.alias("tags"), unsettled.alias("open")))
+        self._agreed = written(settled(rows).select(*self.by, "i", "j", "at.block", "at.start", "at.end", "at.quote", "anchor_from", "tags", "open"))
         return self._agreed
 
     def single(self) -> DataFrame:

@@ -2,9 +2,12 @@ import random
 import re
 
 import pytest
+from conftest import SMALL
+from pyspark.sql import functions as F
 
 from millrace.operators import evaluate as E
 from millrace.operators import scoring as C
+from millrace.plans import scores as plans
 
 RULE = "page string, i long, block string, start int, end int, quote string, tags map<string,string>"
 EXAMPLE = "page string, i long, block string, start int, end int, quote string, kind string, ord int"
@@ -169,3 +172,37 @@ def test_touching_spans_of_two_tables(spark):
     want = {(x[0], x[1], y[1], min(x[3], y[3]) - max(x[2], y[2])) for x in spans[0] for y in spans[1] if x[0] == y[0] and min(x[3], y[3]) > max(x[2], y[2])}
     got = C.touching(a, b, ["k"], ["i"]).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_pages_are_matched_where_they_are_cut(spark):
+    """No rule is shuffled, pages that several Arrow batches share stay whole, and the general operators say the same."""
+    w = plans.World(spark, SMALL)
+    for table in (w.counted(), w.met()):
+        assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        scores, tags, items = (q(spark, SMALL) for q in (plans.draft_score, plans.draft_tags, plans.consensus_items))
+        scores, tags, items = scores.collect(), tags.collect(), items.collect()
+    finally:
+        spark.conf.set(key, before)
+    scored = C.Scored(w.golden, w.golden_examples, w.drafted, w.drafts, w.draft_examples, w.blocks, w.pages, w.walk, w.directives)
+    assert {tuple(r) for r in scores} == {tuple(r[c] for c in scores[0].__fields__) for r in scored.pages().collect()} and len(scores) > 100
+    assert {tuple(r) for r in tags} == {tuple(r) for r in scored.tags().groupBy("drafter", "tag").agg(F.sum("agree"), F.sum("compared")).collect()}
+    c = w.consensus()
+    agreed = {(r.a, r.b): (r["count"], r.must) for r in c.agreed().groupBy("a", "b").agg(F.count("*").alias("count"), F.count_if(F.col("tags")["modality"] == "MUST").alias("must")).collect()}
+    assert {(r.a, r.b): (r.agreed, r.must) for r in items} == agreed
+    left = {(r.a, r.b): (r.n, r.singles, r.tag_items) for r in c.items().groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("singles").alias("singles"), F.sum("tag_items").alias("tag_items")).collect()}
+    assert {(r.a, r.b): (r.pages, r.singles, r.tag_items) for r in items} == left
+
+
+def test_long_pages_are_not_compared_rule_by_rule():
+    rng = random.Random(5)
+    say = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
+    rule = lambda i: C.Rule(i, i, 0, 0, " ".join(["common", *rng.choices(say, k=9)]), False, ("top",))
+    a, b = [rule(i) for i in range(300)], [rule(i) for i in range(300)]
+    b += [C.Rule(300 + i, i, 0, 0, r.quote + " more", False, ("top",)) for i, r in enumerate(a[:40])]
+    like = {(x.i, y.i): n for x in a for y in b if (n := len(x.words & y.words) / len(x.words | y.words)) >= 0.5}
+    assert C.likenesses(a, b) == like and len(like) >= 40
+    assert sum(1 for _ in C._worded(a, b)) < len(a) * len(b) / 4
