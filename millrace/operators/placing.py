@@ -7,10 +7,18 @@ needle becomes a pattern in which a blank stands for any run of them. No place i
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+import re
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import accumulate, groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions import text as X
 from millrace.operators.blocks import page_blocks
@@ -30,10 +38,65 @@ def canonical_hit(block: Column, needle: Column) -> Column:
     return F.when((want != "") & (part(2) > 0), F.struct(part(1).alias("start"), (part(1) + part(2)).alias("end")))
 
 
-@F.pandas_udf(T.StringType())
-def unmarked(text: pd.Series) -> pd.Series:
-    """Markdown as the blocks of a page would show it."""
-    return text.map(lambda t: None if t is None else " ".join(b[5] for b in page_blocks("", t)))
+_FOLD = {ord(c): p for c, p in zip("’‘“”‑‐", "''\"\"--", strict=True)} | {c: " " for c in range(0x3001) if chr(c).isspace()}
+_LONG = 20_000  #: characters; on a longer page a needle meets only blocks with its longest inner word
+
+
+class PageText:
+    """The blocks of one page, searched for canonical needles."""
+
+    def __init__(self, blocks: list[tuple]):
+        """blocks: (block, path, plain), in order."""
+        self.blocks = [(block, path or [], plain.translate(_FOLD)) for block, path, plain in blocks if plain is not None]
+        self.texts = [re.sub(" +", " ", folded) for _, _, folded in self.blocks]
+        self.whole = "\n".join(self.texts)
+        self.starts = list(accumulate((len(t) + 1 for t in self.texts), initial=0))
+        self.met: dict[str, int] = {}
+
+    @functools.cached_property
+    def words(self) -> dict[str, list[int]]:
+        at: dict[str, list[int]] = defaultdict(list)
+        for k, text in enumerate(self.texts):
+            for w in set(text.split(" ")):
+                at[w].append(k)
+        return at
+
+    def _first(self, want: str) -> int:
+        """The first block that says it, or -1."""
+        if want not in self.met:
+            inner = max(want.split(" ")[1:-1], key=len, default="") if len(self.whole) > _LONG else ""
+            if inner:
+                self.met[want] = next((k for k in self.words.get(inner, ()) if want in self.texts[k]), -1)
+            else:
+                at = self.whole.find(want)
+                self.met[want] = at if at < 0 else bisect_right(self.starts, at) - 1
+        return self.met[want]
+
+    def find(self, needle: str, section: list | None) -> tuple | None:
+        """(block, start, end) of the first block of the section, else of the page, that says the needle."""
+        want = " ".join(needle.translate(_FOLD).split())
+        k = self._first(want) if want else -1
+        if k < 0:
+            return None
+        if section is not None:
+            k = next((n for n, (_, path, _) in enumerate(self.blocks) if path[: len(section)] == section and want in self.texts[n]), k)
+        block, _, folded = self.blocks[k]
+        if len(folded) == len(self.texts[k]):
+            start = folded.index(want)
+            return block, start, start + len(want)
+        m = re.search(" +".join(map(re.escape, want.split(" "))), folded)
+        return block, m.start(), m.end()
+
+    def place(self, text: str | None, section: list | None) -> list[tuple]:
+        """(line, block, start, end) of each line of a text that shows anything; nothing unless all are found."""
+        out = []
+        for n, part in enumerate((text or "").split("\n")):
+            if part.strip():
+                hit = self.find(part, section) or self.find(" ".join(b[5] for b in page_blocks("", part)), section)
+                if hit is None:
+                    return []
+                out.append((n, *hit))
+        return out
 
 
 def located(strings: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -41,29 +104,30 @@ def located(strings: DataFrame, blocks: DataFrame) -> DataFrame:
 
     strings: page, sid, text, section (a heading path, may be null); blocks: page, block, ord, path, plain. A line is looked
     for as it is and then without its marks, first in the string's section, then on the whole page; the first block counts.
-    parts: line, block, start, end. A needle of three words or more meets only blocks with its longest inner word, by a hash
-    of it; what else has that hash is told apart by the search. Blocks have one row for each page and ord.
+    parts: line, block, start, end. Blocks and strings meet once, dealt by page and sorted; a worker holds the blocks of one
+    page. Blocks have one row for each page and ord.
     """
-    lines = strings.select("page", "sid", "section", F.posexplode(F.split("text", "\n")).alias("line", "part")).where(X.strip(F.col("part")) != "")
-    asked = lines.withColumn("bare", unmarked("part")).select("page", "sid", "section", "line", F.posexplode(F.array_distinct(F.array("part", F.coalesce("bare", "part")))).alias("rank", "needle"))
-    asked = asked.withColumn("want", X.normalise_statement(F.col("needle"))).where("want <> ''")
-    words = F.split("want", " ")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = asked.withColumn("key", F.hash(longest)).withColumn("keyed", longest.isNotNull())
-    # Places of words are four bytes each and carry no text; needles join their pairs before the blocks' texts come in.
-    said = blocks.select("page", "ord", F.explode(F.array_distinct(F.transform(F.split(folded(F.col("plain")), " +"), lambda w: F.hash(w)))).alias("key"))
-    needles = asked.select("page", "sid", "line", "rank", "needle", "section", "key", "keyed")
-    met = needles.where("keyed").join(said, ["page", "key"]).unionByName(needles.where("NOT keyed").join(blocks.select("page", "ord"), "page"))
-    met = met.drop("key", "keyed").join(blocks.select("page", "ord", "block", "path", "plain"), ["page", "ord"])
-    met = met.withColumn("hit", canonical_hit(F.col("plain"), F.col("needle"))).where("hit IS NOT NULL")
-    within = F.coalesce(F.slice("path", F.lit(1), F.size("section")) == F.col("section"), F.lit(False))
-    best = met.groupBy("page", "sid", "line").agg(F.min(F.struct("rank", (~within).alias("outside"), "ord", "block", "hit")).alias("m"))
-    found = best.groupBy("page", "sid").agg(F.array_sort(F.collect_list(F.struct("line", "m.block", "m.hit.start", "m.hit.end"))).alias("parts"))
-    sizes = lines.groupBy("page", "sid").agg(F.count("*").alias("n"))
-    got = strings.select("page", "sid").join(sizes, ["page", "sid"], "left").join(found, ["page", "sid"], "left")
-    none = F.array().cast(found.schema["parts"].dataType)
-    return got.select("page", "sid", F.when(F.size("parts") == F.col("n"), F.col("parts")).otherwise(none).alias("parts"))
+    of, ids, rank = blocks.schema["block"].dataType, strings.schema["sid"].dataType, blocks.schema["ord"].dataType
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = blocks.select("page", F.lit(0).alias("what"), "ord", F.col("plain").alias("text"), F.col("path").alias("section"), "block", none(ids, "sid"))
+    rows = rows.unionByName(strings.select("page", F.lit(1).alias("what"), none(rank, "ord"), "text", "section", none(of, "block"), "sid"))
+    part = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("block", of), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    out = T.StructType([T.StructField("page", strings.schema["page"].dataType), T.StructField("sid", ids), T.StructField("parts", T.ArrayType(part))])
+    schema, names = to_arrow_schema(out), part.names
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for page, rows in groupby(each, lambda r: r[0]):
+            held, text, found = [], None, []
+            for _, what, _, said, path, block, sid in rows:
+                if not what:
+                    held.append((block, path, said))
+                else:
+                    text = text or PageText(held if page is not None else [])
+                    found.append((sid, [dict(zip(names, p, strict=True)) for p in text.place(said, path)]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([page] * len(found), [f[0] for f in found], [f[1] for f in found]), schema, strict=True)], schema=schema)
+
+    return rows.repartition("page").sortWithinPartitions("page", "what", "ord").mapInArrow(search, out)
 
 
 def claimed(strings: DataFrame, entries: DataFrame, keys: list[str], canonical=X.normalise_statement) -> DataFrame:

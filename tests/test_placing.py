@@ -1,6 +1,7 @@
 import random
 import re
 
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from millrace.operators import golden as G
@@ -49,6 +50,23 @@ def test_every_line_is_found_or_none(spark):
     assert got == {1: [(0, "b0", 9, 26)], 2: [(0, "b1", 10, 27)], 3: [(0, "b2", 0, 22), (2, "b0", 6, 14)], 4: [], 5: [], 6: [], 7: [], 8: [(0, "b0", 21, 26)], 9: [(0, "b0", 9, 20)]}
 
 
+def test_pages_are_searched_whole(spark):
+    """Short and long pages, with and without the words' index, against the expression on every block."""
+    rng = random.Random(7)
+    say = ["on", "the", "“quoted”", "well‑kept", "word", "end.", "(a", "b)", "sentence", "  two", "\u00a0"]
+    for size in (6, 900):
+        plain = [" ".join(rng.choices(say, k=rng.randint(0, 14))) for _ in range(size)]
+        text = P.PageText([(n, None, t) for n, t in enumerate(plain)])
+        assert (len(text.whole) > P._LONG) == (size == 900)
+        for _ in range(60):
+            needle = " ".join(rng.choices(say, k=rng.randint(1, 5)))
+            hits = [(n, *h) for n, t in enumerate(plain) if (h := plain_hit(t, needle))]
+            assert text.find(needle, None) == (hits[0] if hits else None)
+    from millrace.plans import placing
+
+    assert "Exchange" not in placing.located_lines(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entries_are_claimed_once(spark):
     strings = [("r", 1, "a b"), ("r", 2, "a b"), ("r", 3, "a  b"), ("r", 4, "don’t"), ("r", 5, "x"), ("r", 6, "don't"), ("s", 1, "a b")]
     entries = [("r", 1, "a b"), ("r", 2, "a b"), ("r", 3, "don't"), ("r", 4, "y")]
