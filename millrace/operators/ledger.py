@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import chain, groupby, islice
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +63,9 @@ def reconcile(candidates: DataFrame, rules: DataFrame) -> DataFrame:
     rows = both.join(groups, "node")
     present = c.select(F.col("uid"), F.lit(True).alias("produced"))
     rows = rows.join(present, "uid", "left").withColumn("produced", F.coalesce("produced", F.lit(False)))
-    return rows.groupBy("grp").applyInPandas(_cascade, "outcome string, old_uid string, cand_uid string")
+    # groups are small and many: a task reads its own in order and holds one at a time
+    rows = rows.select("grp", *Tied._fields).repartition("grp").sortWithinPartitions("grp")
+    return rows.mapInArrow(_cascades, "outcome string, old_uid string, cand_uid string")
 
 
 def _groups(links: DataFrame) -> DataFrame:
@@ -83,9 +89,32 @@ def _groups(links: DataFrame) -> DataFrame:
             return now
 
 
-def _cascade(rows: pd.DataFrame) -> pd.DataFrame:
-    """The cascade inside one group, in the candidates' order; live rules are found by statement and by place."""
-    old = {r.uid: r for r in rows[rows.old].sort_values("uid").itertuples()}
+class Tied(NamedTuple):
+    """A candidate, or a live rule (old); produced: some candidate has its uid."""
+
+    old: bool
+    uid: str
+    page: str
+    parent: str
+    key: str
+    body: str | None
+    line: int | None
+    positional: bool | None
+    supersedes: str | None
+    produced: bool
+
+
+def _cascades(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cascade of each group, whose rows follow one another."""
+    each = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    outcomes = chain.from_iterable(_cascade([Tied(*r[1:]) for r in rows]) for _, rows in groupby(each, lambda r: r[0]))
+    while some := list(islice(outcomes, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some, strict=True)], ["outcome", "old_uid", "cand_uid"])
+
+
+def _cascade(rows: list[Tied]) -> list[tuple]:
+    """(outcome, old_uid, cand_uid): the cascade inside one group, in the candidates' order; live rules are found by statement and by place."""
+    old = {r.uid: r for r in sorted((r for r in rows if r.old), key=lambda r: r.uid)}
     told: dict[str, dict[str, None]] = {}
     placed: dict[tuple, dict[str, None]] = {}
     for u, r in old.items():
@@ -100,7 +129,8 @@ def _cascade(rows: pd.DataFrame) -> pd.DataFrame:
         placed.get((old[uid].page, old[uid].parent), {}).pop(uid, None)
 
     out = []
-    for c in rows[~rows.old].sort_values(["page", "line", "uid"]).itertuples():
+    known = lambda v: (v is None, v)  # noqa: E731  what is not known comes last
+    for c in sorted((r for r in rows if not r.old), key=lambda r: (known(r.page), known(r.line), r.uid)):
         if c.uid in old:
             take(c.uid)
             same = (old[c.uid].body or "").strip() == (c.body or "")[:1200].strip()
@@ -122,8 +152,7 @@ def _cascade(rows: pd.DataFrame) -> pd.DataFrame:
             out.append(("ambiguous", tied[0], c.uid))
         else:
             out.append(("added", None, c.uid))
-    out += [("orphaned", u, None) for u, r in old.items() if u not in used and not r.produced]
-    return pd.DataFrame(out, columns=["outcome", "old_uid", "cand_uid"])
+    return out + [("orphaned", u, None) for u, r in old.items() if u not in used and not r.produced]
 
 
 def last_op(ops: DataFrame, key: str, at: str, op_id: str) -> DataFrame:

@@ -198,7 +198,7 @@ def ledger_run(spark, d):
     before = raw.withColumn("text", F.translate("text", "0123456789", ""))
     pages = lambda p: B.normalised_pages(p.select(F.col("page").alias("path"), F.col("text").alias("raw"))).select(F.col("path").alias("page"), "text", "sha256")
     urls = raw.select("page", F.concat(F.lit("https://docs.example/"), "page").alias("url"))
-    old = pages(before)
+    old = written(pages(before))  # read three times; composing the texts costs more than their table
     rules = R.as_rules(R.heading_candidates(K.nodes(old), OPENERS).withColumn("origin", F.lit("heading")), urls, old.select("page", "sha256"), "t0")
     rules = written(rules.dropDuplicates(["uid"]).withColumn("status", F.when(F.col("modality") == "MUST", "accepted").when(F.length("body") == 0, "rejected").otherwise("proposed")))
     now = written(pages(raw))

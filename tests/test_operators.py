@@ -196,6 +196,18 @@ def test_pace_boundary(spark):
     assert {r.page: (r.n_ops, r.micros) for r in E.pace(ops, "p", "t", "i").collect()} == {"a": (3, 0), "b": (1, 600_000_000)}
 
 
+def test_many_small_groups_are_one_pass(spark):
+    """A pandas frame a group cost milliseconds for each; rows without line or page come last, as they did."""
+    n = 3000
+    new = spark.range(n).selectExpr("concat('n', id) AS uid", "'p' AS page", "concat('h', id) AS parent", "concat('Use x', id) AS statement", "'b' AS body", "CAST(NULL AS INT) AS line", "id % 2 = 0 AS positional", "CAST(NULL AS STRING) AS supersedes")
+    old = spark.range(n).selectExpr("concat('o', id) AS uid", "'p' AS page", "concat('h', id) AS parent", "concat('Use ', if(id % 3 = 0, 'x', 'y'), id) AS statement", "'b' AS body", "'accepted' AS status")
+    got = L.reconcile(new, old)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    want = {"rehomed": n // 3, "reworded": n // 3, "added": n // 3, "orphaned": n // 3}
+    assert {r.outcome: r["count"] for r in got.groupBy("outcome").count().collect()} == want
+
+
 def test_overlaps_and_greedy_and_settle(spark):
     rng = random.Random(1)
     s = [(k, i, a := rng.randint(0, 40), a + rng.randint(0, 12)) for k in range(5) for i in range(12)]
